@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,9 +46,9 @@ def with_elapsed(
     return df.withColumn(name, elapsed(start, end, unit_seconds, places))
 
 
-def keep_positive(df: DataFrame, column: str) -> DataFrame:
-    """Keep rows with ``column > 0``."""
-    return df.filter(F.col(column) > 0)
+def keep_positive(df: DataFrame, value: str | Column) -> DataFrame:
+    """Keep rows where a column, or an expression over columns, is above 0."""
+    return df.filter((F.col(value) if isinstance(value, str) else value) > 0)
 
 
 def keep_after(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -56,7 +56,9 @@ def keep_after(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.filter(F.col(end) > F.col(start))
 
 
-def project(df: DataFrame, columns: Sequence[str], derived: dict[str, Column] | None = None) -> DataFrame:
+def project(
+    df: DataFrame, columns: Sequence[str], derived: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Keep ``columns`` in this order, then the ``derived`` ones."""
     return df.select(*columns, *(c.alias(name) for name, c in (derived or {}).items()))
 
