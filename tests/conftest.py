@@ -1,5 +1,6 @@
 import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,10 @@ from strata.session import configure  # noqa: E402
 
 TESTDATA = "/root/testdata"
 
+# Python datetimes without a zone mean the same moment as in the session.
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -1,0 +1,167 @@
+"""Cleaning operators and the silver step on hand-made trips."""
+
+from datetime import timedelta
+
+import pytest
+from helpers import GOOD, START, full_width, lasting, make, trip
+from pyspark.sql import functions as F
+
+from strata.functions import elapsed
+from strata.operators import (
+    dedupe,
+    drop_incomplete,
+    drop_nulls,
+    keep_after,
+    keep_between,
+    keep_positive,
+    project,
+    with_elapsed,
+)
+from strata.plans import clean, clean_model, taxi
+
+NAN = float("nan")
+
+
+def silver(spark, *rows, **options):
+    return clean(make(spark, *rows), **options).collect()
+
+
+def sql_silver(spark, *rows):
+    df = full_width(make(spark, *rows))
+    return spark.sql(clean_model("{trips}"), trips=df).collect()
+
+
+@pytest.mark.parametrize("column", taxi.REQUIRED)
+def test_row_without_a_required_value_is_dropped(spark, column):
+    broken = trip(**{column: None})
+    assert [r.fare_amount for r in silver(spark, broken, GOOD)] == [12.5]
+    assert len(sql_silver(spark, broken, GOOD)) == 1
+
+
+def test_complete_row_is_kept(spark):
+    assert len(silver(spark, GOOD)) == 1
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 4, 5, 6])
+def test_passengers_in_range_are_kept(spark, count):
+    assert len(silver(spark, trip(passenger_count=count))) == 1
+
+
+@pytest.mark.parametrize("count", [0, 7, 8, -1, None])
+def test_passengers_out_of_range_are_dropped(spark, count):
+    assert silver(spark, trip(passenger_count=count)) == []
+    assert sql_silver(spark, trip(passenger_count=count)) == []
+
+
+def test_duration_column_is_added_last_and_others_pass_through(spark):
+    df = clean(make(spark, GOOD))
+    assert df.columns == [*GOOD, "trip_duration_minutes"]
+    row = df.first()
+    assert row.trip_duration_minutes == 15.0
+    assert row.vendor_name == "CMT"
+
+
+def test_duration_is_rounded_to_two_decimals(spark):
+    assert silver(spark, lasting(minutes=17, seconds=23))[0].trip_duration_minutes == 17.38
+
+
+@pytest.mark.parametrize("duration", [{"seconds": 0}, {"minutes": -5}, {"hours": -30}])
+def test_trip_that_does_not_end_later_is_dropped(spark, duration):
+    assert silver(spark, lasting(**duration)) == []
+    assert sql_silver(spark, lasting(**duration)) == []
+
+
+def test_trip_shorter_than_a_second_stays_on_the_sql_path_only(spark):
+    short = lasting(milliseconds=400)
+    assert silver(spark, short) == []
+    assert [r.trip_duration_minutes for r in sql_silver(spark, short)] == [0.0]
+
+
+def test_trip_over_a_second_boundary_counts_as_one_second(spark):
+    crossing = trip(
+        tpep_pickup_datetime=START + timedelta(milliseconds=900),
+        tpep_dropoff_datetime=START + timedelta(milliseconds=1100),
+    )
+    assert [r.trip_duration_minutes for r in silver(spark, crossing)] == [0.02]
+    assert [r.trip_duration_minutes for r in sql_silver(spark, crossing)] == [0.02]
+
+
+def test_nan_counts_as_missing_on_the_dataframe_path_only(spark):
+    odd = trip(fare_amount=NAN)
+    assert silver(spark, odd) == []
+    assert len(sql_silver(spark, odd)) == 1
+
+
+def test_copies_collapse(spark):
+    assert len(silver(spark, GOOD, GOOD, GOOD)) == 1
+    assert len(sql_silver(spark, GOOD, GOOD, GOOD)) == 1
+
+
+def test_different_trips_stay(spark):
+    later = trip(tpep_dropoff_datetime=START + timedelta(minutes=20))
+    assert len(silver(spark, GOOD, later)) == 2
+
+
+@pytest.mark.parametrize(
+    ("left", "right"),
+    [
+        ({"vendor_name": None}, {"vendor_name": None}),
+        ({"trip_distance": 0.0}, {"trip_distance": -0.0}),
+    ],
+)
+def test_nulls_and_signed_zeros_are_equal_when_copies_are_compared(spark, left, right):
+    assert dedupe(make(spark, trip(**left), trip(**right))).count() == 1
+
+
+def test_nans_are_equal_when_copies_are_compared(spark):
+    assert dedupe(make(spark, trip(fare_amount=NAN), trip(fare_amount=NAN))).count() == 1
+
+
+def test_a_column_gained_later_separates_copies_unless_left_out(spark):
+    old = make(spark, GOOD).withColumn("surge", F.lit(None).cast("double"))
+    new = make(spark, GOOD).withColumn("surge", F.lit(1.5))
+    stored = old.unionByName(new)
+    assert clean(stored).count() == 2
+    assert clean(stored, columns=list(GOOD)).count() == 1
+
+
+def test_closed_path_ignores_extra_columns(spark):
+    assert len(sql_silver(spark, GOOD, trip(vendor_name="VTS"))) == 1
+    assert len(silver(spark, GOOD, trip(vendor_name="VTS"))) == 2
+
+
+def test_drop_incomplete_keeps_what_dropna_keeps(spark):
+    rows = [trip(fare_amount=f, trip_distance=d) for f in (1.0, None, NAN) for d in (2.0, None, NAN)]
+    df = make(spark, *rows, trip(tpep_pickup_datetime=None))
+    expected = df.dropna(subset=list(taxi.REQUIRED)).collect()
+    assert drop_incomplete(df, taxi.REQUIRED).collect() == expected
+    assert len(expected) == 1
+    assert drop_nulls(df, taxi.REQUIRED).count() == 4
+
+
+def test_operators_take_their_columns_as_arguments(spark):
+    df = spark.createDataFrame([(1, 10.0), (5, None), (None, 2.0)], "a int, b double")
+    assert keep_between(df, "a", 1, 4).count() == 1
+    assert keep_positive(df, "b").count() == 2
+    assert keep_positive(df, F.col("b") - 5).count() == 1
+    assert project(df, ["b"], {"twice": F.col("a") * 2}).columns == ["b", "twice"]
+
+
+def test_keep_after_compares_at_full_precision(spark):
+    df = make(spark, lasting(milliseconds=1), lasting(seconds=0), trip(tpep_pickup_datetime=None))
+    assert keep_after(df, taxi.PICKUP, taxi.DROPOFF).count() == 1
+
+
+@pytest.mark.parametrize(("unit", "places"), [(60, 2), (3600, 2), (1, 0), (60, 0), (86400, 4), (7, 3)])
+def test_integer_elapsed_equals_round_to_the_last_bit(spark, unit, places):
+    df = spark.range(-200_000, 200_000, 7).select(
+        F.lit(0).cast("timestamp").alias("start"), F.col("id").cast("timestamp").alias("end")
+    )
+    seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
+    different = df.filter(elapsed("start", "end", unit, places) != F.round(seconds / unit, places))
+    assert different.count() == 0
+
+
+def test_elapsed_of_a_missing_end_is_null(spark):
+    df = with_elapsed(make(spark, trip(tpep_dropoff_datetime=None)), taxi.PICKUP, taxi.DROPOFF, "m")
+    assert df.first().m is None

@@ -1,0 +1,190 @@
+"""Readers, evolving append and full refresh."""
+
+import uuid
+from unittest.mock import MagicMock
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from strata.names import Workspace
+from strata.session import scratch_path, shared_folder
+from strata.sinks import (
+    SchemaConflict,
+    append_evolving,
+    append_evolving_path,
+    refresh,
+    refresh_path,
+)
+from strata.sources import read_evolved, read_source, read_table
+
+
+@pytest.fixture
+def workspace(spark):
+    space = Workspace("strata", f"t{uuid.uuid4().hex[:8]}", catalog="spark_catalog")
+    space.create_schemas(spark, "dev", scratch_path(spark, "layers"))
+    return space
+
+
+@pytest.fixture
+def table(workspace):
+    return workspace.table("dev", "bronze", "trips")
+
+
+@pytest.fixture
+def path(spark):
+    return scratch_path(spark, "files")
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_source_can_be_a_table(spark, table):
+    frame(spark, [(1, "a")], "id int, name string").write.saveAsTable(table)
+    assert rows(read_source(spark, table)) == rows(read_table(spark, table)) == [(1, "a")]
+
+
+@pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv", "avro"])
+def test_source_can_be_files(spark, path, format):
+    df = frame(spark, [(1, "a"), (2, None)], "id int, name string")
+    try:
+        df.write.format(format).save(path)
+    except AnalysisException as error:
+        pytest.skip(f"{format} is not on the class path: {error.getCondition()}")
+    schema = "id int, name string"
+    assert rows(read_source(spark, path=path, format=format, schema=schema)) == rows(df)
+
+
+def test_source_options_reach_the_connector(spark, path):
+    frame(spark, [("1;a",)], "line string").write.text(path)
+    read = read_source(spark, path=path, format="csv", schema="id int, name string", options={"sep": ";"})
+    assert rows(read) == [(1, "a")]
+
+
+def test_first_append_creates_the_table_and_later_ones_add_rows(spark, table):
+    batch = frame(spark, [(1, 2.0)], "id int, fare double")
+    append_evolving(batch, table)
+    append_evolving(batch, table)
+    assert rows(spark.read.table(table)) == [(1, 2.0), (1, 2.0)]
+
+
+def test_new_column_is_added_and_null_in_old_rows(spark, table):
+    append_evolving(frame(spark, [(1, 2.0)], "id int, fare double"), table)
+    append_evolving(frame(spark, [(2, "x", 3.0)], "id int, tag string, fare double"), table)
+    stored = spark.read.table(table)
+    assert stored.columns == ["id", "fare", "tag"]
+    assert rows(stored) == [(1, 2.0, None), (2, 3.0, "x")]
+
+
+def test_column_missing_from_the_batch_is_null(spark, table):
+    append_evolving(frame(spark, [(1, 2.0)], "id int, fare double"), table)
+    append_evolving(frame(spark, [(3.0,)], "fare double"), table)
+    assert rows(spark.read.table(table)) == [(1, 2.0), (None, 3.0)]
+
+
+def test_column_names_are_matched_without_case(spark, table):
+    append_evolving(frame(spark, [(1, 2.0)], "id int, fare double"), table)
+    append_evolving(frame(spark, [(2, 3.0)], "ID int, Fare double"), table)
+    assert spark.read.table(table).columns == ["id", "fare"]
+    assert rows(spark.read.table(table)) == [(1, 2.0), (2, 3.0)]
+
+
+def test_changed_type_is_refused_before_anything_is_written(spark, table, path):
+    good = frame(spark, [(1, 2.0)], "id int, fare double")
+    bad = frame(spark, [(1, "2.0", True)], "id int, fare string, extra boolean")
+    append_evolving(good, table)
+    append_evolving_path(good, path)
+    with pytest.raises(SchemaConflict, match="fare: double -> string"):
+        append_evolving(bad, table)
+    with pytest.raises(SchemaConflict, match="fare: double -> string"):
+        append_evolving_path(bad, path)
+    assert spark.read.table(table).columns == ["id", "fare"]
+    assert rows(spark.read.table(table)) == rows(read_evolved(spark, path)) == [(1, 2.0)]
+
+
+def test_path_append_evolves(spark, path):
+    append_evolving_path(frame(spark, [(1, 2.0)], "id int, fare double"), path)
+    append_evolving_path(frame(spark, [(2, "x")], "id int, tag string"), path)
+    merged = read_evolved(spark, path)
+    assert rows(merged.select("id", "fare", "tag")) == [(1, 2.0, None), (2, None, "x")]
+    known = read_evolved(spark, path, schema="id int, fare double, tag string")
+    assert rows(known) == rows(merged.select("id", "fare", "tag"))
+
+
+def test_path_append_with_a_known_schema_does_not_read_the_files(spark, path):
+    batch = frame(spark, [(1, 2.0)], "id int, fare double")
+    append_evolving_path(batch, path, schema=batch.schema)
+    append_evolving_path(batch, path, schema=batch.schema)
+    assert read_evolved(spark, path, schema=batch.schema).count() == 2
+
+
+def test_other_read_errors_are_not_taken_for_an_empty_path(spark, path):
+    with pytest.raises(Exception, match="nosuchformat"):
+        append_evolving_path(spark.range(1), path, format="nosuchformat")
+
+
+@pytest.mark.parametrize("kind", ["table", "path"])
+def test_refresh_replaces_rows_and_schema(spark, table, path, kind):
+    write, target, read = {
+        "table": (refresh, table, spark.read.table),
+        "path": (refresh_path, path, spark.read.parquet),
+    }[kind]
+    write(frame(spark, [(1, 2.0)], "id int, fare double"), target)
+    write(frame(spark, [("x", 7)], "tag string, n long"), target)
+    assert read(target).columns == ["tag", "n"]
+    assert rows(read(target)) == [("x", 7)]
+
+
+def test_refresh_refuses_to_overwrite_its_own_input(spark, table):
+    refresh(frame(spark, [(1,)], "id int"), table)
+    with pytest.raises(AnalysisException, match="(?i)overwrite"):
+        refresh(spark.read.table(table).withColumn("more", F.lit(1)), table)
+    assert rows(spark.read.table(table)) == [(1,)]
+
+
+def test_other_formats_can_be_stored(spark, table):
+    append_evolving(frame(spark, [(1,)], "id int"), table, format="orc")
+    append_evolving(frame(spark, [(2, "x")], "id int, tag string"), table, format="orc")
+    assert rows(spark.read.table(table)) == [(1, None), (2, "x")]
+
+
+def test_delta_merges_and_replaces_schemas_itself():
+    """The format is not installed here, so only the calls can be checked."""
+    df = MagicMock()
+    writer = df.write.format.return_value
+    append_evolving(df, "c.s.t", format="delta")
+    df.write.format.assert_called_with("delta")
+    writer.mode.assert_called_with("append")
+    writer.mode.return_value.option.assert_called_with("mergeSchema", "true")
+    writer.mode.return_value.option.return_value.saveAsTable.assert_called_once_with("c.s.t")
+    refresh(df, "c.s.t", format="delta")
+    writer.mode.assert_called_with("overwrite")
+    writer.mode.return_value.option.assert_called_with("overwriteSchema", "true")
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named
+    assert scratch_path(spark, "x").startswith(f"{named}/x-")
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def session_with(settings):
+    session = MagicMock()
+    session.conf.get.side_effect = lambda key, default=None: settings.get(key, default)
+    return session
+
+
+def test_machine_local_folder_is_refused_on_a_cluster():
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(session_with({"spark.master": "yarn", "spark.app.id": "a"}))
+
+
+def test_local_session_without_a_setting_gets_one_folder():
+    session = session_with({"spark.master": "local[2]", "spark.app.id": f"app-{uuid.uuid4()}"})
+    assert shared_folder(session) == shared_folder(session)
