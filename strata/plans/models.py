@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.functions import elapsed_sql
 from strata.names import Workspace
 from strata.plans import taxi
-from strata.quality import evaluate, observe, require
+from strata.quality import Rule, evaluate, observe, require
 from strata.sinks import refresh
 
 
@@ -103,37 +103,41 @@ def run_gold_model(
 
 
 def _build_and_test(
-    spark: SparkSession, sql: str, target: str, tests: Sequence, format: str
+    spark: SparkSession, sql: str, target: str, tests: Sequence[Rule], format: str
 ) -> DataFrame:
     """Store a model, then require its tests.
 
     Row tests are counted while the table is written; only key tests read it back.
     """
-    layer = target.split(".")[-2] + "." + target.split(".")[-1]
-    counted, observed = observe(spark.sql(sql), [t for t in tests if not t.is_keyed], layer)
+    table = target.split(".")[-1]
+    counted, observed = observe(spark.sql(sql), [t for t in tests if not t.is_keyed], table)
     refresh(counted, target, format)
     report = observed.report(spark)
     keyed = [t for t in tests if t.is_keyed]
     if keyed:
-        report = report.unionAll(evaluate(spark.read.table(target), keyed, layer))
+        report = report.unionAll(evaluate(spark.read.table(target), keyed, table))
     return require(report)
 
 
 def run_gated(
-    spark: SparkSession, env: str, workspace: Workspace = taxi.WORKSPACE, exact: bool = False
+    spark: SparkSession,
+    env: str,
+    workspace: Workspace = taxi.WORKSPACE,
+    exact: bool = False,
+    silver_tests: Sequence[Rule] | None = None,
+    gold_tests: Sequence[Rule] | None = None,
 ) -> DataFrame:
     """Clean model, its tests, daily model, its tests; returns the report of both.
 
     A failed critical test raises :class:`strata.quality.ContractViolation`, and
-    nothing after it is built.
+    nothing after it is built. The default tests are those of :mod:`strata.plans.taxi`.
     """
     bronze = workspace.table(env, "bronze", taxi.TRIPS)
     silver = workspace.table(env, "silver", taxi.TRIPS_MODEL)
     gold = workspace.table(env, "gold", taxi.DAILY)
-    first = _build_and_test(
-        spark, clean_model(bronze), silver, taxi.silver_tests(), workspace.format
-    )
-    second = _build_and_test(
-        spark, daily_model(silver, exact=exact), gold, taxi.gold_tests(), workspace.format
-    )
+    silver_tests = taxi.silver_tests() if silver_tests is None else silver_tests
+    gold_tests = taxi.gold_tests() if gold_tests is None else gold_tests
+    first = _build_and_test(spark, clean_model(bronze), silver, silver_tests, workspace.format)
+    summary = daily_model(silver, exact=exact)
+    second = _build_and_test(spark, summary, gold, gold_tests, workspace.format)
     return first.unionAll(second)

@@ -242,8 +242,7 @@ def gated_gold(spark, sf_dir):
 def gated_report(spark, sf_dir):
     workspace = _workspace(spark)
     run_bronze(spark, "test", trips(spark, sf_dir), workspace)
-    report = run_gated(spark, "test", workspace, exact=True)
-    return report.withColumn("table_name", F.substring_index("table_name", ".", -1))
+    return run_gated(spark, "test", workspace, exact=True)
 
 
 # Checks, each on a table that passes and on one that fails

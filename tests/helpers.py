@@ -58,3 +58,24 @@ def plan(df) -> str:
 def formatted(df) -> str:
     mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     return df._jdf.queryExecution().explainString(mode)
+
+
+def shuffled_records(df) -> list[int]:
+    """Run ``df`` and return how many records each of its shuffles wrote."""
+    df.collect()
+    records = []
+
+    def visit(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            visit(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            visit(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                records.append(node.metrics().apply("shuffleRecordsWritten").value())
+            for i in range(node.children().size()):
+                visit(node.children().apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return records
