@@ -22,6 +22,7 @@ from strata.operators import (
     with_elapsed,
 )
 from strata.plans import taxi
+from strata.session import sized_shuffle
 from strata.sinks import append_evolving, refresh
 from strata.sources import read_table
 
@@ -74,7 +75,8 @@ def run_silver(
     """Rebuild silver from bronze."""
     trips = read_table(spark, workspace.table(env, "bronze", taxi.TRIPS))
     target = workspace.table(env, "silver", taxi.TRIPS)
-    refresh(clean(trips, columns), target, workspace.format)
+    with sized_shuffle(trips):
+        refresh(clean(trips, columns), target, workspace.format)
     return target
 
 

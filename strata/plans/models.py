@@ -14,6 +14,7 @@ from strata.functions import elapsed_sql
 from strata.names import Workspace
 from strata.plans import taxi
 from strata.quality import Rule, evaluate, observe, require
+from strata.session import sized_shuffle
 from strata.sinks import refresh
 
 
@@ -90,7 +91,8 @@ def run_silver_model(
     """Rebuild the clean SQL model from bronze."""
     source = workspace.table(env, "bronze", taxi.TRIPS)
     target = workspace.table(env, "silver", taxi.TRIPS_MODEL)
-    return build_model(spark, clean_model(source), target, workspace.format)
+    with sized_shuffle(spark.read.table(source)):
+        return build_model(spark, clean_model(source), target, workspace.format)
 
 
 def run_gold_model(
@@ -137,7 +139,8 @@ def run_gated(
     gold = workspace.table(env, "gold", taxi.DAILY)
     silver_tests = taxi.silver_tests() if silver_tests is None else silver_tests
     gold_tests = taxi.gold_tests() if gold_tests is None else gold_tests
-    first = _build_and_test(spark, clean_model(bronze), silver, silver_tests, workspace.format)
+    with sized_shuffle(spark.read.table(bronze)):
+        first = _build_and_test(spark, clean_model(bronze), silver, silver_tests, workspace.format)
     summary = daily_model(silver, exact=exact)
     second = _build_and_test(spark, summary, gold, gold_tests, workspace.format)
     return first.unionAll(second)

@@ -1,6 +1,6 @@
 """Quality rules, their one-pass evaluation, and data contracts."""
 
-from strata.quality.contracts import Contract, load_contract, schema_problems
+from strata.quality.contracts import Contract, check_table, load_contract, schema_problems
 from strata.quality.report import ContractViolation, evaluate, observe, require
 from strata.quality.rules import (
     Rule,
@@ -26,6 +26,7 @@ __all__ = [
     "Rule",
     "accepted_values",
     "availability",
+    "check_table",
     "declared_not_null",
     "evaluate",
     "freshness",

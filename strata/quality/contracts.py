@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strata.quality import rules as R
+from strata.quality.report import ContractViolation, evaluate
 
 # The column types a contract can declare. Either kind of timestamp
 # satisfies ``timestamp``.
@@ -150,3 +151,18 @@ def schema_problems(df: DataFrame, contract: Contract) -> list[str]:
         if actual[f.name] not in allowed:
             problems.append(f"{f.name}: {actual[f.name].simpleString()}, declared {f.type}")
     return problems
+
+
+def check_table(
+    spark: SparkSession, table: str, contract: Contract, as_of=None, fresh: str | None = None
+) -> DataFrame:
+    """Report of a stored table against its contract.
+
+    Raises :class:`strata.quality.ContractViolation` at once if the columns do not
+    conform. Pass the report to :func:`strata.quality.require` to enforce the rules.
+    """
+    df = spark.read.table(table)
+    problems = schema_problems(df, contract)
+    if problems:
+        raise ContractViolation(f"{table}: {'; '.join(problems)}")
+    return evaluate(df, contract.rules(as_of, fresh), table.split(".")[-1])

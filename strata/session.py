@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The day of a timestamp is cut in the session time zone, so the zone is pinned.
 # ANSI mode makes an overflowing sum fail instead of wrapping round.
@@ -47,3 +50,56 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_MIB = 1024 * 1024
+
+
+def task_sizes(
+    total_bytes: int,
+    split_bytes: int = 128 * _MIB,
+    partition_bytes: int = 256 * _MIB,
+    most_tasks: int = 50_000,
+) -> tuple[int, int]:
+    """Bytes per scan task and number of shuffle partitions for an input.
+
+    A shuffle moves one block per pair of scan task and partition, so beyond
+    ``most_tasks`` on either side the tasks grow instead of their number.
+    """
+    split = max(split_bytes, math.ceil(total_bytes / most_tasks))
+    return split, min(most_tasks, math.ceil(total_bytes / partition_bytes))
+
+
+@contextmanager
+def sized_shuffle(df: DataFrame) -> Iterator[None]:
+    """Give the job run inside enough shuffle partitions for the input ``df``.
+
+    The number in the session is right for one size of input only, and adaptive
+    execution merges partitions but never adds any. The size is the optimizer's
+    estimate, which for files is their size on disk; no job runs to find it. The
+    session's own numbers are only raised, and put back afterwards. Inputs without
+    an estimate, such as rows held in Python, change nothing.
+    """
+    spark = df.sparkSession
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))):
+        estimate = 0
+    before = {key: spark.conf.get(key) for key in (_SPLIT, _PARTITIONS)}
+    split, partitions = task_sizes(estimate, _bytes(before[_SPLIT]))
+    try:
+        spark.conf.set(_SPLIT, f"{split}b")
+        spark.conf.set(_PARTITIONS, str(max(partitions, int(before[_PARTITIONS]))))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _bytes(size: str) -> int:
+    units = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20}
+    units |= {"g": 2**30, "gb": 2**30, "t": 2**40, "tb": 2**40}
+    text = size.strip().lower()
+    number = text.rstrip("bkmgt")
+    return int(number) * units[text[len(number) :]]

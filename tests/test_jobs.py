@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strata import plans
 from strata.names import Workspace
 from strata.plans import taxi
-from strata.quality import ContractViolation, not_null, unique, value_above
+from strata.quality import ContractViolation, check_table, not_null, require, unique, value_above
 from strata.session import scratch_path
 
 
@@ -127,3 +127,13 @@ def test_own_columns_through_both_models(spark):
     assert [r.m for r in clean.collect()] == [0.5]
     text = plans.daily_model("{c}", timestamp="a", day="d", rows="k", averages={"avg_p": "p"}, sums={"s": "n"})
     assert [tuple(r)[1:] for r in spark.sql(text, c=clean).collect()] == [(1, 4.0, 1)]
+
+
+def test_stored_layers_can_be_held_to_their_contracts(spark, workspace, raw):
+    gold = plans.run_all(spark, "dev", raw, workspace)
+    silver = workspace.table("dev", "silver", taxi.TRIPS)
+    require(check_table(spark, silver, taxi.contract("trips_silver")))
+    report = check_table(spark, gold, taxi.contract("daily_gold"), as_of="2023-01-16 03:00:01", fresh=taxi.DAY)
+    assert {r.rule for r in report.filter("NOT passed").collect()} == set()
+    with pytest.raises(ContractViolation, match="total_trips: missing"):
+        check_table(spark, silver, taxi.contract("daily_gold"))
