@@ -61,15 +61,16 @@ def task_sizes(
     total_bytes: int,
     split_bytes: int = 128 * _MIB,
     partition_bytes: int = 256 * _MIB,
-    most_tasks: int = 50_000,
+    most_scans: int = 100_000,
+    most_partitions: int = 50_000,
 ) -> tuple[int, int]:
     """Bytes per scan task and number of shuffle partitions for an input.
 
     A shuffle moves one block per pair of scan task and partition, so beyond
-    ``most_tasks`` on either side the tasks grow instead of their number.
+    ``most_scans`` and ``most_partitions`` the tasks grow instead of their number.
     """
-    split = max(split_bytes, math.ceil(total_bytes / most_tasks))
-    return split, min(most_tasks, math.ceil(total_bytes / partition_bytes))
+    split = max(split_bytes, math.ceil(total_bytes / most_scans))
+    return split, min(most_partitions, math.ceil(total_bytes / partition_bytes))
 
 
 @contextmanager

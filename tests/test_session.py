@@ -19,7 +19,7 @@ def test_settings_are_applied(spark):
         (0, GIB // 8, 0),
         (GIB, GIB // 8, 4),
         (TIB, GIB // 8, 4096),
-        (100 * TIB, -(-100 * TIB // 50_000), 50_000),
+        (100 * TIB, -(-100 * TIB // 100_000), 50_000),
     ],
 )
 def test_task_sizes(total, split, partitions):
@@ -29,7 +29,7 @@ def test_task_sizes(total, split, partitions):
 def test_task_counts_stay_bounded():
     for total in (TIB, 10 * TIB, 100 * TIB, 1000 * TIB):
         split, partitions = task_sizes(total)
-        assert total / split <= 50_000 and partitions <= 50_000
+        assert total / split <= 100_000 and partitions <= 50_000
 
 
 @pytest.mark.parametrize(
@@ -50,7 +50,7 @@ def test_shuffle_is_sized_for_the_job_and_put_back(spark):
     with sized_shuffle(big):
         split, partitions = numbers(spark)
         assert int(partitions) == -(-8 * 10**12 // 2**28)
-        assert _bytes(split) == max(_bytes(before[0]), -(-8 * 10**12 // 50_000))
+        assert _bytes(split) == max(_bytes(before[0]), -(-8 * 10**12 // 100_000))
     assert numbers(spark) == before
     with pytest.raises(RuntimeError), sized_shuffle(big):
         raise RuntimeError
