@@ -6,11 +6,11 @@ from strata.names import Workspace, catalog_name, schema_name, table_name
 @pytest.mark.parametrize(
     ("args", "expected"),
     [
-        (("mdp", "dev", "bronze"), "mdp_dev_bronze"),
-        (("mdp", "test", "gold"), "mdp_test_gold"),
-        (("mdp", "dev", ""), "mdp_dev"),
-        (("mdp", "prod", ""), "mdp_prod"),
-        (("mdp", "dev"), "mdp_dev"),
+        (("acme", "dev", "bronze"), "acme_dev_bronze"),
+        (("acme", "test", "gold"), "acme_test_gold"),
+        (("acme", "dev", ""), "acme_dev"),
+        (("acme", "prod", ""), "acme_prod"),
+        (("acme", "dev"), "acme_dev"),
     ],
 )
 def test_catalog(args, expected):
@@ -19,35 +19,35 @@ def test_catalog(args, expected):
 
 @pytest.mark.parametrize("layer", ["bronze", "silver", "gold"])
 def test_schema(layer):
-    assert schema_name("crm", layer) == f"crm_{layer}"
+    assert schema_name("rides", layer) == f"rides_{layer}"
 
 
 @pytest.mark.parametrize("env", ["dev", "test", "prod"])
 def test_table_has_three_parts_and_names_the_environment(env):
-    with_suffix = table_name("mdp", env, "crm", "bronze", "contacts", "bronze")
-    assert with_suffix == f"mdp_{env}_bronze.crm_bronze.contacts"
-    without = table_name("mdp", env, "crm", "gold", "daily")
-    assert without == f"mdp_{env}.crm_gold.daily"
+    with_suffix = table_name("acme", env, "rides", "bronze", "contacts", "bronze")
+    assert with_suffix == f"acme_{env}_bronze.rides_bronze.contacts"
+    without = table_name("acme", env, "rides", "gold", "daily")
+    assert without == f"acme_{env}.rides_gold.daily"
 
 
 @pytest.mark.parametrize("env", ["", "release_in_prod", "DEV"])
 def test_unknown_environment_is_refused(env):
     with pytest.raises(ValueError, match="env must be"):
-        catalog_name("mdp", env)
+        catalog_name("acme", env)
     with pytest.raises(ValueError, match="env must be"):
-        Workspace("mdp", "crm", catalog="spark_catalog").table(env, "gold", "daily")
+        Workspace("acme", "rides", catalog="spark_catalog").table(env, "gold", "daily")
 
 
 def test_workspace_follows_the_same_pattern():
-    assert Workspace("mdp", "crm", "raw").table("dev", "silver", "t") == "mdp_dev_raw.crm_silver.t"
+    assert Workspace("acme", "rides", "raw").table("dev", "silver", "t") == "acme_dev_raw.rides_silver.t"
 
 
 def test_environments_of_a_shared_catalog_stay_apart():
-    shared = Workspace("mdp", "crm", catalog="spark_catalog")
-    assert shared.table("dev", "silver", "t") == "spark_catalog.crm_dev_silver.t"
+    shared = Workspace("acme", "rides", catalog="spark_catalog")
+    assert shared.table("dev", "silver", "t") == "spark_catalog.rides_dev_silver.t"
     assert shared.table("dev", "silver", "t") != shared.table("prod", "silver", "t")
 
 
 def test_unknown_layer_is_refused():
     with pytest.raises(ValueError, match="layer must be"):
-        Workspace("mdp", "crm").table("dev", "platinum", "t")
+        Workspace("acme", "rides").table("dev", "platinum", "t")

@@ -35,8 +35,9 @@ rows = st.lists(
 )
 repeated = rows.flatmap(lambda r: st.lists(st.sampled_from(r), min_size=1, max_size=40))
 few = settings(
-    max_examples=12,
+    max_examples=10,
     deadline=None,
+    database=None,
     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
 )
 
