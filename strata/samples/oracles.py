@@ -16,32 +16,29 @@ _MINUTES = f"round({_SECONDS} / 60.0, 2)"
 def _trips(name: str, nan: bool) -> str:
     fare_is_nan = "WHEN l_orderkey % 71 = 0 THEN 'NaN'::DOUBLE" if nan else ""
     return f"""
-    {name}_once AS (
-        SELECT
-            l_orderkey,
-            CASE WHEN l_orderkey % 83 <> 0 THEN o_orderdate END AS tpep_pickup_datetime,
-            CASE WHEN l_orderkey % 79 = 0 THEN NULL
-                 WHEN l_orderkey % 61 = 0 THEN o_orderdate + INTERVAL 400 MILLISECONDS
-                 ELSE l_shipdate END AS tpep_dropoff_datetime,
-            CASE WHEN l_orderkey % 73 <> 0 THEN l_linenumber END AS passenger_count,
-            CASE WHEN l_orderkey % 89 <> 0 THEN l_quantity END AS trip_distance,
-            CASE WHEN l_orderkey % 97 = 0 THEN NULL
-                 {fare_is_nan}
-                 WHEN l_orderkey % 67 = 0 THEN -l_extendedprice
-                 ELSE l_extendedprice END AS fare_amount,
-            l_discount AS extra,
-            l_tax AS mta_tax,
-            CASE WHEN l_returnflag = 'R' THEN l_quantity END AS tip_amount,
-            0.0::DOUBLE AS tolls_amount,
-            o_totalprice AS total_amount,
-            CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS payment_type,
-            l_linestatus AS vendor_name
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    ),
     {name} AS (
-        SELECT * EXCLUDE (l_orderkey) FROM {name}_once
-        UNION ALL
-        SELECT * EXCLUDE (l_orderkey) FROM {name}_once WHERE l_orderkey % 10 = 0
+        SELECT * EXCLUDE (copy) FROM (
+            SELECT
+                CASE WHEN l_orderkey % 83 <> 0 THEN o_orderdate END AS tpep_pickup_datetime,
+                CASE WHEN l_orderkey % 79 = 0 THEN NULL
+                     WHEN l_orderkey % 61 = 0 THEN o_orderdate + INTERVAL 400 MILLISECONDS
+                     ELSE l_shipdate END AS tpep_dropoff_datetime,
+                CASE WHEN l_orderkey % 73 <> 0 THEN l_linenumber END AS passenger_count,
+                CASE WHEN l_orderkey % 89 <> 0 THEN l_quantity END AS trip_distance,
+                CASE WHEN l_orderkey % 97 = 0 THEN NULL
+                     {fare_is_nan}
+                     WHEN l_orderkey % 67 = 0 THEN -l_extendedprice
+                     ELSE l_extendedprice END AS fare_amount,
+                l_discount AS extra,
+                l_tax AS mta_tax,
+                CASE WHEN l_returnflag = 'R' THEN l_quantity END AS tip_amount,
+                0.0::DOUBLE AS tolls_amount,
+                o_totalprice AS total_amount,
+                CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS payment_type,
+                l_linestatus AS vendor_name,
+                unnest(CASE WHEN l_orderkey % 10 = 0 THEN [1, 2] ELSE [1] END) AS copy
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        )
     )"""
 
 
