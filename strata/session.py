@@ -73,22 +73,28 @@ def task_sizes(
     return split, min(most_partitions, math.ceil(total_bytes / partition_bytes))
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of the input's size, for files their size on disk.
+
+    No job runs to find it. None if there is no estimate, as for rows held in Python:
+    Spark then assumes a size far beyond any table.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assumed = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
+    return size if size < assumed // 1024 else None
+
+
 @contextmanager
 def sized_shuffle(df: DataFrame) -> Iterator[None]:
     """Give the job run inside enough shuffle partitions for the input ``df``.
 
     The number in the session is right for one size of input only, and adaptive
-    execution merges partitions but never adds any. The size is the optimizer's
-    estimate, which for files is their size on disk; no job runs to find it. The
-    session's own numbers are only raised, and put back afterwards. Inputs without
-    an estimate, such as rows held in Python, change nothing.
+    execution merges partitions but never adds any. The session's own numbers are
+    only raised, and put back afterwards. An input of unknown size changes nothing.
     """
     spark = df.sparkSession
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))):
-        estimate = 0
     before = {key: spark.conf.get(key) for key in (_SPLIT, _PARTITIONS)}
-    split, partitions = task_sizes(estimate, _bytes(before[_SPLIT]))
+    split, partitions = task_sizes(estimated_bytes(df) or 0, _bytes(before[_SPLIT]))
     try:
         spark.conf.set(_SPLIT, f"{split}b")
         spark.conf.set(_PARTITIONS, str(max(partitions, int(before[_PARTITIONS]))))

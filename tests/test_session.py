@@ -1,8 +1,17 @@
 """Settings, shuffle sizing and the shared folder."""
 
+import os
+
 import pytest
 
-from strata.session import SETTINGS, _bytes, scratch_path, sized_shuffle, task_sizes
+from strata.session import (
+    SETTINGS,
+    _bytes,
+    estimated_bytes,
+    scratch_path,
+    sized_shuffle,
+    task_sizes,
+)
 
 GIB = 2**30
 TIB = 2**40
@@ -68,6 +77,16 @@ def test_small_jobs_keep_the_numbers_of_the_session(spark):
 def test_inputs_of_unknown_size_change_nothing(spark):
     before = numbers(spark)
     unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "n int")
-    with sized_shuffle(unknown):
-        assert numbers(spark)[1] == before[1]
-        assert _bytes(numbers(spark)[0]) == _bytes(before[0])
+    for df in (unknown, unknown.selectExpr("n AS m")):
+        assert estimated_bytes(df) is None
+        with sized_shuffle(df):
+            assert numbers(spark)[1] == before[1]
+            assert _bytes(numbers(spark)[0]) == _bytes(before[0])
+
+
+def test_size_of_a_stored_table_is_the_size_of_its_files(spark):
+    path = scratch_path(spark, "sized")
+    spark.range(100_000).selectExpr("id", "rand(1) AS x").write.option("path", path).saveAsTable("sized_numbers")
+    on_disk = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    assert estimated_bytes(spark.read.table("sized_numbers")) == on_disk
+    spark.sql("DROP TABLE sized_numbers")
