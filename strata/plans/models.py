@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from strata.functions import elapsed_sql
 from strata.names import Workspace
 from strata.plans import taxi
-from strata.quality import Rule, evaluate, observe, require
+from strata.quality import REPORT_SCHEMA, Rule, evaluate, observe, raise_on_failure
 from strata.session import sized_shuffle
 from strata.sinks import refresh
 
@@ -106,19 +106,20 @@ def run_gold_model(
 
 def _build_and_test(
     spark: SparkSession, sql: str, target: str, tests: Sequence[Rule], format: str
-) -> DataFrame:
-    """Store a model, then require its tests.
+) -> list[Row]:
+    """Store a model, then require its tests; returns the rows of their report.
 
     Row tests are counted while the table is written; only key tests read it back.
     """
     table = target.split(".")[-1]
+    keyed = [t for t in tests if t.is_keyed]
     counted, observed = observe(spark.sql(sql), [t for t in tests if not t.is_keyed], table)
     refresh(counted, target, format)
-    report = observed.report(spark)
-    keyed = [t for t in tests if t.is_keyed]
+    lines = observed.lines()
     if keyed:
-        report = report.unionAll(evaluate(spark.read.table(target), keyed, table))
-    return require(report)
+        lines += evaluate(spark.read.table(target), keyed, table).collect()
+    raise_on_failure(lines)
+    return lines
 
 
 def run_gated(
@@ -143,4 +144,4 @@ def run_gated(
         first = _build_and_test(spark, clean_model(bronze), silver, silver_tests, workspace.format)
     summary = daily_model(silver, exact=exact)
     second = _build_and_test(spark, summary, gold, gold_tests, workspace.format)
-    return first.unionAll(second)
+    return spark.createDataFrame(first + second, REPORT_SCHEMA)

@@ -1,7 +1,14 @@
 """Quality rules, their one-pass evaluation, and data contracts."""
 
 from strata.quality.contracts import Contract, check_table, load_contract, schema_problems
-from strata.quality.report import ContractViolation, evaluate, observe, require
+from strata.quality.report import (
+    REPORT_SCHEMA,
+    ContractViolation,
+    evaluate,
+    observe,
+    raise_on_failure,
+    require,
+)
 from strata.quality.rules import (
     Rule,
     accepted_values,
@@ -21,6 +28,7 @@ from strata.quality.rules import (
 )
 
 __all__ = [
+    "REPORT_SCHEMA",
     "Contract",
     "ContractViolation",
     "Rule",
@@ -36,6 +44,7 @@ __all__ = [
     "not_null",
     "observe",
     "primary_key",
+    "raise_on_failure",
     "require",
     "row_count_above",
     "schema_problems",

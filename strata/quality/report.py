@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,24 +107,26 @@ class Observed:
         self._rules = rules
         self._table = table
 
-    def report(self, spark: SparkSession) -> DataFrame:
-        """The report; waits for the write to have run."""
+    def lines(self) -> list[Row]:
+        """The report's rows; waits for the write to have run."""
         counted = self._observation.get
-        return spark.createDataFrame(
-            [
-                (
-                    self._table,
-                    rule.name,
-                    rule.column,
-                    rule.severity,
-                    counted[_TOTAL],
-                    counted[f"__{i}"],
-                    counted[f"__{i}"] == 0,
-                )
-                for i, rule in enumerate(self._rules)
-            ],
-            REPORT_SCHEMA,
-        )
+        line = Row(*REPORT_SCHEMA.names)
+        return [
+            line(
+                self._table,
+                rule.name,
+                rule.column,
+                rule.severity,
+                counted[_TOTAL],
+                counted[f"__{i}"],
+                counted[f"__{i}"] == 0,
+            )
+            for i, rule in enumerate(self._rules)
+        ]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The report as a DataFrame."""
+        return spark.createDataFrame(self.lines(), REPORT_SCHEMA)
 
 
 def observe(df: DataFrame, rules: Sequence[Rule], table: str = "") -> tuple[DataFrame, Observed]:
@@ -140,19 +142,24 @@ def observe(df: DataFrame, rules: Sequence[Rule], table: str = "") -> tuple[Data
     return df.observe(observation, *counters), Observed(observation, rules, table)
 
 
-def require(report: DataFrame) -> DataFrame:
-    """Return ``report`` as stored rows, or raise if a critical rule failed.
-
-    A report has one row per rule, so it is collected whole.
-    """
-    rows = report.collect()
-    failed = [r for r in rows if r.severity == CRITICAL and not r.passed]
+def raise_on_failure(lines: Sequence[Row]) -> None:
+    """Raise :class:`ContractViolation` naming the critical rules that failed."""
+    failed = [line for line in lines if line.severity == CRITICAL and not line.passed]
     if failed:
         raise ContractViolation(
             "; ".join(
-                f"{r.table_name}: {r.rule}({r.column_name or '*'}) fails for "
-                f"{r.failing_rows} of {r.total_rows}"
-                for r in failed
+                f"{line.table_name}: {line.rule}({line.column_name or '*'}) fails for "
+                f"{line.failing_rows} of {line.total_rows}"
+                for line in failed
             )
         )
-    return report.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def require(report: DataFrame) -> DataFrame:
+    """Return ``report`` as evaluated rows, or raise if a critical rule failed.
+
+    A report has one row per rule, so it is collected whole.
+    """
+    lines = report.collect()
+    raise_on_failure(lines)
+    return report.sparkSession.createDataFrame(lines, REPORT_SCHEMA)
