@@ -139,6 +139,10 @@ def _stale(column: str, as_of: str, hours: int) -> str:
     return _table(f"{newest} IS NULL OR {newest} < {limit}")
 
 
+def _unavailable(succeeded: str) -> str:
+    return _table(f"count(*) = 0 OR 100.0 * {_rows(succeeded)} < 99 * count(*)")
+
+
 def _report(tables: tuple[str, ...], *lines: str) -> str:
     return (_with(*tables) if tables else "") + " UNION ALL ".join(lines)
 
@@ -373,16 +377,14 @@ def oracle_sql() -> dict[str, str]:
             _line(
                 "orders",
                 "availability",
-                _table("count(*) = 0 OR 100.0 * count(*) FILTER (WHERE o_orderstatus <> 'P') < 99 * count(*)"),
+                _unavailable("o_orderstatus <> 'P'"),
                 "orders",
                 "ok",
             ),
             _line(
                 "lineitem",
                 "availability",
-                _table(
-                    "count(*) = 0 OR 100.0 * count(*) FILTER (WHERE l_linestatus IN ('F', 'O')) < 99 * count(*)"
-                ),
+                _unavailable("l_linestatus IN ('F', 'O')"),
                 "lineitem",
                 "ok",
             ),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -33,13 +33,15 @@ def added_columns(stored: StructType, batch: StructType) -> list[StructField]:
 
 
 def _aligned(df: DataFrame, fields: list[StructField]) -> DataFrame:
+    """``df`` with exactly these columns in this order; those it lacks are null."""
     present = {name.lower() for name in df.columns}
-    return df.select(
-        *(
-            (F.col(f"`{f.name}`") if f.name.lower() in present else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in fields
-        )
-    )
+
+    def column(field: StructField) -> Column:
+        if field.name.lower() in present:
+            return F.col(f"`{field.name}`").alias(field.name)
+        return F.lit(None).cast(field.dataType).alias(field.name)
+
+    return df.select(*(column(field) for field in fields))
 
 
 def append_evolving(df: DataFrame, table: str, format: str = "parquet") -> None:

@@ -116,8 +116,8 @@ def test_jobs_refuse_an_unknown_environment(spark, workspace, raw):
 
 def test_own_columns_through_both_models(spark):
     rides = spark.sql(
-        """SELECT * FROM VALUES (1, 4.0D, TIMESTAMP '2024-03-01 10:00:00', TIMESTAMP '2024-03-01 10:00:30'),
-           (9, 4.0D, TIMESTAMP '2024-03-01 10:00:00', TIMESTAMP '2024-03-01 10:00:30') AS t(n, p, a, b)"""
+        """SELECT n, 4.0D AS p, TIMESTAMP '2024-03-01 10:00:00' AS a, TIMESTAMP '2024-03-01 10:00:30' AS b
+           FROM VALUES (1), (9) AS t(n)"""
     )
     text = plans.clean_model(
         "{r}", columns=["a", "b", "n", "p"], required=["p"], counted="n", low=1, high=4,
@@ -133,7 +133,8 @@ def test_stored_layers_can_be_held_to_their_contracts(spark, workspace, raw):
     gold = plans.run_all(spark, "dev", raw, workspace)
     silver = workspace.table("dev", "silver", taxi.TRIPS)
     require(check_table(spark, silver, taxi.contract("trips_silver")))
-    report = check_table(spark, gold, taxi.contract("daily_gold"), as_of="2023-01-16 03:00:01", fresh=taxi.DAY)
+    contract = taxi.contract("daily_gold")
+    report = check_table(spark, gold, contract, as_of="2023-01-16 03:00:01", fresh=taxi.DAY)
     assert {r.rule for r in report.filter("NOT passed").collect()} == set()
     with pytest.raises(ContractViolation, match="total_trips: missing"):
         check_table(spark, silver, taxi.contract("daily_gold"))

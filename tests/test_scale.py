@@ -84,12 +84,11 @@ def hot(spark):
         "id % 3 = 0 AS copied",
         "id",
     )
-    start = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") % 3 == 2, F.col("shift")).otherwise(0))
+    start = F.lit(1_700_000_000) + F.when(F.col("id") % 3 == 2, F.col("shift")).otherwise(0)
+    end = start + 60 + F.when(F.col("copied"), 0).otherwise(F.col("id"))
     return base.select(
-        start.alias("tpep_pickup_datetime"),
-        F.timestamp_seconds(F.unix_seconds(start) + 60 + F.when(F.col("copied"), 0).otherwise(F.col("id"))).alias(
-            "tpep_dropoff_datetime"
-        ),
+        F.timestamp_seconds(start).alias("tpep_pickup_datetime"),
+        F.timestamp_seconds(end).alias("tpep_dropoff_datetime"),
         F.lit(2).alias("passenger_count"),
         F.lit(1.5).alias("trip_distance"),
         F.lit(10.0).alias("fare_amount"),

@@ -42,7 +42,8 @@ def test_task_counts_stay_bounded():
 
 
 @pytest.mark.parametrize(
-    ("text", "expected"), [("134217728b", 134217728), ("128MB", 2**27), ("1g", GIB), ("64", 64), ("2 k", 2048)]
+    ("text", "expected"),
+    [("134217728b", 134217728), ("128MB", 2**27), ("1g", GIB), ("64", 64), ("2 k", 2048)],
 )
 def test_sizes_are_read_as_spark_writes_them(text, expected):
     assert _bytes(text) == expected
@@ -86,7 +87,8 @@ def test_inputs_of_unknown_size_change_nothing(spark):
 
 def test_size_of_a_stored_table_is_the_size_of_its_files(spark):
     path = scratch_path(spark, "sized")
-    spark.range(100_000).selectExpr("id", "rand(1) AS x").write.option("path", path).saveAsTable("sized_numbers")
+    numbers = spark.range(100_000).selectExpr("id", "rand(1) AS x")
+    numbers.write.option("path", path).saveAsTable("sized_numbers")
     on_disk = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
     assert estimated_bytes(spark.read.table("sized_numbers")) == on_disk
     spark.sql("DROP TABLE sized_numbers")
