@@ -1,6 +1,13 @@
 """Quality rules, their one-pass evaluation, and data contracts."""
 
-from strata.quality.contracts import Contract, check_table, load_contract, schema_problems
+from strata.quality.contracts import (
+    Contract,
+    check_table,
+    load_contract,
+    load_document,
+    model_tests,
+    schema_problems,
+)
 from strata.quality.report import (
     REPORT_SCHEMA,
     ContractViolation,
@@ -39,6 +46,8 @@ __all__ = [
     "evaluate",
     "freshness",
     "load_contract",
+    "load_document",
+    "model_tests",
     "no_duplicates",
     "no_future",
     "not_null",

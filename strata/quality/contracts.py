@@ -39,6 +39,9 @@ RULES: dict[str, Callable[[dict, str, object], R.Rule]] = {
     "no_duplicates": lambda r, s, _: R.no_duplicates(s),
 }
 
+# The tests a model's column can have.
+COLUMN_TESTS = ("not_null", "unique", "accepted_values")
+
 
 @dataclass(frozen=True)
 class Field:
@@ -121,16 +124,43 @@ class Contract:
         return R.availability(column, self.availability_percent)
 
 
-def load_contract(path: str | Path) -> Contract:
-    """Read a contract from a YAML or JSON file on the driver."""
+def load_document(path: str | Path) -> dict:
+    """Read a YAML or JSON file on the driver."""
     text = Path(path).read_text(encoding="utf-8")
     if Path(path).suffix == ".json":
-        return Contract.parse(json.loads(text))
+        return json.loads(text)
     try:
         import yaml
     except ImportError as error:
-        raise ImportError("reading YAML contracts needs PyYAML; JSON works without") from error
-    return Contract.parse(yaml.safe_load(text))
+        raise ImportError("reading YAML needs PyYAML; JSON works without") from error
+    return yaml.safe_load(text)
+
+
+def load_contract(path: str | Path) -> Contract:
+    """Read a contract from a YAML or JSON file."""
+    return Contract.parse(load_document(path))
+
+
+def model_tests(document: Mapping) -> dict[str, list[R.Rule]]:
+    """Column tests by model, from a document that lists ``models`` and their ``columns``.
+
+    A test is a name (``not_null``, ``unique``) or a name with arguments
+    (``accepted_values: {values: [...]}``); its severity is ``error`` unless it says
+    ``warn``.
+    """
+    tests: dict[str, list[R.Rule]] = {}
+    for model in document.get("models", ()):
+        rules = tests.setdefault(model["name"], [])
+        for column in model.get("columns", ()):
+            for test in column.get("tests") or column.get("data_tests") or ():
+                name, arguments = (test, {}) if isinstance(test, str) else next(iter(test.items()))
+                arguments = arguments or {}
+                if name not in COLUMN_TESTS:
+                    raise ValueError(f"unknown test of {model['name']}: {name}")
+                level = arguments.get("severity", arguments.get("config", {}).get("severity"))
+                severity = R.WARNING if level == "warn" else R.CRITICAL
+                rules.append(RULES[name]({**arguments, "column": column["name"]}, severity, None))
+    return tests
 
 
 def schema_problems(df: DataFrame, contract: Contract) -> list[str]:

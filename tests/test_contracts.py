@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.plans import aggregate, clean, clean_model, taxi
-from strata.quality import Contract, ContractViolation, evaluate, load_contract, require, schema_problems
+from strata.quality import (
+    Contract,
+    ContractViolation,
+    evaluate,
+    load_contract,
+    load_document,
+    model_tests,
+    require,
+    schema_problems,
+)
 
 DOCUMENT = {
     "metadata": {"name": "things", "layer": "silver"},
@@ -137,3 +146,47 @@ def test_zero_durations_of_the_sql_path_break_the_silver_contract(spark):
     silver = spark.sql(clean_model("{b}"), b=bronze)
     with pytest.raises(ContractViolation, match="value_above.trip_duration_minutes. fails for 1 of 2"):
         require(evaluate(silver, taxi.contract("trips_silver").rules(), "silver"))
+
+
+MODELS = """
+version: 2
+models:
+  - name: riders
+    columns:
+      - name: id
+        description: Key.
+        tests: [not_null, unique]
+      - name: seats
+        tests:
+          - not_null: {severity: warn}
+          - accepted_values: {values: [1, 2]}
+      - name: note
+  - name: empty
+"""
+
+
+def test_column_tests_of_models_become_rules(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "models.yml").write_text(MODELS)
+    tests = model_tests(load_document(tmp_path / "models.yml"))
+    assert tests["empty"] == []
+    assert [(r.name, r.column, r.severity) for r in tests["riders"]] == [
+        ("not_null", "id", "critical"),
+        ("unique", "id", "critical"),
+        ("not_null", "seats", "warning"),
+        ("accepted_values", "seats", "critical"),
+    ]
+    df = spark.sql("SELECT * FROM VALUES (1, 1), (1, 3), (null, null) AS t(id, seats)")
+    report = evaluate(df, tests["riders"], "riders").collect()
+    assert {(r.rule, r.column_name): r.failing_rows for r in report} == {
+        ("not_null", "id"): 1,
+        ("unique", "id"): 1,
+        ("not_null", "seats"): 1,
+        ("accepted_values", "seats"): 1,
+    }
+
+
+def test_unknown_column_test_is_refused():
+    document = {"models": [{"name": "m", "columns": [{"name": "c", "tests": ["relationships"]}]}]}
+    with pytest.raises(ValueError, match="unknown test of m: relationships"):
+        model_tests(document)

@@ -63,6 +63,18 @@ def test_source_options_reach_the_connector(spark, path):
     assert rows(read) == [(1, "a")]
 
 
+def test_connector_without_a_path_gets_only_its_options():
+    """No database is reachable here, so only the calls can be checked."""
+    session = MagicMock()
+    options = {"url": "jdbc:x", "dbtable": "trips", "partitionColumn": "id"}
+    result = read_source(session, format="jdbc", options=options)
+    session.read.format.assert_called_once_with("jdbc")
+    reader = session.read.format.return_value.options
+    reader.assert_called_once_with(**options)
+    reader.return_value.load.assert_called_once_with(None)
+    assert result is reader.return_value.load.return_value
+
+
 def test_first_append_creates_the_table_and_later_ones_add_rows(spark, table):
     batch = frame(spark, [(1, 2.0)], "id int, fare double")
     append_evolving(batch, table)
