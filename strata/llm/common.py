@@ -147,3 +147,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_rows(rows: DataFrame, partitions: int) -> DataFrame:
+    """``rows`` dealt out by bucket, each partition sorted by it."""
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")

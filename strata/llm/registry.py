@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import licenses, quality, token_counts
+from strata.llm import html_text, licenses, quality, substrings, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": token_counts.query,
+        "op4_html_text": html_text.query,
+        "op7_substring_dedup": substrings.query,
         "op9_quality_rules": quality.query,
         "op10_license_scan": licenses.query,
     }
