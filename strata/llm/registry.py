@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import html_text, licenses, quality, substrings, token_counts
+from strata.llm import html_text, licenses, quality, substrings, suffixes, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffixes.query,
         "op3_token_counts": token_counts.query,
         "op4_html_text": html_text.query,
         "op7_substring_dedup": substrings.query,
