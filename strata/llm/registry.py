@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import html_text, licenses, near_dups, quality, substrings, suffixes, token_counts
+from strata.llm import decontaminate, html_text, licenses, near_dups, quality, substrings, suffixes, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": suffixes.query,
         "op3_token_counts": token_counts.query,
         "op4_html_text": html_text.query,
+        "op5_decontaminate": decontaminate.query,
         "op6_near_dups": near_dups.query,
         "op7_substring_dedup": substrings.query,
         "op9_quality_rules": quality.query,
