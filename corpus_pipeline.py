@@ -1,21 +1,56 @@
-"""A corpus pipeline: each stage works on all that the one before it kept."""
+"""A corpus pipeline: each stage works on all that the one before it kept.
+
+Every stage returns the columns of ``documents`` but the last, which returns token ids. Rows
+without a doc_id stay in every stage that names documents by it.
+"""
 
 from __future__ import annotations
 
-from strata.llm import quality
+from strata.llm import decontaminate, near_dups, quality, subwords, suffixes
 from strata.llm.common import read, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MODEL = "piece_bpe_32k.model"
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Drops documents that fail the base rules themselves or come from a failing host."""
-    return quality.host_rules(docs).filter("kept").select(*COLUMNS)
+    """Documents go that fail the base rules themselves or come from a failing host."""
+    return quality.host_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    dropped = near_dups.near_classes(docs).filter("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+
+
+def repeated_strings(spark, docs, sf_dir):
+    """Strings of 100 bytes that start earlier in the corpus are cut out of the texts."""
+    return suffixes.without_repeats(docs).select(*COLUMNS)
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+
+
+def token_ids(spark, docs, sf_dir):
+    """The remaining texts as token ids that decode to them."""
+    import public_tokenizers
+
+    return subwords.encode(docs, public_tokenizers.path(MODEL))
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("benchmark leaks", benchmark_leaks),
+    ("token ids", token_ids),
+]
 
-#: Token ids and exact near-duplicate classes are beyond SQL.
+#: Seeded subword ids and components of near-duplicates are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.session import scratch_path
 
 #: Bytes of text that one step in a task works on; a longer text is a step by itself.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: What a null doc_id counts as: it comes after every other document.
 NO_ID = 2**63 - 1
 
@@ -92,7 +92,7 @@ def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             np.multiply.accumulate(x, out=x)
         up, down = ones
-        if size <= STEP_BYTES * 2:
+        if size <= STEP_BYTES * 3:
             _powers[which] = ones
     return up, down
 
@@ -133,9 +133,19 @@ def spans_gather(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return index
 
 
+def spans_slices(lengths: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs [b, e) of spans with about ``size`` elements at most, but at least one span."""
+    before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    b = 0
+    while b < len(lengths):
+        e = max(b + 1, int(np.searchsorted(before, before[b] + size, "right")) - 1)
+        yield b, e
+        b = e
+
+
 def text_key(text: str | Column = "text") -> Column:
-    """Tells apart rows that share a doc_id."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    """Tells apart rows that share a doc_id, in 15 bits, as every packed string carries it."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(2**15))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

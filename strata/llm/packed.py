@@ -17,15 +17,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mixed, spans_gather, steps
+from strata.llm.common import STEP_BYTES, U64, mixed, spans_gather, steps, stored
 
 #: A key is hot if it has more than one in so many of all strings; there are no more than
 #: ``HOT_SHARE`` such keys, so the set of them can be broadcast.
 HOT_SHARE = 500
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 8
 #: Bytes of strings that a reducing task works on at a time, but at least one bucket.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
+#: Of the compression; strings are moved once and opened once.
+LEVEL = 6
 
 ROWS = "bucket int, kind int, body binary"
 PACKED = 0  # strings
@@ -43,17 +45,15 @@ def pack(bucket: np.ndarray, kind: int, columns: list[np.ndarray], data: np.ndar
     """One compressed row for each bucket with its elements of ``columns`` and its strings."""
     order = np.argsort(bucket, kind="stable")
     keys, first = np.unique(bucket[order], return_index=True)
-    ends = np.append(first[1:], len(order))
+    ends = np.append(first, len(order))[1:]
     columns = [np.ascontiguousarray(c[order]) for c in columns]
     if data is not None:
         begins, lengths = begins[order], lengths[order].astype(np.int32)
-        gathered = data[spans_gather(begins, lengths)]
-        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    squeeze, bodies = zstandard.ZstdCompressor(level=3), []
+    squeeze, bodies = zstandard.ZstdCompressor(level=LEVEL), []
     for b, e in zip(first.tolist(), ends.tolist(), strict=True):
         body = np.int64(e - b).tobytes() + b"".join(c[b:e].tobytes() for c in columns)
         if data is not None:
-            body += lengths[b:e].tobytes() + gathered[upto[b] : upto[e]].tobytes()
+            body += lengths[b:e].tobytes() + data[spans_gather(begins[b:e], lengths[b:e])].tobytes()
         bodies.append(squeeze.compress(body))
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int32()), pa.array(np.full(len(keys), kind, np.int32)), pa.array(bodies, pa.binary())],
@@ -106,9 +106,9 @@ def intervals_batch(doc_id: np.ndarray, fp: np.ndarray, begin: np.ndarray, end:
     new[1:] = (doc_id[1:] != doc_id[:-1]) | (fp[1:] != fp[:-1])
     first = np.flatnonzero(new)
     pairs = np.stack([begin, end], 1).astype(np.int32)
-    bodies = [pairs[b:e].tobytes() for b, e in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+    bodies = [pairs[b:e].tobytes() for b, e in zip(first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_id[first]), pa.array(fp[first]), pa.array(bodies, pa.binary())], ["doc_id", "fp", "body"]
+        [pa.array(doc_id[first]), pa.array(fp[first].astype(np.int64)), pa.array(bodies, pa.binary())], ["doc_id", "fp", "body"]
     )
 
 
@@ -152,7 +152,7 @@ def hot_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], s
             out = np.append(keys[often].view(np.int64), 0), np.append(counts[often], counts.sum())
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int64))], ["key", "n"])
 
-    found = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "often")
     total = F.max(F.when(F.col("key") == 0, F.col("n")))
     hot = found.filter((F.col("key") != 0) & (F.col("n") * (2 * HOT_SHARE) > found.agg(total).scalar()))
     return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64).view(U64))
@@ -161,14 +161,31 @@ def hot_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], s
 def remove(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """Join each document with all its intervals; ``finish`` makes the result of a batch.
 
-    ``docs`` has doc_id (null as ``NO_ID``), fp, text; ``finish`` gets a record batch of these
-    and an array of [begin, end) pairs for each row.
+    ``docs`` has doc_id (null as ``NO_ID``), fp, text and any further columns; ``finish`` gets a
+    record batch of these and an array of [begin, end) pairs for each row. Texts are shuffled
+    compressed.
     """
     gathered = intervals.groupBy("doc_id", "fp").agg(F.collect_list("body").alias("bodies"))
-    joined = docs.join(gathered, ["doc_id", "fp"], "left")
+    names = [c for c in docs.columns if c != "text"]
 
-    def run(batches):
+    def squeeze(batches):
         for part in steps(batches, "text"):
+            tool = zstandard.ZstdCompressor(level=LEVEL)
+            bodies = [tool.compress(x.encode()) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(bodies, pa.binary())], [*names, "squeezed"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    small = docs.select(*names, "text").mapInArrow(squeeze, f"{kinds}, squeezed binary")
+    joined = small.join(gathered, ["doc_id", "fp"], "left")
+
+    def opened(batches):
+        tool = zstandard.ZstdDecompressor()
+        for part in steps(batches, "squeezed", STEP_BYTES // 4):
+            texts = pa.array([tool.decompress(x).decode() for x in part.column("squeezed").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.select([*names, "bodies"]).columns, texts], [*names, "bodies", "text"])
+
+    def run(batches):
+        for part in steps(opened(batches), "text"):
             pairs = [
                 np.frombuffer(b"".join(x), np.int32).reshape(-1, 2) if x else np.zeros((0, 2), np.int32)
                 for x in part.column("bodies").to_pylist()

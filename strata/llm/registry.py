@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, html_text, licenses, near_dups, quality, substrings, suffixes, token_counts
+from strata.llm import decontaminate, html_text, licenses, near_dups, quality, substrings, subwords, suffixes, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffixes.query,
+        "op2_subwords": subwords.query,
         "op3_token_counts": token_counts.query,
         "op4_html_text": html_text.query,
         "op5_decontaminate": decontaminate.query,

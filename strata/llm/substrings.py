@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import packed
-from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, mixed, shuffle_partitions, steps, text_bytes, text_key, word_spans
+from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, mixed, shuffle_partitions, spans_slices, steps, text_bytes, text_key, word_spans
 
 WINDOW, MINIMISER = 13, 3
 
@@ -85,8 +85,19 @@ class _Cut:
 
 def _window_hashes(data, begins, ends, window):
     n = len(begins) - window + 1
-    a, b = Rolling(data), Rolling(data, 1)
-    return a.runs(begins[:n], ends[window - 1 :]), b.runs(begins[:n], ends[window - 1 :])
+    return tuple(Rolling(data, which).runs(begins[:n], ends[window - 1 :]) for which in (0, 1))
+
+
+def _string_windows(data, first, lengths, b: int, e: int, window: int):
+    """Of strings b to e: the string and number of each window, and its hashes."""
+    low, high = first[b], first[e - 1] + lengths[e - 1]
+    begins, ends, counts = word_spans(data[low:high], np.append(first[b:e], high) - low)
+    h1, h2 = _window_hashes(data[low:high], begins, ends, window)
+    windows = np.diff(counts) - window + 1
+    of = np.repeat(np.arange(e - b), windows)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = counts[of] + number
+    return of + b, number, h1[at], h2[at]
 
 
 def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -112,7 +123,7 @@ def intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> Data
             cut = _Cut(part, window, m)
             if not len(cut.first):
                 continue
-            ids, fps = long_ids(part.column("doc_id")), part.column("fp").to_numpy()
+            ids, fps = long_ids(part.column("doc_id")), part.column("fp").to_numpy().astype(np.int16)
             doc, fp = ids[cut.owner], fps[cut.owner]
             start = cut.first - cut.counts[cut.owner]
             begins, ends = cut.begins[cut.first], cut.ends[cut.last + window - 1]
@@ -148,23 +159,18 @@ def intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> Data
         for held in packed.bucket_groups(batches):
             found = []
             if packed.PACKED in held:
-                (doc, fp, start), data, first, lengths = packed.unpack(held[packed.PACKED], ["i8", "i8", "i4"], True)
-                data = np.append(data, np.uint8(0x20))
-                begins, ends, counts = word_spans(data, np.append(first, len(data) - 1))
-                h1, h2 = _window_hashes(data, begins, ends, window)
-                windows = np.diff(counts) - window + 1
-                of = np.repeat(np.arange(len(doc)), windows)
-                number = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = counts[of] + number
-                later = _later(h1[at], h2[at], doc[of])
+                (doc, fp, start), data, first, lengths = packed.unpack(held[packed.PACKED], ["i8", "i2", "i4"], True)
+                parts = [_string_windows(data, first, lengths, b, e, window) for b, e in spans_slices(lengths)]
+                of, number, h1, h2 = (np.concatenate(c) for c in zip(*parts, strict=True))
+                later = _later(h1, h2, doc[of])
                 of, number = of[later], number[later]
                 found.append((doc[of], fp[of], start[of] + number, start[of] + number + window))
             if packed.SINGLE in held:
-                (doc, fp, start, h1, h2), *_ = packed.unpack(held[packed.SINGLE], ["i8", "i8", "i4", "u8", "u8"], False)
+                (doc, fp, start, h1, h2), *_ = packed.unpack(held[packed.SINGLE], ["i8", "i2", "i4", "u8", "u8"], False)
                 later = _later(h1, h2, doc)
                 found.append((doc[later], fp[later], start[later], start[later] + window))
             if packed.KNOWN in held:
-                found.append(packed.unpack(held[packed.KNOWN], ["i8", "i8", "i4", "i4"], False)[0])
+                found.append(packed.unpack(held[packed.KNOWN], ["i8", "i2", "i4", "i4"], False)[0])
             yield packed.intervals_batch(*packed.merged(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return bucket_rows(docs.mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, packed.INTERVALS)
@@ -173,9 +179,10 @@ def intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> Data
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *further: str) -> DataFrame:
     """doc_id with null as ``NO_ID``, a fingerprint that parts rows sharing it, and the text."""
     return docs.select(
+        *further,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         text_key().alias("fp"),
         F.coalesce("text", F.lit("")).alias("text"),

@@ -104,13 +104,15 @@ def repeated(doc, start, before, data, first, lengths, length: int, trigger: int
     doc, start, before, first, lengths = (x[order].astype(np.int64) for x in (doc, start, before, first, lengths))
     after = lengths - before
     n, width = len(doc), length - trigger
-    column = np.arange(length)
     data = np.append(data, np.uint8(0))
-    phrases = np.where(column < before[:, None], data[np.maximum((first + before)[:, None] - 1 - column, 0)], 0).astype(np.uint8)
-    column = np.arange(width)
-    place = np.minimum((first + before)[:, None] + column, len(data) - 1)
-    followers = np.where(column < after[:, None], data[place], 0).astype(np.uint8)
-    dictionary, parse = _suffix_array(np.ascontiguousarray(phrases)), _suffix_array(np.ascontiguousarray(followers))
+    phrases, followers = np.zeros((n, length), np.uint8), np.zeros((n, width), np.uint8)
+    back, ahead = np.arange(length, dtype=np.int32), np.arange(width, dtype=np.int32)
+    for b in range(0, n, 4096):
+        e = min(n, b + 4096)
+        middle = (first[b:e] + before[b:e])[:, None]
+        phrases[b:e] = np.where(back < before[b:e, None], data[np.maximum(middle - 1 - back, 0)], 0)
+        followers[b:e] = np.where(ahead < after[b:e, None], data[np.minimum(middle + ahead, len(data) - 1)], 0)
+    dictionary, parse = _suffix_array(phrases), _suffix_array(followers)
     # Strings can repeat only where the best agreements on both sides reach the length.
     best = np.zeros(n, np.int64)
     for rank, common in (dictionary, parse):
@@ -145,7 +147,7 @@ def intervals(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
             parse = _Parse(part, length, trigger)
             if not len(parse.first):
                 continue
-            ids, fps = long_ids(part.column("doc_id")), part.column("fp").to_numpy()
+            ids, fps = long_ids(part.column("doc_id")), part.column("fp").to_numpy().astype(np.int16)
             doc, fp = ids[parse.owner], fps[parse.owner]
             base = parse.offsets[parse.owner]
             start, ends = parse.first - base, parse.last + length
@@ -175,15 +177,15 @@ def intervals(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
         for held in packed.bucket_groups(batches):
             found = []
             if packed.PACKED in held:
-                (doc, fp, start, before), data, first, lengths = packed.unpack(held[packed.PACKED], ["i8", "i8", "i4", "i4"], True)
+                (doc, fp, start, before), data, first, lengths = packed.unpack(held[packed.PACKED], ["i8", "i2", "i4", "i4"], True)
                 row, begin, end = repeated(doc, start, before, data, first, lengths, length, trigger)
                 found.append((doc[row], fp[row], begin, end))
             if packed.SINGLE in held:
-                (doc, fp, start, w1, w2), *_ = packed.unpack(held[packed.SINGLE], ["i8", "i8", "i4", "u8", "u8"], False)
+                (doc, fp, start, w1, w2), *_ = packed.unpack(held[packed.SINGLE], ["i8", "i2", "i4", "u8", "u8"], False)
                 later = _later(doc, start, w2, w1)
                 found.append((doc[later], fp[later], start[later], start[later] + length))
             if packed.KNOWN in held:
-                found.append(packed.unpack(held[packed.KNOWN], ["i8", "i8", "i4", "i4"], False)[0])
+                found.append(packed.unpack(held[packed.KNOWN], ["i8", "i2", "i4", "i4"], False)[0])
             yield packed.intervals_batch(*packed.merged(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return bucket_rows(docs.mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, packed.INTERVALS)
@@ -214,6 +216,40 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     return packed.remove(docs, intervals(docs, length, trigger), finish, SCHEMA)
 
 
+def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of the bytes to remove those whose whole character goes."""
+    first = np.flatnonzero((text & 0xC0) != 0x80)
+    if not len(first):
+        return gone
+    all_gone = np.logical_and.reduceat(gone, first)
+    return np.repeat(all_gone, np.diff(np.append(first, len(text))))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
+    """``documents`` without their repeated strings, cut at whole characters.
+
+    Texts stay UTF-8: a character goes only with all its bytes. A document of which nothing is
+    left goes; one that was empty before stays.
+    """
+    docs = keyed(docs, "lang", "source")
+
+    def finish(part, pairs):
+        data, offsets = text_bytes(part.column("text"))
+        texts, keep = [], []
+        for i, own in enumerate(pairs):
+            text = data[offsets[i] : offsets[i + 1]]
+            if len(own):
+                text = text[~whole_characters(text, packed.covered(own, len(text)))]
+            texts.append(text.tobytes().decode())
+            keep.append(len(text) > 0 or offsets[i + 1] == offsets[i])
+        ids = part.column("doc_id").to_numpy()
+        arrays = [pa.array(ids, mask=ids == NO_ID), pa.array(texts, pa.string()), part.column("lang"), part.column("source"), pa.array([len(t) for t in texts], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "lang", "source", "n_chars"]).filter(pa.array(keep, pa.bool_()))
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return packed.remove(docs, intervals(docs, length, trigger), finish, schema)
+
+
 def query(spark, sf_dir):
     from strata.llm.common import read
 

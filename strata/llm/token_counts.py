@@ -42,8 +42,9 @@ class Transducer:
             for i in range(self.library.vocab_size())
             if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))
         ]
+        self.width = [len(self.library.id_to_piece(i)) for i in range(self.library.vocab_size())]
         alphabet = sorted({ord(c) for p in pieces if len(p) > 1 for c in p} | {MARK})
-        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes = np.zeros(0x110001, np.uint16)  # one more for a symbol outside Unicode
         self.classes[alphabet] = np.arange(1, len(alphabet) + 1)
         self.joins = np.zeros((len(alphabet) + 1,) * 2, bool)
         for piece in pieces:
@@ -57,10 +58,15 @@ class Transducer:
             raise ValueError("the vocabulary changes texts before it splits them")
         self.known, self.emits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def symbols(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code points with a mark before each text and for each space, where texts begin, and their bytes."""
+    def symbols(self, column: pa.Array, literal: int = MARK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points with a mark before each text and for each space, where texts begin, and their bytes.
+
+        A mark in the text itself becomes ``literal``.
+        """
         data, offsets = text_bytes(column)
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        if literal != MARK:
+            codes = np.where(codes == MARK, np.uint32(literal), codes)
         leads = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=leads[1:])
         at = leads[offsets]
