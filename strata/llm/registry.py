@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, html_text, licenses, near_dups, quality, substrings, subwords, suffixes, token_counts
+from strata.llm import decontaminate, html_text, licenses, lm_scoring, near_dups, quality, substrings, subwords, suffixes, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.query,
         "op6_near_dups": near_dups.query,
         "op7_substring_dedup": substrings.query,
+        "op8_lm_scoring": lm_scoring.query,
         "op9_quality_rules": quality.query,
         "op10_license_scan": licenses.query,
     }
