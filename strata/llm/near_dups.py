@@ -7,11 +7,13 @@ to a table key: ``SIDE ** 2`` tables from ``4 * SIDE`` minhashes. Texts of simil
 no key with probability below 2 * (1 - 0.75 ** 2) ** SIDE, 0.0001 for 12.
 
 Documents with equal sets are one class. The classes of a key meet in its bucket: a small
-bucket gives all its pairs, a larger one a star around its smallest class (and a star in each
-task step before, so that a hot key sends a few classes a step). Pairs are verified on full
-sets, and links become components. Where a larger bucket still holds several components, its
+bucket gives all its pairs, a larger one a star around its smallest class. A key that is hot in
+a task step sends only its smallest class from there; its members are written aside and meet
+the key's hub in a join. Pairs are verified on full sets, and links become components. Where a
+larger bucket still holds several components, its
 classes get an exact join: any two sets of the similarity share one of the first shingles of
-each, rarest first, so classes that only share a frequent passage do not meet. No pair of a
+each, rarest first, with enough shingles left behind it in both, so classes that only share a
+frequent passage do not meet. No pair of a
 bucket is lost.
 
 Null and empty texts, and texts without words, have an empty set, are linked with nothing and
@@ -35,7 +37,7 @@ from strata.llm.components import components
 WORDS, PERCENT, SIDE = 5, 75, 12
 #: Classes up to which a bucket gives all its pairs.
 SMALL = 8
-EDGE, MEMBER = 1, 2
+EDGE, MEMBER, HUB = 1, 2, 3
 
 _rng = np.random.default_rng(6)
 _FACTORS = _rng.integers(0, 2**63, 4 * SIDE, dtype=U64) * U64(2) + U64(1)
@@ -107,43 +109,20 @@ def _sketch_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, halves binary")
 
 
-def _pairs_of(keys: np.ndarray, nodes: np.ndarray, few: bool):
-    """Of equal keys: all pairs of small groups; of larger ones a star, members, and who stays.
-
-    With ``few`` small groups give no pairs but stay whole.
-    """
+def _groups(keys: np.ndarray, nodes: np.ndarray):
+    """Distinct (key, node) in order, the smallest node of each key, and how many it has."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
     keys, nodes = keys[new], nodes[new]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(keys)))
-    size, hub = np.repeat(sizes, sizes), np.repeat(nodes[first], sizes)
-    large = size > SMALL
-    star = large & (nodes != hub)
-    pairs = [(hub[star], nodes[star])]
-    if not few:
-        for step in range(1, SMALL):
-            near = ~large[step:] & (keys[step:] == keys[:-step])
-            pairs.append((nodes[:-step][near], nodes[step:][near]))
-    stay = ~star
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    return a, b, keys[large], nodes[large], keys[stay], nodes[stay], large[stay]
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    return keys, nodes, np.repeat(nodes[first], sizes), np.repeat(sizes, sizes)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """``kind``, ``a``, ``b``: pairs of classes, and (key, class) of larger buckets."""
+    """``kind``, ``a``, ``b``: pairs of small buckets; members and hubs of larger ones by key."""
     partitions = shuffle_partitions(classes.sparkSession)
     buckets = partitions * packed.BUCKETS
 
@@ -152,35 +131,39 @@ def candidates(classes: DataFrame) -> DataFrame:
             nodes = part.column("node").to_numpy()
             halves = np.frombuffer(b"".join(part.column("halves").to_pylist()), U64).reshape(len(nodes), -1)
             keys = table_keys(halves)
-            a, b, mk, mn, keys, nodes, large = _pairs_of(keys.ravel(), np.repeat(nodes, keys.shape[1]), True)
-            a, b = _distinct(a, b)
-            yield packed.pack(packed.bucket_of(keys, buckets), 0, [keys, nodes, large], None)
-            yield packed.pack(packed.bucket_of(a.astype(U64) + b.astype(U64), buckets), EDGE, [a, b], None)
-            yield packed.pack(packed.bucket_of(mk + mn.astype(U64), buckets), MEMBER, [mk, mn], None)
+            keys, nodes, hub, size = _groups(keys.ravel(), np.repeat(nodes, keys.shape[1]))
+            large = size > SMALL
+            sent = ~large | (nodes == hub)
+            yield packed.pack(packed.bucket_of(keys[sent], buckets), 0, [keys[sent], nodes[sent], large[sent]], None)
+            aside = large & ~sent
+            yield packed.pack(packed.bucket_of(keys[aside] + nodes[aside].astype(U64), buckets), MEMBER, [keys[aside], nodes[aside]], None)
 
     def rows(kind, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
     def meet(batches):
         for held in packed.bucket_groups(batches):
-            for kind in (EDGE, MEMBER):
-                if kind in held:
-                    yield rows(kind, *packed.unpack(held[kind], ["i8", "i8"], False)[0])
+            if MEMBER in held:
+                yield rows(MEMBER, *packed.unpack(held[MEMBER], ["u8", "i8"], False)[0])
             if 0 not in held:
                 continue
-            (keys, nodes, large), *_ = packed.unpack(held[0], ["u8", "i8", "?"], False)
-            # A bucket that was large in one step is large: its hubs make a star here.
-            big = np.isin(keys, keys[large])
-            a, b, mk, mn, *_ = _pairs_of(keys[~big], nodes[~big], False)
-            order = np.lexsort((nodes[big], keys[big]))
-            k, n = keys[big][order], nodes[big][order]
-            if len(k):
-                new = np.append(True, k[1:] != k[:-1])
-                hub = n[np.flatnonzero(new)][np.cumsum(new) - 1]
-                a, b = np.append(a, hub[n != hub]), np.append(b, n[n != hub])
-                mk, mn = np.append(mk, k), np.append(mn, n)
-            yield rows(EDGE, *_distinct(a, b))
-            yield rows(MEMBER, mk, mn)
+            (keys, nodes, flags), *_ = packed.unpack(held[0], ["u8", "i8", "?"], False)
+            hot = keys[flags]
+            keys, nodes, hub, size = _groups(keys, nodes)
+            large = (size > SMALL) | np.isin(keys, hot)
+            pairs = [(nodes[:0], nodes[:0])]
+            for step in range(1, SMALL):
+                near = ~large[step:] & (keys[step:] == keys[:-step])
+                pairs.append((nodes[:-step][near], nodes[step:][near]))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield rows(EDGE, a[new], b[new])
+            yield rows(MEMBER, keys[large], nodes[large])
+            top = large & (nodes == hub)
+            yield rows(HUB, keys[top], nodes[top])
 
     return bucket_rows(classes.select("node", "halves").mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, "kind int, a long, b long")
 
@@ -214,9 +197,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
 def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components in larger buckets, by an exact prefix-filter join."""
-    of = members.join(labels, members["b"] == labels["node"], "left").select(
-        F.col("a").alias("key"), F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp")
-    )
+    of = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     several = of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     nodes = stored(of.join(several, "key", "left_semi").select("node", "comp").distinct(), "open")
     if nodes.isEmpty():
@@ -238,11 +219,13 @@ def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int =
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = rows.join(often, "shingle").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
     first = stored(
-        ranked.select("node", "comp", "n", F.explode(F.expr(f"slice(order, 1, cast(n - ceil(n * {percent} / 100) + 1 as int)).shingle")).alias("shingle")),
+        ranked.select("node", "comp", "n", F.posexplode(F.expr(f"slice(order, 1, cast(n - ceil(n * {percent} / 100) + 1 as int)).shingle")).alias("at", "shingle")),
         "prefixes",
     )
-    other = first.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    fits = (F.col("comp") < F.col("comp_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+    other = first.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    # At the first shingle that two sets share, what is left of each has to hold all they share.
+    left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("comp") < F.col("comp_b")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n_b")))
     return first.join(other, "shingle").filter(fits).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -254,10 +237,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")), "classes")
     found = stored(candidates(classes), "candidates")
     texts = docs.filter("doc_id is not null")
-    pairs = found.filter(f"kind = {EDGE}").select("a", "b").distinct()
+    members = found.filter(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    hubs = found.filter(f"kind = {HUB}").select(F.col("a").alias("key"), F.col("b").alias("hub"))
+    stars = members.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = stored(found.filter(f"kind = {EDGE}").select("a", "b").unionByName(stars).distinct(), "pairs")
     links = stored(verified(pairs, texts), "verified")
     labels = components(links)
-    more = stored(_rest(found.filter(f"kind = {MEMBER}").select("a", "b"), labels, texts), "pairs")
+    more = stored(_rest(members, labels, texts), "pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(stored(verified(more, texts), "verified")))
     names = classes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("comp", "node").alias("component_id"))
