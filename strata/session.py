@@ -52,6 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables under the shared folder that nothing reads any more.
+
+    Where the session has no access to the file system (Spark Connect), they stay.
+    """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return
+    shared = shared_folder(spark)
+    for path in paths:
+        if not path.startswith(f"{shared}/"):
+            raise ValueError(f"{path} is not in the shared folder")
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 _SPLIT = "spark.sql.files.maxPartitionBytes"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _MIB = 1024 * 1024

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as spark_entry
+from strata.samples import oracles, queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,13 +36,13 @@ def canonical(columns, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_matches_oracle(spark, sf_dir, duck, name):
-    result = spark_entry.queries()[name](spark, sf_dir)
-    oracle = duck.execute(spark_entry.oracle_sql()[name])
+    result = queries.queries()[name](spark, sf_dir)
+    oracle = duck.execute(oracles.oracle_sql()[name])
     columns = [c[0] for c in oracle.description]
     assert sorted(result.columns) == sorted(columns)
     expected = canonical(columns, oracle.fetchall())

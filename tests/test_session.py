@@ -7,6 +7,7 @@ import pytest
 from strata.session import (
     SETTINGS,
     _bytes,
+    discard,
     estimated_bytes,
     scratch_path,
     sized_shuffle,
@@ -92,3 +93,12 @@ def test_size_of_a_stored_table_is_the_size_of_its_files(spark):
     on_disk = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
     assert estimated_bytes(spark.read.table("sized_numbers")) == on_disk
     spark.sql("DROP TABLE sized_numbers")
+
+
+def test_discard_deletes_only_in_the_shared_folder(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    assert not os.path.exists(path)
+    with pytest.raises(ValueError, match="not in the shared folder"):
+        discard(spark, "/tmp/elsewhere")
