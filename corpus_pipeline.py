@@ -7,7 +7,8 @@ without a doc_id stay in every stage that names documents by it.
 from __future__ import annotations
 
 from strata.llm import decontaminate, near_dups, quality, subwords, suffixes
-from strata.llm.common import read, scratch_path
+from strata.llm.common import read
+from strata.session import discard, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = "piece_bpe_32k.model"
@@ -56,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages applied to ``documents``, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

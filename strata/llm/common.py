@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import scratch_path
+from strata.session import discard, scratch_path
 
 #: Bytes of text that one step in a task works on; a longer text is a step by itself.
 STEP_BYTES = 2 << 20
@@ -152,13 +154,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder once and read back: its lineage is cut there."""
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder once and read back: its lineage is cut there.
+
+    Inside ``passing`` the table is deleted at the end of the block, unless ``keep`` is set.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    paths = _passing.get()
+    if paths is not None and not keep:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are only needed there; what leaves the block must be kept or computed."""
+    token = _passing.set([])
+    try:
+        yield
+    finally:
+        discard(spark, *_passing.get())
+        _passing.reset(token)
+
+
 def bucket_rows(rows: DataFrame, partitions: int) -> DataFrame:
     """``rows`` dealt out by bucket, each partition sorted by it."""
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import packed
-from strata.llm.common import U64, Rolling, bucket_rows, lower, mixed, shuffle_partitions, steps, stored, text_bytes, word_spans
+from strata.llm.common import U64, Rolling, bucket_rows, lower, mixed, passing, shuffle_partitions, steps, stored, text_bytes, word_spans
 from strata.llm.components import components
 
 WORDS, PERCENT, SIDE = 5, 75, 12
@@ -232,6 +232,11 @@ def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int =
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with passing(docs.sparkSession):
+        return stored(_near_classes(docs), "near", keep=True)
+
+
+def _near_classes(docs: DataFrame) -> DataFrame:
     rows = stored(_sketch_table(docs), "sketches")
     named = rows.filter("doc_id is not null and n > 0")
     classes = stored(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")), "classes")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import STEP_BYTES, U64, mixed, spans_gather, steps, stored
+from strata.llm.common import STEP_BYTES, U64, mixed, passing, spans_gather, steps, stored
 
 #: A key is hot if it has more than one in so many of all strings; there are no more than
 #: ``HOT_SHARE`` such keys, so the set of them can be broadcast.
@@ -152,10 +152,11 @@ def hot_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], s
             out = np.append(keys[often].view(np.int64), 0), np.append(counts[often], counts.sum())
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int64))], ["key", "n"])
 
-    found = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "often")
-    total = F.max(F.when(F.col("key") == 0, F.col("n")))
-    hot = found.filter((F.col("key") != 0) & (F.col("n") * (2 * HOT_SHARE) > found.agg(total).scalar()))
-    return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64).view(U64))
+    with passing(docs.sparkSession):
+        found = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "often")
+        total = F.max(F.when(F.col("key") == 0, F.col("n")))
+        hot = found.filter((F.col("key") != 0) & (F.col("n") * (2 * HOT_SHARE) > found.agg(total).scalar()))
+        return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64).view(U64))
 
 
 def remove(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str) -> DataFrame:

@@ -24,6 +24,7 @@ WINDOW = 8
 MOST_REPEATED = 30
 WORST_HOST = 0.5
 
+COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 _SPACES = r"' \t\n\u000B\u000C\r'"
 
 
@@ -50,7 +51,11 @@ def _repeated(words: str) -> str:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """The counts of the base rules, and whether a document fails them."""
+    """The counts of the base rules, and whether a document fails them.
+
+    They replace columns of the same names.
+    """
+    docs = docs.drop(*COLUMNS[1:], "_body", "_words", "_host", "_rate")
     trimmed = docs.selectExpr("*", f"trim(both {_SPACES} from coalesce(text, '')) _body")
     split = trimmed.selectExpr("*", r"if(_body = '', cast(array() as array<string>), split(_body, '[ \\t-\\r]+')) _words")
     counted = split.selectExpr(
@@ -73,9 +78,10 @@ def _lines() -> str:
 
 def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     """Failures, documents and shrunk failure rate of each host."""
-    hosts = judged.groupBy(F.col(host).alias("_host")).agg(
+    counts = judged.groupBy(F.col(host).alias("_host")).agg(
         F.count_if("base_failed").alias("_failed"), F.count(F.lit(1)).alias("_docs")
     )
+    hosts = stored(counts, "hosts")  # read twice, for the prior and for the rates
     # Moments of the rates; k = a + b, the documents that the prior is worth.
     moments = hosts.agg(
         (F.sum("_failed") / F.sum("_docs")).alias("_mean"),
@@ -94,33 +100,31 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def host_rules(docs: DataFrame, host: str = "source", worst: float = WORST_HOST) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``."""
-    return judge(measures(docs), host, worst)
-
-
-def judge(counted: DataFrame, host: str = "source", worst: float = WORST_HOST) -> DataFrame:
-    """Rows of ``measures`` with the verdict that also looks at their host.
-
-    The rows are used twice, for the hosts and for the documents, so they are stored once.
-    """
-    judged = stored(counted, "quality")
-    rejected = host_rates(judged, host).filter(F.col("_rate") > worst)
+def judge(measured: DataFrame, rates: DataFrame, host: str = "source", worst: float = WORST_HOST) -> DataFrame:
+    """Rows of ``measures`` with the verdict that also looks at their host."""
+    rejected = rates.filter(F.col("_rate") > worst)
     return (
-        judged.join(rejected, judged[host].eqNullSafe(rejected["_host"]), "left")
+        measured.join(rejected, measured[host].eqNullSafe(rejected["_host"]), "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("_rate").isNull())
         .drop("_host", "_rate")
     )
 
 
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+def host_rules(docs: DataFrame, host: str = "source", worst: float = WORST_HOST) -> DataFrame:
+    """``docs`` with the counts, ``base_failed`` and ``kept``.
+
+    The texts are measured for the hosts' rates and again for the result: storing them between
+    would copy the corpus.
+    """
+    return judge(measures(docs), host_rates(measures(docs), host), host, worst)
 
 
 def query(spark, sf_dir):
     from strata.llm.common import read
 
-    counted = measures(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
-    return judge(counted).select(*COLUMNS)
+    measured = measures(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    measured = stored(measured, "quality")
+    return judge(measured, host_rates(measured)).select(*COLUMNS)
 
 
 ORACLE = r"""

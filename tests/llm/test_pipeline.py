@@ -1,0 +1,90 @@
+"""Quality rules, the registered queries and the pipeline."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as spark_entry
+import corpus_pipeline
+from strata.llm import quality, registry
+
+TABLES = ("documents", "pages", "benchmark", "labels")
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    yield connection
+    connection.close()
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_oracle(spark, sf_dir, duck, name):
+    result = registry.queries()[name](spark, sf_dir)
+    oracle = duck.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in oracle.description]
+    assert result.columns == columns
+    assert sorted(map(repr, map(tuple, result.collect()))) == sorted(map(repr, oracle.fetchall()))
+
+
+def test_all_operators_are_registered():
+    names = set(spark_entry.queries())
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert names >= set(registry.queries()) | {"pipeline"}
+
+
+def quality_rows(text):
+    words = text.split()
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    covered = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if x.split()]
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures_by_hand(documents):
+    texts = ["", " \t\n\x0b\f\r ", "f fluffy f\n\nf fluffy f\n# a$", "a b c d e f g h " * 3, "x " * 30, "one two\n" * 12, "é日 #<>|&%$* end"]
+    got = {r.doc_id: r for r in quality.measures(documents(list(enumerate(texts))).selectExpr("*", "1 as other")).collect()}
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality_rows(text), text
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+
+
+def test_bad_hosts_lose_their_documents_and_small_ones_are_shrunk(documents):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good, "fine") for i in range(50)]
+    rows += [(100 + i, good if i < 5 else "bad", "awful") for i in range(40)]
+    rows += [(200, "bad", "single"), (201, None, None), (202, good, None), (None, good, "fine"), (203, good, "fine"), (203, good, "fine")]
+    got = quality.host_rules(documents(rows)).collect()
+    kept = sorted((r.doc_id for r in got if r.kept), key=str)
+    assert len(got) == len(rows)
+    assert not any(r.kept for r in got if r.source == "awful")
+    assert kept == sorted([*range(50), None, 203, 203, 202], key=str)
+    assert quality.host_rules(documents([])).count() == 0
+
+
+def test_pipeline_plans_no_python_in_the_native_operator(spark, sf_dir):
+    plan = registry.queries()["op9_quality_rules"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_stages_keep_clean_documents_and_apply_their_decisions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    verdicts = {r.doc_id: r.kept for r in registry.queries()["op9_quality_rules"](spark, sf_dir).collect()}
+    assert {r.doc_id for r in kept.collect()} == {d for d, k in verdicts.items() if k}
+    classes = {r.doc_id: r for r in registry.queries()["op6_near_dups"](spark, sf_dir).collect()}
+    single = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert {r.doc_id for r in single.collect()} == {d for d, r in classes.items() if r.component_id == d}
+    leaked = {r.doc_id for r in registry.queries()["op5_decontaminate"](spark, sf_dir).collect()}
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, sf_dir)
+    assert leaked and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - leaked
+    for stage in (kept, single, clean):
+        assert stage.columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_runs_all_stages(spark, sf_dir):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "repeated strings", "benchmark leaks", "token ids"]
+    result = corpus_pipeline.run(spark, sf_dir)
+    assert result.filter("not round_trip or n_tokens <> size(ids)").isEmpty() and result.count() > 500
