@@ -1,7 +1,7 @@
 """Layered batch tables on Spark: ingest, clean, summarise and check."""
 
-from strata.names import Workspace, catalog_name, schema_name, table_name
-from strata.session import SETTINGS, configure, shared_folder
+from strata.names import Workspace, catalog_name, schema_name
+from strata.session import SETTINGS, configure, shared_folder, sized_session
 
 __all__ = [
     "SETTINGS",
@@ -10,5 +10,5 @@ __all__ = [
     "configure",
     "schema_name",
     "shared_folder",
-    "table_name",
+    "sized_session",
 ]

@@ -1,6 +1,6 @@
 """Column expressions shared by the operators and the SQL models."""
 
 from strata.functions.averages import exact_average, rounded_average
-from strata.functions.elapsed import elapsed, elapsed_sql
+from strata.functions.elapsed import elapsed, elapsed_sql, quoted
 
-__all__ = ["elapsed", "elapsed_sql", "exact_average", "rounded_average"]
+__all__ = ["elapsed", "elapsed_sql", "exact_average", "quoted", "rounded_average"]

@@ -23,19 +23,6 @@ def schema_name(prefix: str, layer: str) -> str:
     return f"{prefix}_{layer}"
 
 
-def table_name(
-    catalog_prefix: str,
-    env: str,
-    schema_prefix: str,
-    layer: str,
-    table: str,
-    catalog_suffix: str = "",
-) -> str:
-    """Three-part name of a layer table."""
-    catalog = catalog_name(catalog_prefix, env, catalog_suffix)
-    return f"{catalog}.{schema_name(schema_prefix, layer)}.{table}"
-
-
 @dataclass(frozen=True)
 class Workspace:
     """Where the tables of one data domain live, and in which format.

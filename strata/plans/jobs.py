@@ -22,7 +22,7 @@ from strata.operators import (
     with_elapsed,
 )
 from strata.plans import taxi
-from strata.session import sized_shuffle
+from strata.session import sized_session
 from strata.sinks import append_evolving, refresh
 from strata.sources import read_table
 
@@ -37,8 +37,10 @@ def clean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     The duration follows from the timestamps, so it is added after the copies are
     gone: the shuffle carries one column less.
     """
+    # A stale duration in the input would tell copies apart.
     trips = (
-        df.transform(drop_incomplete, taxi.REQUIRED)
+        df.drop(taxi.DURATION)
+        .transform(drop_incomplete, taxi.REQUIRED)
         .transform(keep_between, taxi.PASSENGERS, taxi.MIN_PASSENGERS, taxi.MAX_PASSENGERS)
         .transform(keep_positive, elapsed(taxi.PICKUP, taxi.DROPOFF))
     )
@@ -73,20 +75,27 @@ def run_silver(
     columns: Sequence[str] | None = None,
 ) -> str:
     """Rebuild silver from bronze."""
-    trips = read_table(spark, workspace.table(env, "bronze", taxi.TRIPS))
+    source = workspace.table(env, "bronze", taxi.TRIPS)
     target = workspace.table(env, "silver", taxi.TRIPS)
-    with sized_shuffle(trips):
-        refresh(clean(trips, columns), target, workspace.format)
+    own = sized_session(read_table(spark, source))
+    refresh(clean(read_table(own, source), columns), target, workspace.format)
+    spark.catalog.refreshTable(target)  # it was written in another session
     return target
 
 
 def run_gold(
     spark: SparkSession, env: str, workspace: Workspace = taxi.WORKSPACE, exact: bool = False
 ) -> str:
-    """Rebuild the daily summary from silver."""
-    trips = read_table(spark, workspace.table(env, "silver", taxi.TRIPS))
+    """Rebuild the daily summary from silver.
+
+    The SQL path stores its summary under the same name, so the later run replaces the
+    other's; give each path a workspace of its own where both run.
+    """
+    source = workspace.table(env, "silver", taxi.TRIPS)
     target = workspace.table(env, "gold", taxi.DAILY)
-    refresh(aggregate(trips, exact), target, workspace.format)
+    own = sized_session(read_table(spark, source), shuffles=False)
+    refresh(aggregate(read_table(own, source), exact), target, workspace.format)
+    spark.catalog.refreshTable(target)
     return target
 
 

@@ -10,11 +10,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from strata.functions import elapsed_sql
+from strata.functions import elapsed_sql, quoted
 from strata.names import Workspace
 from strata.plans import taxi
 from strata.quality import REPORT_SCHEMA, Rule, evaluate, observe, raise_on_failure
-from strata.session import sized_shuffle
+from strata.session import sized_session
 from strata.sinks import refresh
 
 
@@ -35,14 +35,15 @@ def clean_model(
     ``columns`` hold ``start`` and ``end``, from which the duration follows; it is
     added to the distinct rows.
     """
-    complete = " AND ".join(f"{c} IS NOT NULL" for c in required)
+    complete = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in required)
     return f"""
         WITH trips AS (
-            SELECT DISTINCT {", ".join(columns)}
+            SELECT DISTINCT {", ".join(map(quoted, columns))}
             FROM {source}
-            WHERE {complete} AND {counted} BETWEEN {low} AND {high} AND {end} > {start}
+            WHERE {complete} AND {quoted(counted)} BETWEEN {low} AND {high}
+                AND {quoted(end)} > {quoted(start)}
         )
-        SELECT *, {elapsed_sql(start, end)} AS {duration} FROM trips
+        SELECT *, {elapsed_sql(start, end)} AS {quoted(duration)} FROM trips
     """
 
 
@@ -58,24 +59,29 @@ def daily_model(
 ) -> str:
     """SQL of one summary row per day of table or view ``source``.
 
-    ``exact`` averages in integers, for inputs with at most two decimals and no NaN.
+    ``exact`` averages in integers, for inputs with at most two decimals; as with the
+    plain average, a NaN makes the average NaN.
     """
 
     def average(column: str) -> str:
+        name = quoted(column)
         if not exact:
-            return f"ROUND(AVG({column}), 2)"
-        units = f"SUM(CAST(RINT({column} * 100) AS BIGINT))"
-        half = f"IF({units} < 0, -COUNT({column}), COUNT({column}))"
-        return f"({units} * 2 + {half}) DIV NULLIF(COUNT({column}) * 2, 0) / 100"
-
-    measures = [f"COUNT(*) AS {rows}"]
-    measures += [f"{average(column)} AS {name}" for name, column in averages.items()]
-    measures += [f"CAST(SUM({column}) AS BIGINT) AS {name}" for name, column in sums.items()]
+            return f"ROUND(AVG({name}), 2)"
+        number = f"CAST({name} AS DOUBLE)"
+        units = f"SUM(CASE WHEN NOT ISNAN({number}) THEN CAST(RINT({number} * 100) AS BIGINT) END)"
+        half = f"IF({units} < 0, -COUNT({name}), COUNT({name}))"
+        mean = f"({units} * 2 + {half}) DIV NULLIF(COUNT({name}) * 2, 0) / 100"
+        return f"IF(BOOL_OR(ISNAN({number})), DOUBLE('NaN'), {mean})"
+
+    date = f"CAST({quoted(timestamp)} AS DATE)"
+    measures = [f"COUNT(*) AS {quoted(rows)}"]
+    measures += [f"{average(column)} AS {quoted(name)}" for name, column in averages.items()]
+    measures += [f"CAST(SUM({quoted(column)}) AS BIGINT) AS {quoted(name)}" for name, column in sums.items()]
     return f"""
-        SELECT CAST({timestamp} AS DATE) AS {day}, {", ".join(measures)}
+        SELECT {date} AS {quoted(day)}, {", ".join(measures)}
         FROM {source}
-        GROUP BY CAST({timestamp} AS DATE)
-        ORDER BY {day}
+        GROUP BY {date}
+        ORDER BY {quoted(day)}
     """
 
 
@@ -91,8 +97,10 @@ def run_silver_model(
     """Rebuild the clean SQL model from bronze."""
     source = workspace.table(env, "bronze", taxi.TRIPS)
     target = workspace.table(env, "silver", taxi.TRIPS_MODEL)
-    with sized_shuffle(spark.read.table(source)):
-        return build_model(spark, clean_model(source), target, workspace.format)
+    own = sized_session(spark.read.table(source))
+    build_model(own, clean_model(source), target, workspace.format)
+    spark.catalog.refreshTable(target)  # it was written in another session
+    return target
 
 
 def run_gold_model(
@@ -101,7 +109,10 @@ def run_gold_model(
     """Rebuild the daily SQL model from the clean one."""
     source = workspace.table(env, "silver", taxi.TRIPS_MODEL)
     target = workspace.table(env, "gold", taxi.DAILY)
-    return build_model(spark, daily_model(source, exact=exact), target, workspace.format)
+    own = sized_session(spark.read.table(source), shuffles=False)
+    build_model(own, daily_model(source, exact=exact), target, workspace.format)
+    spark.catalog.refreshTable(target)
+    return target
 
 
 def _build_and_test(
@@ -140,8 +151,10 @@ def run_gated(
     gold = workspace.table(env, "gold", taxi.DAILY)
     silver_tests = taxi.silver_tests() if silver_tests is None else silver_tests
     gold_tests = taxi.gold_tests() if gold_tests is None else gold_tests
-    with sized_shuffle(spark.read.table(bronze)):
-        first = _build_and_test(spark, clean_model(bronze), silver, silver_tests, workspace.format)
+    own = sized_session(spark.read.table(bronze))
+    first = _build_and_test(own, clean_model(bronze), silver, silver_tests, workspace.format)
     summary = daily_model(silver, exact=exact)
-    second = _build_and_test(spark, summary, gold, gold_tests, workspace.format)
+    second = _build_and_test(own, summary, gold, gold_tests, workspace.format)
+    for target in (silver, gold):
+        spark.catalog.refreshTable(target)  # they were written in another session
     return spark.createDataFrame(first + second, REPORT_SCHEMA)

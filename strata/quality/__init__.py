@@ -7,6 +7,7 @@ from strata.quality.contracts import (
     load_document,
     model_tests,
     schema_problems,
+    schema_report,
 )
 from strata.quality.report import (
     REPORT_SCHEMA,
@@ -57,6 +58,7 @@ __all__ = [
     "require",
     "row_count_above",
     "schema_problems",
+    "schema_report",
     "table_not_empty",
     "unique",
     "value_above",

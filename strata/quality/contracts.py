@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strata.quality import rules as R
-from strata.quality.report import ContractViolation, evaluate
+from strata.quality.report import REPORT_SCHEMA, ContractViolation, evaluate
+from strata.session import sized_session
 
 # The column types a contract can declare. Either kind of timestamp
 # satisfies ``timestamp``.
@@ -39,6 +40,9 @@ RULES: dict[str, Callable[[dict, str, object], R.Rule]] = {
     "no_duplicates": lambda r, s, _: R.no_duplicates(s),
 }
 
+# The rules that name no column.
+TABLE_RULES = ("table_not_empty", "row_count_above", "no_duplicates")
+
 # The tests a model's column can have.
 COLUMN_TESTS = ("not_null", "unique", "accepted_values")
 
@@ -81,7 +85,7 @@ class Contract:
         if unknown:
             raise ValueError(f"unknown in contract: {', '.join(unknown)}")
         sla = document.get("sla", {})
-        return cls(
+        parsed = cls(
             metadata=document.get("metadata", {}),
             fields=fields,
             quality=tuple(document.get("quality", ())),
@@ -90,6 +94,8 @@ class Contract:
             availability_percent=sla.get("availability_percent"),
             tags=tuple(document.get("tags", ())),
         )
+        parsed.rules()  # a rule with missing or odd arguments is an error here, not when it runs
+        return parsed
 
     @property
     def name(self) -> str:
@@ -107,8 +113,16 @@ class Contract:
         rules = []
         for entry in self.quality:
             severity = entry.get("severity", R.CRITICAL)
-            for column in entry.get("columns") or [entry.get("column")]:
-                rules.append(RULES[entry["rule"]]({**entry, "column": column}, severity, as_of))
+            columns = entry.get("columns") or [entry.get("column")]
+            if entry["rule"] == "unique" and len(columns) > 1:
+                raise ValueError("unique takes one column; declare several as primary_key")
+            if entry["rule"] not in TABLE_RULES and None in columns:
+                raise ValueError(f"{entry['rule']} needs a column")
+            for column in columns:
+                try:
+                    rules.append(RULES[entry["rule"]]({**entry, "column": column}, severity, as_of))
+                except KeyError as missing:
+                    raise ValueError(f"{entry['rule']} needs {missing.args[0]}") from missing
         rules += [R.declared_not_null(f.name) for f in self.fields if not f.nullable]
         keys = [f.name for f in self.fields if f.primary_key]
         if keys:
@@ -183,16 +197,26 @@ def schema_problems(df: DataFrame, contract: Contract) -> list[str]:
     return problems
 
 
+def schema_report(df: DataFrame, contract: Contract, table: str = "") -> DataFrame:
+    """One line for each declared column: whether ``df`` has it with its type. Runs no job."""
+    wrong = {problem.partition(":")[0] for problem in schema_problems(df, contract)}
+    lines = [(table, "schema", f.name, R.CRITICAL, None, int(f.name in wrong), f.name not in wrong) for f in contract.fields]
+    return df.sparkSession.createDataFrame(lines, REPORT_SCHEMA)
+
+
 def check_table(
     spark: SparkSession, table: str, contract: Contract, as_of=None, fresh: str | None = None
 ) -> DataFrame:
     """Report of a stored table against its contract.
 
     Raises :class:`strata.quality.ContractViolation` at once if the columns do not
-    conform. Pass the report to :func:`strata.quality.require` to enforce the rules.
+    conform. Pass the report to :func:`strata.quality.require` to enforce the rules. The
+    report runs in a session sized for the table, as a duplicate rule shuffles whole rows.
     """
     df = spark.read.table(table)
     problems = schema_problems(df, contract)
     if problems:
         raise ContractViolation(f"{table}: {'; '.join(problems)}")
-    return evaluate(df, contract.rules(as_of, fresh), table.split(".")[-1])
+    rules = contract.rules(as_of, fresh)
+    own = sized_session(df, shuffles=any(rule.is_keyed for rule in rules))
+    return evaluate(own.read.table(table), rules, table.split(".")[-1])

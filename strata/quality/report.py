@@ -38,7 +38,7 @@ def _failing(rule: Rule, schema: T.StructType, copies: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, copies)), F.lit(0))
 
     if rule.is_keyed:
-        return F.coalesce(F.sum(rule.surplus(copies)), F.lit(0)).cast("long")
+        return F.coalesce(F.sum(rule.surplus(schema, copies)), F.lit(0)).cast("long")
     if rule.violated is not None:
         return tally(rule.violated(schema)).cast("long")
     rows = F.coalesce(F.sum(copies), F.lit(0))
@@ -68,15 +68,28 @@ def _unpivot(counters: DataFrame, rules: Sequence[Rule], table: str) -> DataFram
     return counters.select(F.inline(F.array(*lines)))
 
 
+def _rides_on(rule: Rule, key: tuple[str, ...]) -> bool:
+    """Whether ``rule`` can be answered from rows grouped by ``key``.
+
+    Violations are counted while grouping. A rule about the table can look at the number of
+    rows and at columns of the key.
+    """
+    return rule.violated is not None or rule.column is None or rule.column in key
+
+
 def evaluate(df: DataFrame, rules: Sequence[Rule], table: str = "") -> DataFrame:
     """Report with one row per rule: rows looked at, rows failing, passed or not.
 
     All row and table rules share one pass over the columns they name. Key rules
-    with the same key share one grouping, which reads only that key. If the key is
-    the whole row, the other rules ride on that grouping, counted once per distinct
-    row and weighted by its copies, so the table is read once in all. Copies are
-    counted inside each task before they are shuffled, so a hot key costs one row
-    per task.
+    with the same key share one grouping. The other rules ride on the first grouping,
+    whose tasks count their violations beside the copies of each key, so a table with one
+    key is read once in all. If the key is the whole row, they are counted once per
+    distinct row instead and weighted by its copies. Copies are counted inside each task
+    before they are shuffled, so a hot key costs one row per task.
+
+    The report runs with the number of shuffle partitions of the session of ``df``. A
+    no_duplicates rule shuffles whole rows: read large tables through
+    :func:`strata.session.sized_session`, as ``check_table`` does.
     """
     plain = [rule for rule in rules if not rule.is_keyed]
     keyed: dict[tuple[str, ...], list[Rule]] = {}
@@ -85,13 +98,23 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], table: str = "") -> DataFrame
             keyed.setdefault(rule.key or tuple(df.columns), []).append(rule)
 
     parts = []
-    for key, group in keyed.items():
-        if set(key) == set(df.columns):
-            group, plain = group + plain, []
-        copies = df.groupBy(*(F.col(f"`{c}`") for c in key)).agg(F.count(F.lit(1)).alias(_COPIES))
-        parts.append(
-            _unpivot(copies.agg(*_counters(group, df.schema, F.col(_COPIES))), group, table)
+    # A grouping by whole rows takes the other rules first, for it reads all columns anyway.
+    for key, group in sorted(keyed.items(), key=lambda x: set(x[0]) != set(df.columns)):
+        whole = set(key) == set(df.columns)
+        riding = [rule for rule in plain if whole or _rides_on(rule, key)]
+        plain = [rule for rule in plain if rule not in riding]
+        counted = [] if whole else [rule for rule in riding if rule.violated is not None]
+        copies = df.groupBy(*(F.col(f"`{c}`") for c in key)).agg(
+            F.count(F.lit(1)).alias(_COPIES),
+            *(F.count_if(rule.violated(df.schema)).alias(f"__violated{i}") for i, rule in enumerate(counted)),
         )
+        sums = {id(rule): F.coalesce(F.sum(f"__violated{i}"), F.lit(0)) for i, rule in enumerate(counted)}
+        group = group + riding
+        counters = [F.coalesce(F.sum(_COPIES), F.lit(0)).cast("long").alias(_TOTAL)]
+        for i, rule in enumerate(group):
+            count = sums.get(id(rule))
+            counters.append((_failing(rule, df.schema, F.col(_COPIES)) if count is None else count).cast("long").alias(f"__{i}"))
+        parts.append(_unpivot(copies.agg(*counters), group, table))
     if plain:
         parts.append(_unpivot(df.agg(*_counters(plain, df.schema, F.lit(1))), plain, table))
     if not parts:

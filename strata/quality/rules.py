@@ -26,7 +26,7 @@ class Rule:
     ``violated(schema)`` gives the condition under which a row fails.
     ``broken(schema, rows, tally)`` gives the condition under which the table
     fails, where ``rows`` is its row count and ``tally(condition)`` counts rows.
-    ``surplus(copies)`` gives how many rows of one key group fail; an empty ``key``
+    ``surplus(schema, copies)`` gives how many rows of one key group fail; an empty ``key``
     stands for all columns.
     """
 
@@ -35,7 +35,7 @@ class Rule:
     severity: str = CRITICAL
     violated: Callable[[T.StructType], Column] | None = None
     broken: Callable[[T.StructType, Column, Callable[[Column], Column]], Column] | None = None
-    surplus: Callable[[Column], Column] | None = None
+    surplus: Callable[[T.StructType, Column], Column] | None = None
     key: tuple[str, ...] = ()
 
     def __post_init__(self):
@@ -47,34 +47,56 @@ class Rule:
         return self.surplus is not None
 
 
+def _column(schema: T.StructType, name: str) -> Column:
+    """The column or, if there is none of that name, the field of a struct it stands for."""
+    if name.lower() in (f.lower() for f in schema.names):
+        return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(name)
+
+
+def _type_of(schema: T.StructType, name: str) -> T.DataType | None:
+    """The type Spark would find for ``name``, whatever its case; None if it is not plain."""
+    for field in schema:
+        if field.name.lower() == name.lower():
+            return field.dataType
+    head, _, rest = name.partition(".")
+    inner = _type_of(schema, head) if rest else None
+    return _type_of(inner, rest) if isinstance(inner, T.StructType) else None
+
+
 def _outside(column: str, condition: Callable[[Column], Column]) -> Callable[[T.StructType], Column]:
     def violated(schema: T.StructType) -> Column:
-        value = F.col(column)
-        if isinstance(schema[column].dataType, (T.DoubleType, T.FloatType)):
+        value = _column(schema, column)
+        if isinstance(_type_of(schema, column), (T.DoubleType, T.FloatType)):
             return condition(value) | F.isnan(value)
         return condition(value)
 
     return violated
 
 
-def _as_of(schema: T.StructType, column: str, as_of) -> Column:
-    kind = schema[column].dataType
-    return (F.current_timestamp() if as_of is None else F.lit(str(as_of))).cast(kind)
+def _moment(as_of) -> Column:
+    """``as_of`` to the microsecond; dates are compared with it as the moment they begin."""
+    return F.current_timestamp() if as_of is None else F.lit(str(as_of)).cast("timestamp")
 
 
 def not_null(column: str, severity: str = CRITICAL) -> Rule:
-    return Rule("not_null", column, severity, violated=lambda _: F.col(column).isNull())
+    return Rule("not_null", column, severity, violated=lambda s: _column(s, column).isNull())
 
 
 def declared_not_null(column: str, severity: str = CRITICAL) -> Rule:
     """The null test that a ``nullable: false`` declaration implies."""
-    return Rule("declared_not_null", column, severity, violated=lambda _: F.col(column).isNull())
+    return Rule("declared_not_null", column, severity, violated=lambda s: _column(s, column).isNull())
 
 
 def accepted_values(column: str, values: Sequence, severity: str = CRITICAL) -> Rule:
-    return Rule(
-        "accepted_values", column, severity, violated=lambda _: ~F.col(column).isin(list(values))
-    )
+    """Only ``values``; a null passes whether or not it is listed."""
+    listed = [v for v in values if v is not None]
+
+    def violated(schema):
+        value = _column(schema, column)
+        return ~value.isin(listed) if listed else value.isNotNull()
+
+    return Rule("accepted_values", column, severity, violated=violated)
 
 
 def value_between(column: str, low, high, severity: str = CRITICAL) -> Rule:
@@ -96,7 +118,7 @@ def value_above_or_equal(column: str, minimum, severity: str = CRITICAL) -> Rule
 def no_future(column: str, as_of=None, severity: str = WARNING, name: str = "no_future") -> Rule:
     """No timestamp after ``as_of``, which is the time of the query if not given."""
     return Rule(
-        name, column, severity, violated=lambda schema: F.col(column) > _as_of(schema, column, as_of)
+        name, column, severity, violated=lambda s: _column(s, column).cast("timestamp") > _moment(as_of)
     )
 
 
@@ -109,13 +131,13 @@ def row_count_above(minimum: int, severity: str = CRITICAL) -> Rule:
     return Rule("row_count_above", None, severity, broken=lambda _, rows, __: rows < minimum)
 
 
-def freshness(column: str, hours: int, as_of=None, severity: str = CRITICAL) -> Rule:
+def freshness(column: str, hours: float, as_of=None, severity: str = CRITICAL) -> Rule:
     """The newest timestamp is at most ``hours`` older than ``as_of``."""
 
     def stale(schema, rows, tally):
-        newest = F.max(column)
-        oldest_allowed = _as_of(schema, column, as_of) - F.expr(f"INTERVAL {hours} HOURS")
-        return newest.isNull() | (newest < oldest_allowed)
+        newest = F.max(_column(schema, column)).cast("timestamp")
+        age = F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18, 6)"))
+        return newest.isNull() | (newest < _moment(as_of) - age)
 
     return Rule("freshness", column, severity, broken=stale)
 
@@ -128,7 +150,7 @@ def availability(column: str, percent: float, severity: str = CRITICAL) -> Rule:
     """
 
     def unavailable(schema, rows, tally):
-        return (rows < 1) | (tally(F.col(column)) * 100 < rows * percent)
+        return (rows < 1) | (tally(_column(schema, column)) * 100 < rows * percent)
 
     return Rule("availability", column, severity, broken=unavailable)
 
@@ -140,7 +162,7 @@ def unique(column: str, severity: str = CRITICAL) -> Rule:
         column,
         severity,
         key=(column,),
-        surplus=lambda copies: F.when(F.col(column).isNotNull(), copies - 1),
+        surplus=lambda s, copies: F.when(_column(s, column).isNotNull(), copies - 1),
     )
 
 
@@ -149,10 +171,10 @@ def primary_key(*columns: str, severity: str = CRITICAL) -> Rule:
     if not columns:
         raise ValueError("a primary key needs a column")
 
-    def surplus(copies: Column) -> Column:
+    def surplus(schema: T.StructType, copies: Column) -> Column:
         null = F.lit(False)
         for c in columns:
-            null = null | F.col(c).isNull()
+            null = null | _column(schema, c).isNull()
         return F.when(null, copies).otherwise(copies - 1)
 
     return Rule("primary_key", ", ".join(columns), severity, key=columns, surplus=surplus)
@@ -160,4 +182,4 @@ def primary_key(*columns: str, severity: str = CRITICAL) -> Rule:
 
 def no_duplicates(severity: str = CRITICAL) -> Rule:
     """No two rows equal in all columns. Rows beyond the first copy fail."""
-    return Rule("no_duplicates", None, severity, surplus=lambda copies: copies - 1)
+    return Rule("no_duplicates", None, severity, surplus=lambda _, copies: copies - 1)

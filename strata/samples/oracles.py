@@ -163,6 +163,20 @@ _SILVER_DECLARED = (
     "fare_amount",
     "trip_duration_minutes",
 )
+_SILVER_COLUMNS = (
+    "tpep_pickup_datetime",
+    "tpep_dropoff_datetime",
+    "passenger_count",
+    "trip_distance",
+    "fare_amount",
+    "extra",
+    "mta_tax",
+    "tip_amount",
+    "tolls_amount",
+    "total_amount",
+    "payment_type",
+    "trip_duration_minutes",
+)
 _LATE = "(SELECT * FROM events WHERE ts > TIMESTAMP '2024-02-05') late"
 
 
@@ -192,6 +206,75 @@ def _column_tests() -> list[str]:
     ]
 
 
+def _silver_rules(table: str, source: str) -> list[str]:
+    """The silver contract's lines for the rows of ``source``, named ``table``."""
+    columns = (
+        "tpep_pickup_datetime",
+        "tpep_dropoff_datetime",
+        "fare_amount",
+        "trip_distance",
+        "trip_duration_minutes",
+    )
+    passengers = "passenger_count < 1 OR passenger_count > 6"
+    not_positive = "trip_duration_minutes <= 0 OR isnan(trip_duration_minutes)"
+    negative = "fare_amount < 0 OR isnan(fare_amount)"
+    pickup = "tpep_pickup_datetime"
+
+    def nulls(names: tuple[str, ...], rule: str) -> list[str]:
+        return [_line(table, rule, _rows(f"{c} IS NULL"), source, c) for c in names]
+
+    return [
+        *nulls(columns, "not_null"),
+        _line(table, "value_between", _rows(passengers), source, "passenger_count"),
+        _line(table, "value_above", _rows(not_positive), source, "trip_duration_minutes"),
+        _line(table, "value_above_or_equal", _rows(negative), source, "fare_amount", "warning"),
+        _line(table, "no_duplicates", _copies(source), source),
+        *nulls(_SILVER_DECLARED, "declared_not_null"),
+        _line(table, "freshness", _stale(pickup, "2002-01-01", 26), source, pickup),
+    ]
+
+
+def _gold_rules(table: str) -> list[str]:
+    """The gold contract's lines for the rows of ``gold``, named ``table``."""
+    long_trips = "avg_duration_minutes < 0 OR avg_duration_minutes > 300"
+
+    def line(*arguments: str) -> str:
+        return _line(table, arguments[0], arguments[1], "gold", *arguments[2:])
+
+    return [
+        *(line("not_null", _rows(f"{c} IS NULL"), c) for c in _GOLD_COLUMNS),
+        line("unique", _surplus("pickup_date"), "pickup_date"),
+        line("value_above", _rows("total_trips <= 0"), "total_trips"),
+        line("value_above", _rows("avg_fare_usd <= 0"), "avg_fare_usd", "warning"),
+        line("value_between", _rows(long_trips), "avg_duration_minutes", "warning"),
+        line("row_count_above", _table("count(*) < 1")),
+        *(line("declared_not_null", _rows(f"{c} IS NULL"), c) for c in _GOLD_COLUMNS),
+        line("primary_key", _key("pickup_date"), "pickup_date"),
+        line("freshness", _stale("pickup_date", "2002-01-01", 27), "pickup_date"),
+    ]
+
+
+def _plain_daily() -> str:
+    """Averages rounded half up from their shortest decimal text, as Spark rounds."""
+
+    def mean(column: str) -> str:
+        return f"CAST(round(CAST(CAST(avg({column}) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)"
+
+    return f""" SELECT CAST(tpep_pickup_datetime AS DATE) AS pickup_date, count(*) AS total_trips,
+            {mean("trip_distance")} AS avg_distance, {mean("passenger_count")} AS avg_passengers,
+            CAST(sum(passenger_count) AS BIGINT) AS total_passengers
+        FROM silver GROUP BY 1"""
+
+
+def _schema_lines(table: str, columns: tuple[str, ...], present: bool) -> list[str]:
+    return [
+        f"""
+    SELECT '{table}' AS table_name, 'schema' AS rule, '{c}' AS column_name, 'critical' AS severity,
+        CAST(NULL AS BIGINT) AS total_rows, CAST({int(not present)} AS BIGINT) AS failing_rows, {present} AS passed"""
+        for c in columns
+    ]
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     passengers = "passenger_count < 1 OR passenger_count > 6"
@@ -203,13 +286,6 @@ def oracle_sql() -> dict[str, str]:
     daily = _with(*nan_silver, _gold("gold", "silver")) + " SELECT * FROM gold"
     sql_daily = _with(*_SQL_LAYERS) + " SELECT * FROM gold"
     trips = _with(_TRIPS)
-    clean_columns = (
-        "tpep_pickup_datetime",
-        "tpep_dropoff_datetime",
-        "fare_amount",
-        "trip_distance",
-        "trip_duration_minutes",
-    )
     trip_declared = tuple(c for c in _SILVER_DECLARED if c != "trip_duration_minutes")
     return {
         "bronze_passthrough": "SELECT * FROM events",
@@ -221,6 +297,13 @@ def oracle_sql() -> dict[str, str]:
                 CAST(NULL AS VARCHAR) AS props, CAST(NULL AS DATE) AS received FROM events
             UNION ALL SELECT event_id, ts, user_id, event_type, NULL, props, CAST(ts AS DATE) FROM events
             UNION ALL SELECT event_id, ts, user_id, event_type, value, props, NULL FROM events""",
+        "bronze_partitioned_evolved": """
+            SELECT event_id, user_id, event_type, value, CAST(NULL AS BIGINT) AS twice FROM events
+            UNION ALL SELECT event_id, user_id, event_type, value, user_id * 2 FROM events""",
+        "bronze_nested_evolved": """
+            SELECT event_id, user_id AS second_id, user_id AS who_user,
+                CASE WHEN batch > 2 THEN value END AS who_worth, CASE WHEN batch > 2 THEN event_type END AS note
+            FROM events, range(1, 5) AS t(batch)""",
         "silver_refresh": silver + " SELECT * FROM silver",
         "drop_incomplete": _with(_NAN_TRIPS)
         + f""" SELECT * FROM nan_trips
@@ -252,6 +335,20 @@ def oracle_sql() -> dict[str, str]:
         "silver_clean_closed": _with(_TRIPS, _silver("silver", "trips", _COLUMNS))
         + " SELECT * FROM silver",
         "silver_clean_sql": sql_silver + " SELECT * FROM silver",
+        "silver_clean_recomputed": _with(*nan_silver) + " SELECT * FROM silver",
+        "silver_clean_sql_nan": _with(_NAN_TRIPS, _sql_silver("silver", "nan_trips"))
+        + """ SELECT CAST(tpep_pickup_datetime AS DATE) AS day, isnan(fare_amount) AS is_nan, count(*) AS trips
+            FROM silver GROUP BY 1, 2""",
+        "daily_summary_sql_nan": _with(_NAN_TRIPS, _sql_silver("silver", "nan_trips"))
+        + f""" SELECT CAST(tpep_pickup_datetime AS DATE) AS pickup_date, count(*) AS total_trips,
+                CAST(sum(passenger_count) AS BIGINT) AS total_passengers,
+                {_average("trip_distance")} AS avg_trip_distance_miles,
+                bool_or(isnan(fare_amount)) AS exact_is_nan, bool_or(isnan(fare_amount)) AS plain_is_nan,
+                CASE WHEN NOT bool_or(isnan(fare_amount))
+                    THEN {_average("(CASE WHEN NOT isnan(fare_amount) THEN fare_amount END)")} END AS avg_fare_usd
+            FROM silver GROUP BY 1""",
+        "daily_summary_plain": silver + _plain_daily(),
+        "daily_summary_plain_sql": sql_silver + _plain_daily(),
         "daily_summary": daily,
         "daily_summary_sql": sql_daily,
         "rerun_idempotent": silver + " SELECT * FROM silver",
@@ -371,6 +468,16 @@ def oracle_sql() -> dict[str, str]:
             (),
             _line("events at month end", "freshness", _stale("ts", "2024-01-31", 25), "events", "ts"),
             _line("events later", "freshness", _stale("ts", "2024-02-05", 25), "events", "ts"),
+            *(
+                _line(
+                    name,
+                    "freshness",
+                    _table(f"max(day) < TIMESTAMP '2024-01-31 02:00:00' - INTERVAL {minutes} MINUTES"),
+                    "(SELECT CAST(ts AS DATE) AS day FROM events) days",
+                    "day",
+                )
+                for name, minutes in (("event days", 1530), ("event days, longer", 1590))
+            ),
         ),
         "check_availability": _report(
             (),
@@ -408,39 +515,14 @@ def oracle_sql() -> dict[str, str]:
                 "tpep_pickup_datetime",
             ),
         ),
-        "contract_report": _report(
-            _SQL_LAYERS,
-            *_not_null_lines("silver", clean_columns),
-            _line("silver", "value_between", _rows(passengers), "silver", "passenger_count"),
-            _line("silver", "value_above", _rows(not_positive), "silver", "trip_duration_minutes"),
-            _line("silver", "value_above_or_equal", _rows(negative), "silver", "fare_amount", "warning"),
-            _line("silver", "no_duplicates", _copies("silver"), "silver"),
-            *_not_null_lines("silver", _SILVER_DECLARED, "declared_not_null"),
-            _line(
-                "silver",
-                "freshness",
-                _stale("tpep_pickup_datetime", "2002-01-01", 26),
-                "silver",
-                "tpep_pickup_datetime",
-            ),
-        ),
-        "gold_report": _report(
-            _SQL_LAYERS,
-            *_not_null_lines("gold", _GOLD_COLUMNS),
-            _line("gold", "unique", _surplus("pickup_date"), "gold", "pickup_date"),
-            _line("gold", "value_above", _rows("total_trips <= 0"), "gold", "total_trips"),
-            _line("gold", "value_above", _rows("avg_fare_usd <= 0"), "gold", "avg_fare_usd", "warning"),
-            _line(
-                "gold",
-                "value_between",
-                _rows("avg_duration_minutes < 0 OR avg_duration_minutes > 300"),
-                "gold",
-                "avg_duration_minutes",
-                "warning",
-            ),
-            _line("gold", "row_count_above", _table("count(*) < 1"), "gold"),
-            *_not_null_lines("gold", _GOLD_COLUMNS, "declared_not_null"),
-            _line("gold", "primary_key", _key("pickup_date"), "gold", "pickup_date"),
-            _line("gold", "freshness", _stale("pickup_date", "2002-01-01", 27), "gold", "pickup_date"),
+        "contract_report": _report(_SQL_LAYERS, *_silver_rules("silver", "silver")),
+        "gold_report": _report(_SQL_LAYERS, *_gold_rules("gold")),
+        "contract_conformance": _report(
+            _LAYERS,
+            *_schema_lines("trips", _SILVER_COLUMNS, True),
+            *_silver_rules("trips", "silver"),
+            *_schema_lines("daily_trip_summary", _GOLD_COLUMNS, True),
+            *_gold_rules("daily_trip_summary"),
+            *_schema_lines("raw", _GOLD_COLUMNS, False),
         ),
     }

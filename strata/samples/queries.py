@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import elapsed
-from strata.names import Workspace
+from strata.names import LAYERS, Workspace
+from strata.operators import daily_summary as daily_summary_of
 from strata.operators import (
     dedupe,
     drop_incomplete,
@@ -35,7 +36,9 @@ from strata.plans import (
     taxi,
 )
 from strata.quality import (
+    REPORT_SCHEMA,
     accepted_values,
+    check_table,
     declared_not_null,
     evaluate,
     freshness,
@@ -44,6 +47,7 @@ from strata.quality import (
     not_null,
     primary_key,
     row_count_above,
+    schema_report,
     table_not_empty,
     unique,
     value_above,
@@ -52,15 +56,19 @@ from strata.quality import (
 )
 from strata.samples.trips import read, trips
 from strata.session import configure, scratch_path
-from strata.sinks import append_evolving, append_evolving_path, refresh_path
+from strata.sinks import Layout, append_evolving, append_evolving_path, refresh_path
 from strata.sources import read_evolved, read_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Averages of columns that hold whole numbers.
+_WHOLE = {"avg_distance": "trip_distance", "avg_passengers": taxi.PASSENGERS}
+
 # The times that dates in the samples are compared with.
 MID_EVENTS = "2024-01-15 00:00:00"
 AFTER_EVENTS = "2024-01-31 00:00:00"
 LONG_AFTER_EVENTS = "2024-02-05 00:00:00"
+INSIDE_A_DAY = "2024-01-31 02:00:00"
 MID_TRIPS = "2000-01-01 00:00:00"
 AFTER_TRIPS = "2002-01-01 00:00:00"
 
@@ -73,6 +81,20 @@ def _workspace(spark: SparkSession) -> Workspace:
     return workspace
 
 
+def _result(spark: SparkSession, workspace: Workspace, table: str) -> DataFrame:
+    """The rows of a layer's table, kept while the layers of this run are dropped."""
+    path = scratch_path(spark, "result")
+    spark.read.table(table).write.parquet(path)
+    kept = spark.read.parquet(path)
+    _drop(spark, workspace)
+    return kept
+
+
+def _drop(spark: SparkSession, workspace: Workspace) -> None:
+    for layer in LAYERS:
+        spark.sql(f"DROP SCHEMA IF EXISTS {workspace.schema('test', layer)} CASCADE")
+
+
 def _model(df: DataFrame, model: Callable[..., str], **options) -> DataFrame:
     """Run a SQL model over ``df``."""
     return df.sparkSession.sql(model("{source}", **options), source=df)
@@ -115,11 +137,39 @@ def bronze_append_evolved(spark, sf_dir):
 
 def bronze_table_evolved(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    table = _workspace(spark).table("test", "bronze", "events")
+    workspace = _workspace(spark)
+    table = workspace.table("test", "bronze", "events")
     append_evolving(events.drop("props"), table)
     append_evolving(events.drop("value").withColumn("received", F.to_date("ts")), table)
     append_evolving(events, table)
-    return spark.read.table(table)
+    return _result(spark, workspace, table)
+
+
+def bronze_partitioned_evolved(spark, sf_dir):
+    """A table divided by event type, whose second batch has one column more."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    workspace = _workspace(spark)
+    table = workspace.table("test", "bronze", "events")
+    append_evolving(events, table, layout=Layout(partition_by=("event_type",)))
+    append_evolving(events.withColumn("twice", F.col("user_id") * 2), table)
+    return _result(spark, workspace, table)
+
+
+def bronze_nested_evolved(spark, sf_dir):
+    """An array, a struct that gains a field, and a column without a type at first."""
+    events = read(spark, sf_dir, "events")
+    small = F.struct(F.col("user_id").alias("user"))
+    wide = F.struct(F.col("user_id").alias("user"), F.col("value").alias("worth"))
+    ids = events.select("event_id", F.array("event_id", "user_id").alias("ids"))
+    workspace = _workspace(spark)
+    table = workspace.table("test", "bronze", "events")
+    first = ids.join(events.select("event_id", small.alias("who")), "event_id").withColumn("note", F.lit(None))
+    second = ids.join(events.select("event_id", wide.alias("who"), F.col("event_type").alias("note")), "event_id")
+    for batch in (first, first, second, second):
+        append_evolving(batch, table)
+    return _result(spark, workspace, table).select(
+        "event_id", F.element_at("ids", 2).alias("second_id"), F.col("who.user").alias("who_user"), F.col("who.worth").alias("who_worth"), "note"
+    )
 
 
 def silver_refresh(spark, sf_dir):
@@ -203,6 +253,46 @@ def silver_clean_sql(spark, sf_dir):
     return _sql_silver(spark, sf_dir)
 
 
+def silver_clean_recomputed(spark, sf_dir):
+    """Trips that carry a stale duration, another one for each copy."""
+    stale = F.monotonically_increasing_id().cast("double")
+    return clean(trips(spark, sf_dir, nan=True).withColumn(taxi.DURATION, stale))
+
+
+def silver_clean_sql_nan(spark, sf_dir):
+    return _by_nan(_sql_silver(spark, sf_dir, nan=True), "fare_amount", taxi.PICKUP)
+
+
+def daily_summary_sql_nan(spark, sf_dir):
+    """Both ways to average NaN rows, compared with integers only: the NaN itself as a flag."""
+    silver = _sql_silver(spark, sf_dir, nan=True)
+    exact = _model(silver, daily_model, exact=True)
+    plain = _model(silver, daily_model).select(taxi.DAY, F.isnan("avg_fare_usd").alias("plain_is_nan"))
+    return exact.join(plain, taxi.DAY).select(
+        taxi.DAY,
+        taxi.TRIP_COUNT,
+        "total_passengers",
+        "avg_trip_distance_miles",
+        F.isnan("avg_fare_usd").alias("exact_is_nan"),
+        "plain_is_nan",
+        F.when(~F.isnan("avg_fare_usd"), F.col("avg_fare_usd")).alias("avg_fare_usd"),
+    )
+
+
+def _by_nan(df: DataFrame, column: str, day: str) -> DataFrame:
+    return df.groupBy(F.to_date(day).alias("day"), F.isnan(column).alias("is_nan")).agg(F.count(F.lit(1)).alias("trips"))
+
+
+def daily_summary_plain(spark, sf_dir):
+    """The plain average; over whole numbers, whose sums are exact in any order."""
+    silver = clean(trips(spark, sf_dir))
+    return daily_summary_of(silver, taxi.PICKUP, taxi.DAY, taxi.TRIP_COUNT, _WHOLE, taxi.SUMS)
+
+
+def daily_summary_plain_sql(spark, sf_dir):
+    return _model(_sql_silver(spark, sf_dir), daily_model, averages=_WHOLE)
+
+
 def daily_summary(spark, sf_dir):
     return aggregate(clean(trips(spark, sf_dir, nan=True)), exact=True)
 
@@ -217,32 +307,34 @@ def rerun_idempotent(spark, sf_dir):
     run_bronze(spark, "test", raw, workspace)
     run_silver(spark, "test", workspace)
     run_bronze(spark, "test", raw, workspace)
-    return spark.read.table(run_silver(spark, "test", workspace))
+    return _result(spark, workspace, run_silver(spark, "test", workspace))
 
 
 def layered_gold(spark, sf_dir):
-    raw = trips(spark, sf_dir, nan=True)
-    return spark.read.table(run_all(spark, "test", raw, _workspace(spark), exact=True))
+    raw, workspace = trips(spark, sf_dir, nan=True), _workspace(spark)
+    return _result(spark, workspace, run_all(spark, "test", raw, workspace, exact=True))
 
 
 def layered_gold_sql(spark, sf_dir):
     workspace = _workspace(spark)
     run_bronze(spark, "test", trips(spark, sf_dir), workspace)
     run_silver_model(spark, "test", workspace)
-    return spark.read.table(run_gold_model(spark, "test", workspace, exact=True))
+    return _result(spark, workspace, run_gold_model(spark, "test", workspace, exact=True))
 
 
 def gated_gold(spark, sf_dir):
     workspace = _workspace(spark)
     run_bronze(spark, "test", trips(spark, sf_dir), workspace)
     run_gated(spark, "test", workspace, exact=True)
-    return spark.read.table(workspace.table("test", "gold", taxi.DAILY))
+    return _result(spark, workspace, workspace.table("test", "gold", taxi.DAILY))
 
 
 def gated_report(spark, sf_dir):
     workspace = _workspace(spark)
     run_bronze(spark, "test", trips(spark, sf_dir), workspace)
-    return run_gated(spark, "test", workspace, exact=True)
+    report = run_gated(spark, "test", workspace, exact=True)
+    _drop(spark, workspace)
+    return report
 
 
 # Checks, each on a table that passes and on one that fails
@@ -346,9 +438,12 @@ def check_no_duplicates(spark, sf_dir):
 
 def check_freshness(spark, sf_dir):
     events = read(spark, sf_dir, "events")
+    day = F.to_date("ts").alias("day")
     return _union(
         evaluate(events, [freshness("ts", 25, AFTER_EVENTS)], "events at month end"),
         evaluate(events, [freshness("ts", 25, LONG_AFTER_EVENTS)], "events later"),
+        evaluate(events.select(day), [freshness("day", 25.5, INSIDE_A_DAY)], "event days"),
+        evaluate(events.select(day), [freshness("day", 26.5, INSIDE_A_DAY)], "event days, longer"),
     )
 
 
@@ -374,7 +469,25 @@ def contract_report(spark, sf_dir):
 
 def gold_report(spark, sf_dir):
     rules = taxi.contract("daily_gold").rules(as_of=AFTER_TRIPS, fresh=taxi.DAY)
-    return evaluate(_sql_gold(spark, sf_dir), rules, "gold")
+    path = scratch_path(spark, "gold")
+    refresh_path(_sql_gold(spark, sf_dir), path)
+    return evaluate(spark.read.parquet(path), rules, "gold")
+
+
+def contract_conformance(spark, sf_dir):
+    """Stored layers held to their contracts, and raw trips to one they do not meet."""
+    workspace = _workspace(spark)
+    raw = trips(spark, sf_dir)
+    gold = run_all(spark, "test", raw, workspace, exact=True)
+    silver = workspace.table("test", "silver", taxi.TRIPS)
+    lines = []
+    for table, name, fresh in ((silver, "trips_silver", taxi.PICKUP), (gold, "daily_gold", taxi.DAY)):
+        contract = taxi.contract(name)
+        lines += schema_report(spark.read.table(table), contract, table.split(".")[-1]).collect()
+        lines += check_table(spark, table, contract, AFTER_TRIPS, fresh).collect()
+    lines += schema_report(raw, taxi.contract("daily_gold"), "raw").collect()
+    _drop(spark, workspace)
+    return spark.createDataFrame(lines, REPORT_SCHEMA)
 
 
 # Query names that differ from the name of the function.
@@ -384,6 +497,8 @@ _QUERIES = (
     bronze_passthrough,
     bronze_append_evolved,
     bronze_table_evolved,
+    bronze_partitioned_evolved,
+    bronze_nested_evolved,
     silver_refresh,
     drop_incomplete_rows,
     drop_null_sql,
@@ -397,8 +512,13 @@ _QUERIES = (
     silver_clean,
     silver_clean_closed,
     silver_clean_sql,
+    silver_clean_sql_nan,
+    silver_clean_recomputed,
     daily_summary,
     daily_summary_sql,
+    daily_summary_sql_nan,
+    daily_summary_plain,
+    daily_summary_plain_sql,
     rerun_idempotent,
     layered_gold,
     layered_gold_sql,
@@ -421,6 +541,7 @@ _QUERIES = (
     bronze_report,
     contract_report,
     gold_report,
+    contract_conformance,
 )
 
 

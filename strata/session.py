@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,53 +70,72 @@ def discard(spark: SparkSession, *paths: str) -> None:
 _SPLIT = "spark.sql.files.maxPartitionBytes"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _MIB = 1024 * 1024
+#: Settings of a session for how many tasks a job may have at most, and what holds if unset.
+MOST_SCANS = ("spark.strata.mostScanTasks", 100_000)
+MOST_PARTITIONS = ("spark.strata.mostShufflePartitions", 50_000)
+_log = logging.getLogger(__name__)
 
 
 def task_sizes(
     total_bytes: int,
     split_bytes: int = 128 * _MIB,
     partition_bytes: int = 256 * _MIB,
-    most_scans: int = 100_000,
-    most_partitions: int = 50_000,
+    most_scans: int = MOST_SCANS[1],
+    most_partitions: int = MOST_PARTITIONS[1],
 ) -> tuple[int, int]:
     """Bytes per scan task and number of shuffle partitions for an input.
 
     A shuffle moves one block per pair of scan task and partition, so beyond
-    ``most_scans`` and ``most_partitions`` the tasks grow instead of their number.
+    ``most_scans`` and ``most_partitions`` the tasks grow instead of their number. No row
+    is left out then; a warning is logged.
     """
     split = max(split_bytes, math.ceil(total_bytes / most_scans))
-    return split, min(most_partitions, math.ceil(total_bytes / partition_bytes))
+    partitions = math.ceil(total_bytes / partition_bytes)
+    if split > split_bytes or partitions > most_partitions:
+        _log.warning(
+            "%d bytes: at most %d scan tasks and %d shuffle partitions, so tasks read %d and %d bytes",
+            total_bytes, most_scans, most_partitions, split, math.ceil(total_bytes / min(partitions, most_partitions)),
+        )
+    return split, min(most_partitions, partitions)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's estimate of the input's size, for files their size on disk.
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, from their listing; no file is opened.
 
-    No job runs to find it. None if there is no estimate, as for rows held in Python:
-    Spark then assumes a size far beyond any table.
+    Holds for tables with or without partitions and statistics. Folders are listed whole,
+    so it may count files that ``df`` leaves out. None if ``df`` reads no files.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    assumed = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
-    return size if size < assumed // 1024 else None
+    spark = df.sparkSession
+    folders = sorted({file.rpartition("/")[0] for file in df.inputFiles()})
+    if not folders:
+        return None
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    return listed.agg({"length": "sum"}).first()[0] or 0
 
 
-@contextmanager
-def sized_shuffle(df: DataFrame) -> Iterator[None]:
-    """Give the job run inside enough shuffle partitions for the input ``df``.
+def sized_session(df: DataFrame, shuffles: bool = True) -> SparkSession:
+    """A session like that of ``df`` with tasks sized for reading and shuffling it whole.
 
-    The number in the session is right for one size of input only, and adaptive
-    execution merges partitions but never adds any. The session's own numbers are
-    only raised, and put back afterwards. An input of unknown size changes nothing.
+    The number of shuffle partitions in a session is right for one size of input only, and
+    adaptive execution merges partitions but never adds any. The session is the job's own,
+    with the same catalog: jobs that run beside it keep their numbers. What is read through
+    it keeps its numbers even when it runs later. Numbers are only raised. An input of
+    unknown size leaves them, with a warning. Without ``shuffles`` only scans are sized.
     """
     spark = df.sparkSession
-    before = {key: spark.conf.get(key) for key in (_SPLIT, _PARTITIONS)}
-    split, partitions = task_sizes(estimated_bytes(df) or 0, _bytes(before[_SPLIT]))
-    try:
-        spark.conf.set(_SPLIT, f"{split}b")
-        spark.conf.set(_PARTITIONS, str(max(partitions, int(before[_PARTITIONS]))))
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    size = input_bytes(df)
+    if size is None:
+        _log.warning("the input's size is unknown; the session's number of partitions is used")
+    most = [int(spark.conf.get(key, str(default))) for key, default in (MOST_SCANS, MOST_PARTITIONS)]
+    split, partitions = task_sizes(size or 0, _bytes(spark.conf.get(_SPLIT)), most_scans=most[0], most_partitions=most[1])
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(_SPLIT, f"{split}b")
+    if shuffles:
+        own.conf.set(_PARTITIONS, str(max(partitions, int(spark.conf.get(_PARTITIONS)))))
+    return own
 
 
 def _bytes(size: str) -> int:

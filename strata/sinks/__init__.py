@@ -1,19 +1,25 @@
 """Writing layer tables."""
 
 from strata.sinks.writers import (
+    Layout,
     SchemaConflict,
     added_columns,
     append_evolving,
     append_evolving_path,
+    layout_of,
+    merged_schema,
     refresh,
     refresh_path,
 )
 
 __all__ = [
+    "Layout",
     "SchemaConflict",
     "added_columns",
     "append_evolving",
     "append_evolving_path",
+    "layout_of",
+    "merged_schema",
     "refresh",
     "refresh_path",
 ]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql import types as T
 
 from strata.sources import read_evolved
 
@@ -14,60 +18,202 @@ class SchemaConflict(ValueError):
     """A column of the batch has another type than the stored column."""
 
 
-def added_columns(stored: StructType, batch: StructType) -> list[StructField]:
-    """Columns of ``batch`` that ``stored`` lacks, names compared without case.
+@dataclass(frozen=True)
+class Layout:
+    """How a stored table is divided; kept when the table is refreshed.
 
-    Raises :class:`SchemaConflict` before anything is written if a shared column
-    changed its type.
+    A table bucketed by columns that equal rows share can be grouped by all its columns
+    without a shuffle.
     """
-    known = {field.name.lower(): field for field in stored}
-    conflicts = [
-        f"{field.name}: {known[field.name.lower()].dataType.simpleString()}"
-        f" -> {field.dataType.simpleString()}"
-        for field in batch
-        if field.name.lower() in known and known[field.name.lower()].dataType != field.dataType
-    ]
+
+    partition_by: tuple[str, ...] = ()
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 0
+
+    def apply(self, writer):
+        if self.partition_by:
+            writer = writer.partitionBy(*self.partition_by)
+        if self.bucket_by:
+            writer = writer.bucketBy(self.buckets, *self.bucket_by)
+        return writer
+
+
+def layout_of(spark: SparkSession, table: str) -> Layout:
+    """The layout of a catalog table; none if the table does not exist."""
+    if not spark.catalog.tableExists(table):
+        return Layout()
+    columns = spark.catalog.listColumns(table)
+    bucketed = tuple(c.name for c in columns if c.isBucket)
+    buckets = 0
+    if bucketed:
+        details = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()
+        buckets = int(details.data_type)
+    return Layout(tuple(c.name for c in columns if c.isPartition), bucketed, buckets)
+
+
+def _folder(spark: SparkSession) -> Callable[[str], str]:
+    """How the session compares column names."""
+    sensitive = spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    return (lambda name: name) if sensitive else str.lower
+
+
+def _typed(kind: T.DataType) -> T.DataType | None:
+    """``kind`` with everything nullable and without columns of no type; None if nothing is left."""
+    if isinstance(kind, T.NullType):
+        return None
+    if isinstance(kind, T.StructType):
+        fields = [(f.name, _typed(f.dataType)) for f in kind]
+        kept = [T.StructField(name, inner) for name, inner in fields if inner is not None]
+        return T.StructType(kept) if kept or not fields else None
+    if isinstance(kind, T.ArrayType):
+        inner = _typed(kind.elementType)
+        return None if inner is None else T.ArrayType(inner)
+    if isinstance(kind, T.MapType):
+        key, value = _typed(kind.keyType), _typed(kind.valueType)
+        return None if key is None or value is None else T.MapType(key, value)
+    return kind
+
+
+def merged_type(stored: T.DataType, batch: T.DataType, fold: Callable[[str], str], path: str) -> T.DataType:
+    """The type that holds both: structs gain fields, at any depth; all else has to be equal.
+
+    A part of the batch without a type (an untyped null) takes the stored one.
+    """
+    batch = _typed(batch)
+    if batch is None:
+        return stored
+    if isinstance(stored, T.StructType) and isinstance(batch, T.StructType):
+        new = {fold(f.name): f for f in batch}
+        known = {fold(f.name) for f in stored}
+        fields = [
+            T.StructField(f.name, merged_type(f.dataType, new[fold(f.name)].dataType, fold, f"{path}.{f.name}"))
+            if fold(f.name) in new
+            else f
+            for f in stored
+        ]
+        return T.StructType([*fields, *(f for f in batch if fold(f.name) not in known)])
+    if isinstance(stored, T.ArrayType) and isinstance(batch, T.ArrayType):
+        return T.ArrayType(merged_type(stored.elementType, batch.elementType, fold, f"{path}[]"))
+    if isinstance(stored, T.MapType) and isinstance(batch, T.MapType):
+        key = merged_type(stored.keyType, batch.keyType, fold, f"{path} key")
+        return T.MapType(key, merged_type(stored.valueType, batch.valueType, fold, f"{path} value"))
+    if stored != batch:
+        raise SchemaConflict(f"{path.strip('.')}: {stored.simpleString()} -> {batch.simpleString()}")
+    return stored
+
+
+def merged_schema(stored: T.StructType, batch: T.StructType, fold: Callable[[str], str] = str.lower) -> T.StructType:
+    """``stored`` with what ``batch`` adds; every conflict is named in one error."""
+    conflicts, fields = [], []
+    stored = _typed(stored) or T.StructType()
+    new = {fold(f.name): f for f in batch}
+    for field in stored:
+        try:
+            kind = field.dataType
+            if fold(field.name) in new:
+                kind = merged_type(kind, new[fold(field.name)].dataType, fold, field.name)
+            fields.append(T.StructField(field.name, kind))
+        except SchemaConflict as conflict:
+            conflicts.append(str(conflict))
     if conflicts:
         raise SchemaConflict("; ".join(conflicts))
-    return [field for field in batch if field.name.lower() not in known]
+    known = {fold(f.name) for f in stored}
+    added = _typed(T.StructType([f for f in batch if fold(f.name) not in known])) or T.StructType()
+    return T.StructType([*fields, *added])
+
+
+def added_columns(
+    stored: T.StructType, batch: T.StructType, fold: Callable[[str], str] = str.lower
+) -> list[T.StructField]:
+    """Columns of ``batch`` that ``stored`` lacks and that have a type.
+
+    Raises :class:`SchemaConflict` before anything is written if a shared column changed
+    its type otherwise than by gaining fields.
+    """
+    return list(merged_schema(stored, batch, fold))[len(_typed(stored) or T.StructType()) :]
+
 
+def _conformed(value: Column, have: T.DataType, want: T.DataType, fold: Callable[[str], str]) -> Column:
+    """``value`` as the type ``want``, which ``merged_type`` made; missing fields are null."""
+    if _typed(have) == want:
+        return value
+    if isinstance(have, T.NullType):
+        return F.lit(None).cast(want)
+    if isinstance(want, T.StructType):
+        own = {fold(f.name): f for f in have}
+        fields = [
+            _conformed(value.getField(own[fold(f.name)].name), own[fold(f.name)].dataType, f.dataType, fold).alias(f.name)
+            if fold(f.name) in own
+            else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in want
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType):
+        return F.transform(value, lambda x: _conformed(x, have.elementType, want.elementType, fold))
+    if isinstance(want, T.MapType):
+        return F.transform_values(value, lambda _, x: _conformed(x, have.valueType, want.valueType, fold))
+    return value.cast(want)
 
-def _aligned(df: DataFrame, fields: list[StructField]) -> DataFrame:
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _aligned(df: DataFrame, fields: Sequence[T.StructField], fold: Callable[[str], str]) -> DataFrame:
     """``df`` with exactly these columns in this order; those it lacks are null."""
-    present = {name.lower() for name in df.columns}
+    present = {fold(f.name): f for f in df.schema}
 
-    def column(field: StructField) -> Column:
-        if field.name.lower() in present:
-            return F.col(f"`{field.name}`").alias(field.name)
-        return F.lit(None).cast(field.dataType).alias(field.name)
+    def column(field: T.StructField) -> Column:
+        kind = _typed(field.dataType)
+        if fold(field.name) not in present:
+            return F.lit(None).cast(kind).alias(field.name)
+        own = present[fold(field.name)]
+        return _conformed(_quoted(own.name), own.dataType, kind, fold).alias(field.name)
 
     return df.select(*(column(field) for field in fields))
 
 
-def append_evolving(df: DataFrame, table: str, format: str = "parquet") -> None:
-    """Append ``df`` to ``table``, adding to the table the columns it lacks.
+def append_evolving(df: DataFrame, table: str, format: str = "parquet", layout: Layout | None = None) -> None:
+    """Append ``df`` to ``table``, adding to the table the columns and fields it lacks.
 
-    Rows already stored read null in an added column, and the batch null in a
-    column it lacks. The merged schema lives in the catalog, so neither appends
-    nor reads have to look at the stored files. Delta tables merge by themselves.
+    Rows already stored read null in an added column, and the batch null in a column it
+    lacks. Columns without a type are left out until they have one. The merged schema
+    lives in the catalog, so neither appends nor reads have to look at the stored files.
+    A new column is a change of the catalog only; a struct that gains a field makes Spark's
+    own formats rewrite the table, which is swapped in by name. ``layout`` holds for a table
+    that is created. Delta tables merge by themselves.
     """
+    layout = layout or Layout()
     if format == "delta":
-        df.write.format(format).mode("append").option("mergeSchema", "true").saveAsTable(table)
+        layout.apply(df.write.format(format).mode("append").option("mergeSchema", "true")).saveAsTable(table)
         return
     spark = df.sparkSession
+    fold = _folder(spark)
+    df = _aligned(df, _typed(df.schema) or T.StructType(), fold)
     if not spark.catalog.tableExists(table):
-        df.write.format(format).saveAsTable(table)
+        layout.apply(df.write.format(format)).saveAsTable(table)
         return
     stored = spark.read.table(table).schema
-    added = added_columns(stored, df.schema)
-    if added:
+    merged = merged_schema(stored, df.schema, fold)
+    if T.StructType(list(merged)[: len(stored)]) != _typed(stored):
+        _widen(spark, table, merged, format, fold)
+    elif added := list(merged)[len(stored) :]:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
-    _aligned(df, [*stored, *added]).write.insertInto(table)
+    # Partition columns come last whatever was added, so the order is the table's.
+    _aligned(df, spark.read.table(table).schema, fold).write.insertInto(table)
+
+
+def _widen(spark: SparkSession, table: str, schema: T.StructType, format: str, fold: Callable[[str], str]) -> None:
+    """Rewrite ``table`` with a schema whose structs hold more fields."""
+    wide, layout = f"{table}_wide_{uuid.uuid4().hex[:8]}", layout_of(spark, table)
+    layout.apply(_aligned(spark.read.table(table), schema, fold).write.format(format)).saveAsTable(wide)
+    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {wide} RENAME TO {'.'.join(table.split('.')[-2:])}")
 
 
 def append_evolving_path(
-    df: DataFrame, path: str, format: str = "parquet", schema: StructType | None = None
+    df: DataFrame, path: str, format: str = "parquet", schema: T.StructType | None = None
 ) -> None:
     """Append ``df`` to the files at ``path``; read them with ``read_evolved``.
 
@@ -77,21 +223,22 @@ def append_evolving_path(
     if format == "delta":
         df.write.format(format).mode("append").option("mergeSchema", "true").save(path)
         return
+    fold = _folder(df.sparkSession)
+    df = _aligned(df, _typed(df.schema) or T.StructType(), fold)
     if schema is None:
         try:
             schema = read_evolved(df.sparkSession, path, format=format).schema
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            schema = StructType()
-    added = added_columns(schema, df.schema)
-    present = {name.lower() for name in df.columns}
-    kept = [f for f in schema if f.name.lower() in present]
-    _aligned(df, [*kept, *added]).write.format(format).mode("append").save(path)
+            schema = T.StructType()
+    present = {fold(name) for name in df.columns}
+    kept = [f for f in merged_schema(schema, df.schema, fold) if fold(f.name) in present]
+    _aligned(df, kept, fold).write.format(format).mode("append").save(path)
 
 
-def refresh(df: DataFrame, table: str, format: str = "parquet") -> None:
-    """Replace rows and schema of ``table``.
+def refresh(df: DataFrame, table: str, format: str = "parquet", layout: Layout | None = None) -> None:
+    """Replace rows and schema of ``table``; its layout stays unless another is given.
 
     Spark refuses to overwrite a table that ``df`` reads, so each layer is built
     from another table. A Parquet table is missing while it is rewritten; a job
@@ -99,8 +246,13 @@ def refresh(df: DataFrame, table: str, format: str = "parquet") -> None:
     """
     writer = df.write.format(format).mode("overwrite")
     if format == "delta":
-        writer = writer.option("overwriteSchema", "true")
-    writer.saveAsTable(table)
+        (layout or Layout()).apply(writer.option("overwriteSchema", "true")).saveAsTable(table)
+        return
+    layout = layout_of(df.sparkSession, table) if layout is None else layout
+    fold = _folder(df.sparkSession)
+    if not {*map(fold, df.columns)} >= {*map(fold, (*layout.partition_by, *layout.bucket_by))}:
+        raise SchemaConflict(f"{table} is divided by a column that its new rows lack")
+    layout.apply(writer).saveAsTable(table)
 
 
 def refresh_path(df: DataFrame, path: str, format: str = "parquet") -> None:

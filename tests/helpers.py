@@ -4,25 +4,29 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import types as T
 
+# The columns cleaning looks at, and one that only passes through.
 TRIP_SCHEMA = T.StructType(
     [
-        T.StructField("tpep_pickup_datetime", T.TimestampType()),
-        T.StructField("tpep_dropoff_datetime", T.TimestampType()),
-        T.StructField("fare_amount", T.DoubleType()),
-        T.StructField("trip_distance", T.DoubleType()),
-        T.StructField("passenger_count", T.IntegerType()),
-        T.StructField("vendor_name", T.StringType()),
+        T.StructField(name, kind)
+        for name, kind in {
+            "fare_amount": T.DoubleType(),
+            "passenger_count": T.IntegerType(),
+            "trip_distance": T.DoubleType(),
+            "dispatcher": T.StringType(),
+            "tpep_dropoff_datetime": T.TimestampType(),
+            "tpep_pickup_datetime": T.TimestampType(),
+        }.items()
     ]
 )
 
-START = datetime(2023, 1, 15, 8, 0, 0)
+START = datetime(2031, 5, 6, 21, 40, 10)
 GOOD = {
+    "fare_amount": 31.75,
+    "passenger_count": 4,
+    "trip_distance": 9.5,
+    "dispatcher": "north",
+    "tpep_dropoff_datetime": START + timedelta(minutes=24),
     "tpep_pickup_datetime": START,
-    "tpep_dropoff_datetime": START + timedelta(minutes=15),
-    "fare_amount": 12.5,
-    "trip_distance": 2.0,
-    "passenger_count": 2,
-    "vendor_name": "CMT",
 }
 
 

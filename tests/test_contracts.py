@@ -190,3 +190,13 @@ def test_unknown_column_test_is_refused():
     document = {"models": [{"name": "m", "columns": [{"name": "c", "tests": ["relationships"]}]}]}
     with pytest.raises(ValueError, match="unknown test of m: relationships"):
         model_tests(document)
+
+
+@pytest.mark.parametrize(
+    "rule",
+    [{"rule": "unique"}, {"rule": "unique", "columns": ["a", "b"]}, {"rule": "value_between", "column": "a", "min": 1}, {"rule": "not_null"}],
+)
+def test_rules_with_wrong_arguments_are_refused_when_parsed(rule):
+    document = {"metadata": {"name": "n"}, "schema": [{"name": "a", "type": "long"}], "quality": [rule]}
+    with pytest.raises(ValueError, match=rule["rule"]):
+        Contract.parse(document)

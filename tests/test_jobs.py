@@ -32,7 +32,7 @@ def test_layers_are_built_from_stored_tables(spark, workspace, raw):
     assert spark.read.table(workspace.table("dev", "bronze", taxi.TRIPS)).count() == 4
     assert spark.read.table(workspace.table("dev", "silver", taxi.TRIPS)).count() == 2
     row = spark.read.table(gold).first()
-    assert (row.total_trips, row.avg_duration_minutes, row.total_passengers) == (2, 22.5, 4)
+    assert (row.total_trips, row.avg_duration_minutes, row.total_passengers) == (2, 27.0, 8)
 
 
 def test_source_may_be_a_table_name(spark, workspace, raw):
@@ -70,7 +70,7 @@ def test_models_are_stored_as_tables(spark, workspace, raw):
     silver = plans.run_silver_model(spark, "dev", workspace)
     gold = plans.run_gold_model(spark, "dev", workspace)
     assert spark.read.table(silver).columns == [*taxi.TRIP_COLUMNS, taxi.DURATION]
-    assert [tuple(r)[1:] for r in spark.read.table(gold).collect()] == [(2, 12.5, 2.0, 22.5, 4)]
+    assert [tuple(r)[1:] for r in spark.read.table(gold).collect()] == [(2, 31.75, 9.5, 27.0, 8)]
 
 
 def test_gate_passes(spark, workspace, raw):
@@ -134,7 +134,8 @@ def test_stored_layers_can_be_held_to_their_contracts(spark, workspace, raw):
     silver = workspace.table("dev", "silver", taxi.TRIPS)
     require(check_table(spark, silver, taxi.contract("trips_silver")))
     contract = taxi.contract("daily_gold")
-    report = check_table(spark, gold, contract, as_of="2023-01-16 03:00:01", fresh=taxi.DAY)
-    assert {r.rule for r in report.filter("NOT passed").collect()} == set()
+    for as_of, failed in (("2031-05-07 03:00:00", set()), ("2031-05-07 03:00:01", {"freshness"})):
+        report = check_table(spark, gold, contract, as_of=as_of, fresh=taxi.DAY)
+        assert {r.rule for r in report.filter("NOT passed").collect()} == failed
     with pytest.raises(ContractViolation, match="total_trips: missing"):
         check_table(spark, silver, taxi.contract("daily_gold"))

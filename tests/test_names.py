@@ -1,53 +1,44 @@
-import pytest
-
-from strata.names import Workspace, catalog_name, schema_name, table_name
+"""Names are taken apart again: no two environments, layers or domains share a table."""
 
+from itertools import product
 
-@pytest.mark.parametrize(
-    ("args", "expected"),
-    [
-        (("acme", "dev", "bronze"), "acme_dev_bronze"),
-        (("acme", "test", "gold"), "acme_test_gold"),
-        (("acme", "dev", ""), "acme_dev"),
-        (("acme", "prod", ""), "acme_prod"),
-        (("acme", "dev"), "acme_dev"),
-    ],
-)
-def test_catalog(args, expected):
-    assert catalog_name(*args) == expected
+import pytest
 
+from strata.names import ENVIRONMENTS, LAYERS, Workspace, catalog_name, schema_name
 
-@pytest.mark.parametrize("layer", ["bronze", "silver", "gold"])
-def test_schema(layer):
-    assert schema_name("rides", layer) == f"rides_{layer}"
+SUFFIXES = ("", "raw", "eu_west")
 
 
-@pytest.mark.parametrize("env", ["dev", "test", "prod"])
-def test_table_has_three_parts_and_names_the_environment(env):
-    with_suffix = table_name("acme", env, "rides", "bronze", "contacts", "bronze")
-    assert with_suffix == f"acme_{env}_bronze.rides_bronze.contacts"
-    without = table_name("acme", env, "rides", "gold", "daily")
-    assert without == f"acme_{env}.rides_gold.daily"
+@pytest.mark.parametrize(("env", "suffix"), list(product(ENVIRONMENTS, SUFFIXES)))
+def test_catalog_is_its_parts_in_order(env, suffix):
+    parts = catalog_name("ferry", env, suffix).split("_")
+    assert parts[:2] == ["ferry", env]
+    assert "_".join(parts[2:]) == suffix
 
 
-@pytest.mark.parametrize("env", ["", "release_in_prod", "DEV"])
-def test_unknown_environment_is_refused(env):
-    with pytest.raises(ValueError, match="env must be"):
-        catalog_name("acme", env)
-    with pytest.raises(ValueError, match="env must be"):
-        Workspace("acme", "rides", catalog="spark_catalog").table(env, "gold", "daily")
+def test_schema_is_domain_and_layer():
+    for domain, layer in product(("port", "crew_list"), LAYERS):
+        assert schema_name(domain, layer).rpartition("_")[::2] == (domain, layer)
 
 
-def test_workspace_follows_the_same_pattern():
-    assert Workspace("acme", "rides", "raw").table("dev", "silver", "t") == "acme_dev_raw.rides_silver.t"
+def test_every_environment_suffix_and_layer_has_its_own_table():
+    own = [Workspace("ferry", "port", suffix) for suffix in SUFFIXES]
+    shared = [Workspace("ferry", "port", catalog="one"), Workspace("ferry", "crew", catalog="one")]
+    tables = [w.table(env, layer, "berths") for w, env, layer in product(own + shared, ENVIRONMENTS, LAYERS)]
+    assert len(set(tables)) == len(tables)
+    for table in tables:
+        catalog, schema, name = table.split(".")
+        assert name == "berths" and schema.rpartition("_")[2] in LAYERS
+        assert catalog == "one" or catalog.startswith("ferry_")
 
 
-def test_environments_of_a_shared_catalog_stay_apart():
-    shared = Workspace("acme", "rides", catalog="spark_catalog")
-    assert shared.table("dev", "silver", "t") == "spark_catalog.rides_dev_silver.t"
-    assert shared.table("dev", "silver", "t") != shared.table("prod", "silver", "t")
+@pytest.mark.parametrize("env", ["", "Prod", "production", "dev "])
+def test_other_environments_are_refused(env):
+    for name in (lambda: catalog_name("ferry", env), lambda: Workspace("ferry", "port").table(env, "gold", "t")):
+        with pytest.raises(ValueError, match="env must be"):
+            name()
 
 
-def test_unknown_layer_is_refused():
+def test_other_layers_are_refused():
     with pytest.raises(ValueError, match="layer must be"):
-        Workspace("acme", "rides").table("dev", "platinum", "t")
+        Workspace("ferry", "port").schema("dev", "platinum")

@@ -27,7 +27,7 @@ rows = st.lists(
             "fare_amount": money,
             "trip_distance": money,
             "passenger_count": st.one_of(st.none(), st.integers(-1, 8)),
-            "vendor_name": st.sampled_from(["CMT", "VTS", None]),
+            "dispatcher": st.sampled_from(["north", "south", None]),
         }
     ),
     min_size=1,
@@ -106,7 +106,7 @@ def test_silver_passes_the_critical_rules_of_its_contract(spark, trips):
 @few
 @given(repeated)
 def test_paths_differ_only_by_nan_short_trips_and_extra_columns(spark, trips):
-    df = full_width(make(spark, *trips)).drop("vendor_name")
+    df = full_width(make(spark, *trips)).drop("dispatcher")
     names = [*taxi.TRIP_COLUMNS, taxi.DURATION]
     from_sql = spark.sql(clean_model("{t}"), t=df).select(*names)
     both = from_sql.filter(

@@ -126,10 +126,10 @@ ALL_RULES = [
     Q.not_null("fare_amount"),
     Q.value_above("fare_amount", 0, "warning"),
     Q.no_duplicates(),
-    Q.unique("vendor_name", "warning"),
+    Q.unique("dispatcher", "warning"),
     Q.primary_key("tpep_pickup_datetime", severity="warning"),
     Q.row_count_above(2),
-    Q.freshness("tpep_pickup_datetime", 1, "2023-01-15 09:00:01"),
+    Q.freshness("tpep_pickup_datetime", 1, "2031-05-06 22:40:11"),
 ]
 
 
@@ -147,7 +147,7 @@ def test_rules_evaluated_together_count_as_alone(spark):
     assert together["not_null", "fare_amount"] == (5, 1)
     assert together["value_above", "fare_amount"] == (5, 1)
     assert together["no_duplicates", None] == (5, 2)
-    assert together["unique", "vendor_name"] == (5, 4)
+    assert together["unique", "dispatcher"] == (5, 4)
 
 
 def test_report_schema_and_no_rules(numbers):
@@ -191,3 +191,36 @@ def test_row_rules_share_one_scan(numbers, spark):
     assert plan(with_copies).count("FileScan") == 1
     same_key = Q.evaluate(df, [Q.unique("n"), Q.primary_key("n")])
     assert plan(same_key).count("FileScan") == 1
+
+
+def test_a_null_among_accepted_values_accepts_nothing_more(spark):
+    df = spark.createDataFrame([(7,), (1,), (None,)], "n int")
+    assert failing(df, Q.accepted_values("n", [1, None])) == 1
+    assert failing(df, Q.accepted_values("n", [None])) == 2
+
+
+@pytest.mark.parametrize(("hours", "as_of", "stale"), [(27, "2031-02-04 02:59:59", 0), (27, "2031-02-04 03:00:01", 1), (0.5, "2031-02-03 00:30:00", 0), (0.5, "2031-02-03 00:30:01", 1)])
+def test_freshness_of_a_date_counts_from_its_midnight(spark, hours, as_of, stale):
+    days = spark.sql("SELECT DATE '2031-02-03' AS d, TIMESTAMP '2031-02-03' AS t, TIMESTAMP_NTZ '2031-02-03' AS n")
+    assert [failing(days, Q.freshness(c, hours, as_of)) for c in "dtn"] == [stale] * 3
+
+
+def test_rules_find_columns_whatever_their_name(spark):
+    df = spark.sql("SELECT double('NaN') AS `a.b`, named_struct('x', double('NaN')) AS s, 5 AS Total")
+    for column in ("a.b", "s.x", "S.X", "A.B"):
+        assert failing(df, Q.value_between(column, 0, 1)) == 1
+        assert failing(df, Q.not_null(column)) == 0
+    assert failing(df, Q.value_above("total", 5)) == 1
+
+
+def test_row_rules_ride_on_a_single_key(spark, tmp_path):
+    spark.range(100).selectExpr("id % 40 AS k", "id AS v", "timestamp_seconds(id) AS at").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rules = [Q.unique("k"), Q.not_null("k"), Q.value_above("v", 9), Q.row_count_above(101), Q.freshness("k_at", 1, "2031-01-01")]
+    report = Q.evaluate(df.withColumnRenamed("at", "k_at"), rules[:4])
+    assert plan(report).count("FileScan") == 1
+    assert {r.rule: (r.total_rows, r.failing_rows) for r in report.collect()} == {
+        "unique": (100, 60), "not_null": (100, 0), "value_above": (100, 10), "row_count_above": (100, 1)
+    }
+    both = Q.evaluate(df.withColumnRenamed("at", "k_at"), rules)
+    assert plan(both).count("FileScan") == 2  # the newest time is not in the key

@@ -8,9 +8,9 @@ from strata.session import (
     SETTINGS,
     _bytes,
     discard,
-    estimated_bytes,
+    input_bytes,
     scratch_path,
-    sized_shuffle,
+    sized_session,
     task_sizes,
 )
 
@@ -50,49 +50,68 @@ def test_sizes_are_read_as_spark_writes_them(text, expected):
     assert _bytes(text) == expected
 
 
-def numbers(spark):
-    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
-    return [spark.conf.get(key) for key in keys]
+KEYS = ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
 
 
-def test_shuffle_is_sized_for_the_job_and_put_back(spark):
-    before = numbers(spark)
-    big = spark.range(10**12)
-    with sized_shuffle(big):
-        split, partitions = numbers(spark)
-        assert int(partitions) == -(-8 * 10**12 // 2**28)
-        assert _bytes(split) == max(_bytes(before[0]), -(-8 * 10**12 // 100_000))
-    assert numbers(spark) == before
-    with pytest.raises(RuntimeError), sized_shuffle(big):
-        raise RuntimeError
-    assert numbers(spark) == before
+def numbers(session):
+    return _bytes(session.conf.get(KEYS[0])), int(session.conf.get(KEYS[1]))
 
 
-def test_small_jobs_keep_the_numbers_of_the_session(spark):
-    before = numbers(spark)
-    path = scratch_path(spark, "small")
-    spark.range(10).write.parquet(path)
-    with sized_shuffle(spark.read.parquet(path)):
-        assert [_bytes(numbers(spark)[0]), numbers(spark)[1]] == [_bytes(before[0]), before[1]]
+def on_disk(path):
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
 
+@pytest.fixture
+def partitioned(spark):
+    """A partitioned catalog table without statistics, and its folder."""
+    path = scratch_path(spark, "parts")
+    rows = spark.range(50_000).selectExpr("id", "rand(1) AS x", "id % 3 AS day")
+    rows.write.option("path", path).partitionBy("day").saveAsTable("sized_parts")
+    yield path
+    spark.sql("DROP TABLE sized_parts")
 
-def test_inputs_of_unknown_size_change_nothing(spark):
+
+def test_size_is_that_of_the_files_with_and_without_partitions(spark, partitioned):
+    size = on_disk(partitioned)
+    assert input_bytes(spark.read.table("sized_parts")) == size
+    assert input_bytes(spark.read.parquet(partitioned).filter("x > 0.5").distinct()) == size
+    spark.conf.set("spark.sql.defaultSizeInBytes", "1000")
+    try:
+        assert input_bytes(spark.read.table("sized_parts")) == size
+    finally:
+        spark.conf.unset("spark.sql.defaultSizeInBytes")
+
+
+def test_a_job_has_a_session_of_its_own(spark, partitioned, monkeypatch):
     before = numbers(spark)
-    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "n int")
-    for df in (unknown, unknown.selectExpr("n AS m")):
-        assert estimated_bytes(df) is None
-        with sized_shuffle(df):
-            assert numbers(spark)[1] == before[1]
-            assert _bytes(numbers(spark)[0]) == _bytes(before[0])
-
-
-def test_size_of_a_stored_table_is_the_size_of_its_files(spark):
-    path = scratch_path(spark, "sized")
-    numbers = spark.range(100_000).selectExpr("id", "rand(1) AS x")
-    numbers.write.option("path", path).saveAsTable("sized_numbers")
-    on_disk = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
-    assert estimated_bytes(spark.read.table("sized_numbers")) == on_disk
-    spark.sql("DROP TABLE sized_numbers")
+    df = spark.read.table("sized_parts")
+    monkeypatch.setattr("strata.session.input_bytes", lambda _: 3 * TIB)
+    first = sized_session(df)
+    monkeypatch.setattr("strata.session.input_bytes", lambda _: 5 * TIB)
+    second, scans = sized_session(df), sized_session(df, shuffles=False)
+    assert numbers(spark) == before
+    assert [numbers(s)[1] for s in (first, second, scans)] == [3 * 4096, 5 * 4096, before[1]]
+    assert numbers(scans)[0] == max(before[0], -(-5 * TIB // 100_000))
+    assert first.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert first.read.table("sized_parts").count() == 50_000
+
+
+def test_small_and_unknown_inputs_keep_the_numbers(spark, partitioned, caplog):
+    unknown = spark.createDataFrame([(1,)], "n int")
+    assert input_bytes(unknown) is None
+    assert numbers(sized_session(unknown)) == numbers(spark)
+    assert "unknown" in caplog.text
+    assert numbers(sized_session(spark.read.table("sized_parts"))) == numbers(spark)
+
+
+def test_limits_are_settings_and_say_when_they_bind(spark, partitioned, monkeypatch, caplog):
+    monkeypatch.setattr("strata.session.input_bytes", lambda _: TIB)
+    spark.conf.set("spark.strata.mostShufflePartitions", "100")
+    try:
+        assert numbers(sized_session(spark.read.table("sized_parts")))[1] == 100
+    finally:
+        spark.conf.unset("spark.strata.mostShufflePartitions")
+    assert "at most" in caplog.text
 
 
 def test_discard_deletes_only_in_the_shared_folder(spark):

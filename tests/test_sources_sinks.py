@@ -4,15 +4,20 @@ import uuid
 from unittest.mock import MagicMock
 
 import pytest
+from helpers import plan
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.names import Workspace
 from strata.session import scratch_path, shared_folder
 from strata.sinks import (
+    Layout,
     SchemaConflict,
+    added_columns,
     append_evolving,
     append_evolving_path,
+    layout_of,
     refresh,
     refresh_path,
 )
@@ -197,3 +202,76 @@ def test_machine_local_folder_is_refused_on_a_cluster():
 def test_local_session_without_a_setting_gets_one_folder():
     session = session_with({"spark.master": "local[2]", "spark.app.id": f"app-{uuid.uuid4()}"})
     assert shared_folder(session) == shared_folder(session)
+
+
+def stored_table(spark, name):
+    return f"spark_catalog.default.{name}_{uuid.uuid4().hex[:8]}"
+
+
+def test_new_column_of_a_partitioned_table_lands_in_its_own_column(spark):
+    table = stored_table(spark, "divided")
+    append_evolving(frame(spark, [(1, 20240101)], "a int, day int"), table, layout=Layout(partition_by=("day",)))
+    append_evolving(frame(spark, [(2, 20240102, 77)], "a int, day int, c int"), table)
+    got = spark.read.table(table).select("a", "c", "day")
+    assert rows(got) == [(1, None, 20240101), (2, 77, 20240102)]
+    assert layout_of(spark, table).partition_by == ("day",)
+
+
+def test_arrays_maps_and_structs_can_be_appended_again(spark):
+    table, path = stored_table(spark, "nested"), scratch_path(spark, "nested")
+    batch = spark.sql("SELECT array(1, 2) AS tags, map('k', 1) AS m, named_struct('x', 1) AS s")
+    for _ in range(3):
+        append_evolving(batch, table)
+        append_evolving_path(batch, path)
+    assert spark.read.table(table).count() == read_evolved(spark, path).count() == 3
+
+
+def test_structs_gain_fields_at_any_depth(spark):
+    table = stored_table(spark, "wide")
+    append_evolving(spark.sql("SELECT 1 AS id, named_struct('x', 1, 'l', array(named_struct('p', 1))) AS s"), table)
+    append_evolving(
+        spark.sql("SELECT 2 AS id, named_struct('l', array(named_struct('q', 'b', 'p', 2)), 'y', 5) AS s, 'n' AS new"), table
+    )
+    got = spark.read.table(table).selectExpr("id", "s.x", "s.y", "s.l[0].p", "s.l[0].q", "new")
+    assert rows(got) == [(1, 1, None, 1, None, None), (2, None, 5, 2, "b", "n")]
+    with pytest.raises(SchemaConflict, match=r"s\.x: int -> string"):
+        append_evolving(spark.sql("SELECT 3 AS id, named_struct('x', 'text') AS s"), table)
+
+
+def test_a_column_without_a_type_waits_for_one(spark):
+    table = stored_table(spark, "void")
+    append_evolving(spark.sql("SELECT 1 AS id, null AS x, named_struct('a', 1, 'b', null) AS s"), table)
+    assert spark.read.table(table).columns == ["id", "s"]
+    append_evolving(spark.sql("SELECT 2 AS id, 7 AS x, named_struct('a', 1, 'b', 'now') AS s"), table)
+    append_evolving(spark.sql("SELECT 3 AS id, null AS x, null AS s"), table)
+    assert rows(spark.read.table(table).select("id", "x", "s.b")) == [(1, None, None), (2, 7, "now"), (3, None, None)]
+
+
+def test_names_are_compared_as_the_session_does(spark):
+    lower = T.StructType([T.StructField("id", T.IntegerType())])
+    both = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("ID", T.IntegerType())])
+    assert [f.name for f in added_columns(lower, both, lambda name: name)] == ["ID"]
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    path = scratch_path(spark, "cases")
+    append_evolving_path(own.createDataFrame([(1, 2)], both), path)
+    assert sorted(own.read.parquet(path).columns) == ["ID", "id"]
+
+
+def test_refresh_keeps_the_layout_and_refuses_rows_without_it(spark):
+    table = stored_table(spark, "kept")
+    layout = Layout(("day",), ("a",), 3)
+    refresh(frame(spark, [(1, 5)], "a int, day int"), table, layout=layout)
+    refresh(frame(spark, [(2, 6)], "a int, day int"), table)
+    assert layout_of(spark, table) == layout
+    with pytest.raises(SchemaConflict, match="divided by"):
+        refresh(frame(spark, [(2,)], "a int"), table)
+
+
+def test_copies_of_a_bucketed_table_are_dropped_without_a_shuffle(spark):
+    table = stored_table(spark, "bucketed")
+    rows_ = spark.range(2000).selectExpr("id % 50 AS a", "id % 7 AS b")
+    append_evolving(rows_, table, layout=Layout(bucket_by=("a",), buckets=4))
+    copies = spark.read.table(table).dropDuplicates()
+    assert "Exchange" not in plan(copies)
+    assert copies.count() == 350

@@ -34,8 +34,8 @@ def test_one_sorted_row_per_day(spark):
         trip(fare_amount=20.0, passenger_count=5, trip_distance=3.25),
     ]
     expected = [
-        (date(2023, 1, 15), 2, 16.25, 2.63, 15.0, 7),
-        (date(2023, 1, 16), 1, 9.0, 2.0, 1440.0, 2),
+        (date(2031, 5, 6), 2, 25.88, 6.38, 24.0, 9),
+        (date(2031, 5, 7), 1, 9.0, 9.5, 1440.0, 4),
     ]
     for result in summaries(spark, *rows):
         assert result == expected
@@ -112,4 +112,4 @@ def test_measures_are_arguments(spark):
     df = daily_summary(
         make(spark, lasting(minutes=3)), taxi.PICKUP, "d", "n", {"a": "fare_amount"}, {"s": "passenger_count"}
     )
-    assert [tuple(r) for r in df.collect()] == [(date(2023, 1, 15), 1, 12.5, 2)]
+    assert [tuple(r) for r in df.collect()] == [(date(2031, 5, 6), 1, 31.75, 4)]
