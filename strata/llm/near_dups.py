@@ -168,8 +168,11 @@ def candidates(classes: DataFrame) -> DataFrame:
     return bucket_rows(classes.select("node", "halves").mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, "kind int, a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets have the similarity."""
+def full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the full set of every end of a pair; the texts are shuffled once.
+
+    The joins here are sort-merge joins at any size: what they meet grows with the corpus.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
@@ -177,6 +180,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
             bodies = [x.tobytes() for x in shingle_sets(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
+    found = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    return stored(found.mapInArrow(sets, "doc_id long, body binary"), "sets")
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets have the similarity."""
+
     def compare(batches):
         for batch in batches:
             links = []
@@ -189,13 +199,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    bodies = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, body binary"), "sets")
     a = bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
     b = bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("y"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(compare, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components in larger buckets, by an exact prefix-filter join."""
     of = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     several = of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -204,18 +213,15 @@ def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int =
         return nodes.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
     def explode(batches):
-        for part in steps(batches, "text", 1 << 18):
-            sets = shingle_sets(part.column("text"))
-            sizes = [len(x) for x in sets]
-            of = np.repeat(np.arange(len(sets)), sizes)
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(pa.array(of)), part.column("comp").take(pa.array(of)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(flat)],
-                ["node", "comp", "n", "shingle"],
-            )
-
-    texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "comp", "text")
-    rows = stored(texts.mapInArrow(explode, "node long, comp long, n long, shingle long"), "shingles")
+        for part in steps(batches, "body"):
+            flat, at = text_bytes(part.column("body"))
+            sizes = np.diff(at) // 8
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns = [part.column("node").take(of), part.column("comp").take(of), pa.array(np.repeat(sizes, sizes)), pa.array(flat.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "comp", "n", "shingle"])
+
+    own = bodies.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "comp", "body")
+    rows = stored(own.mapInArrow(explode, "node long, comp long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = rows.join(often, "shingle").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
     first = stored(
@@ -246,11 +252,13 @@ def _near_classes(docs: DataFrame) -> DataFrame:
     hubs = found.filter(f"kind = {HUB}").select(F.col("a").alias("key"), F.col("b").alias("hub"))
     stars = members.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = stored(found.filter(f"kind = {EDGE}").select("a", "b").unionByName(stars).distinct(), "pairs")
-    links = stored(verified(pairs, texts), "verified")
+    bodies = full_sets(pairs, texts)
+    links = stored(verified(pairs, bodies), "verified")
     labels = components(links)
-    more = stored(_rest(members, labels, texts), "pairs")
+    # A larger bucket's members all stand in a pair with its hub, so their sets are at hand.
+    more = stored(_rest(members, labels, bodies), "pairs")
     if not more.isEmpty():
-        labels = components(links.unionByName(stored(verified(more, texts), "verified")))
+        labels = components(links.unionByName(stored(verified(more, bodies), "verified")))
     names = classes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("comp", "node").alias("component_id"))
     # Equal sets can be a third of all rows: their documents are joined by the row, and adaptive
     # execution splits such a partition.
@@ -265,3 +273,38 @@ def query(spark, sf_dir):
     from strata.llm.common import read
 
     return near_classes(read(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^ \t\n\x0b\f\r]+') AS words
+    FROM documents
+), each AS (
+    SELECT doc_id, len(words) AS total, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+), shingles AS (
+    SELECT DISTINCT doc_id, key FROM (
+        SELECT doc_id, pos, total, string_agg(word, ' ') OVER frame AS key, count(*) OVER frame AS n FROM each
+        WINDOW frame AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+    ) WHERE n = least(5, total) AND (total >= 5 OR pos = 1)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.key = y.key AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common >= 75 * (x.n + y.n - common)
+), directed AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN directed l ON r.other = l.a
+), smallest AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM smallest LEFT JOIN sizes USING (doc_id)
+"""

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.ORACLE}
+    return {
+        "op1_suffix_dedup": suffixes.ORACLE,
+        "op6_near_dups": near_dups.ORACLE,
+        "op7_substring_dedup": substrings.ORACLE,
+        "op9_quality_rules": quality.ORACLE,
+    }

@@ -216,3 +216,25 @@ def query(spark, sf_dir):
     from strata.llm.common import read
 
     return substring_dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS words FROM documents
+), each AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+), windows AS (
+    SELECT doc_id, pos, string_agg(word, ' ') OVER frame AS key, count(*) OVER frame AS n FROM each
+    WINDOW frame AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), later AS (
+    SELECT doc_id, pos FROM windows WHERE n = 13 QUALIFY min(doc_id) OVER (PARTITION BY key) < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM later
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n
+    FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(k.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""

@@ -254,3 +254,29 @@ def query(spark, sf_dir):
     from strata.llm.common import read
 
     return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), strings AS (
+    SELECT doc_id, pos, substr(digits, 2 * pos + 1, 200) AS key
+    FROM (SELECT doc_id, digits, unnest(range(0, length(digits) // 2 - 99)) AS pos FROM texts)
+), later AS (
+    SELECT doc_id, pos FROM strings
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 100)) AS pos FROM later
+), spans AS (
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS spans
+    FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(substr(digits, 2 * pos + 1, 2), '' ORDER BY pos) AS digits
+    FROM (SELECT doc_id, digits, unnest(range(0, length(digits) // 2)) AS pos FROM texts SEMI JOIN gone USING (doc_id)) t
+    ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, (length(t.digits) // 2)::BIGINT AS n_bytes, coalesce(s.n, 0)::BIGINT AS n_removed,
+    coalesce(s.spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN s.n IS NULL THEN t.digits ELSE coalesce(k.digits, '') END)) AS kept_sha256
+FROM texts t LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

@@ -131,8 +131,10 @@ def test_exact_join_finds_links_that_stars_miss(documents):
     docs = documents(rows)
     members = docs.sparkSession.createDataFrame([(1, d) for d, _ in rows], "key long, node long")
     none = docs.sparkSession.createDataFrame([], "node long, comp long")
-    pairs = near_dups._rest(members, none, docs.select("doc_id", "text"))
-    links = {(r.a, r.b) for r in near_dups.verified(pairs, docs.select("doc_id", "text")).collect()}
+    everyone = members.selectExpr("node as a", "node as b")
+    bodies = near_dups.full_sets(everyone, docs.select("doc_id", "text"))
+    pairs = near_dups._rest(members, none, bodies)
+    links = {(r.a, r.b) for r in near_dups.verified(pairs, bodies).collect()}
     sets = {d: brute.shingles(t) for d, t in rows}
     expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert {tuple(sorted(x)) for x in links} == expected
