@@ -23,7 +23,7 @@ from strata.operators import (
 )
 from strata.plans import taxi
 from strata.session import sized_session
-from strata.sinks import append_evolving, refresh
+from strata.sinks import Layout, append_evolving, refresh
 from strata.sources import read_table
 
 
@@ -59,12 +59,21 @@ def aggregate(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def run_bronze(
-    spark: SparkSession, env: str, source: DataFrame | str, workspace: Workspace = taxi.WORKSPACE
+    spark: SparkSession,
+    env: str,
+    source: DataFrame | str,
+    workspace: Workspace = taxi.WORKSPACE,
+    layout: Layout | None = None,
+    compact: bool = False,
 ) -> str:
-    """Append the whole source, a table name or a DataFrame, to bronze."""
+    """Append the whole source, a table name or a DataFrame, to bronze.
+
+    ``layout`` holds for a table that is created. A source of many small files would stay so;
+    ``compact`` shuffles it to files of ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
+    """
     raw = read_table(spark, source) if isinstance(source, str) else source
     target = workspace.table(env, "bronze", taxi.TRIPS)
-    append_evolving(raw, target, workspace.format)
+    append_evolving(raw.hint("rebalance") if compact else raw, target, workspace.format, layout)
     return target
 
 

@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from strata.functions import elapsed_sql, quoted
 from strata.names import Workspace
 from strata.plans import taxi
-from strata.quality import REPORT_SCHEMA, Rule, evaluate, observe, raise_on_failure
+from strata.quality import (
+    REPORT_SCHEMA,
+    Contract,
+    ContractViolation,
+    Rule,
+    evaluate,
+    observe,
+    raise_on_failure,
+    schema_problems,
+)
 from strata.session import sized_session
 from strata.sinks import refresh
 
@@ -116,13 +125,17 @@ def run_gold_model(
 
 
 def _build_and_test(
-    spark: SparkSession, sql: str, target: str, tests: Sequence[Rule], format: str
+    spark: SparkSession, sql: str, target: str, tests: Sequence[Rule] | Contract, format: str
 ) -> list[Row]:
     """Store a model, then require its tests; returns the rows of their report.
 
     Row tests are counted while the table is written; only key tests read it back.
     """
     table = target.split(".")[-1]
+    if isinstance(tests, Contract):
+        if problems := schema_problems(spark.sql(sql), tests):
+            raise ContractViolation(f"{table}: {'; '.join(problems)}")
+        tests = tests.rules()
     keyed = [t for t in tests if t.is_keyed]
     counted, observed = observe(spark.sql(sql), [t for t in tests if not t.is_keyed], table)
     refresh(counted, target, format)
@@ -138,13 +151,15 @@ def run_gated(
     env: str,
     workspace: Workspace = taxi.WORKSPACE,
     exact: bool = False,
-    silver_tests: Sequence[Rule] | None = None,
-    gold_tests: Sequence[Rule] | None = None,
+    silver_tests: Sequence[Rule] | Contract | None = None,
+    gold_tests: Sequence[Rule] | Contract | None = None,
 ) -> DataFrame:
     """Clean model, its tests, daily model, its tests; returns the report of both.
 
     A failed critical test raises :class:`strata.quality.ContractViolation`, and
-    nothing after it is built. The default tests are those of :mod:`strata.plans.taxi`.
+    nothing after it is built. The default tests are those of :mod:`strata.plans.taxi`. A
+    whole contract can be given instead: the model's columns have to conform before it is
+    stored, then the contract's rules have to hold.
     """
     bronze = workspace.table(env, "bronze", taxi.TRIPS)
     silver = workspace.table(env, "silver", taxi.TRIPS_MODEL)

@@ -3,7 +3,7 @@
 import uuid
 
 import pytest
-from helpers import full_width, lasting, make, trip
+from helpers import full_width, lasting, make, plan, trip
 from pyspark.sql import functions as F
 
 from strata import plans
@@ -11,6 +11,7 @@ from strata.names import Workspace
 from strata.plans import taxi
 from strata.quality import ContractViolation, check_table, not_null, require, unique, value_above
 from strata.session import scratch_path
+from strata.sinks import Layout
 
 
 @pytest.fixture
@@ -139,3 +140,20 @@ def test_stored_layers_can_be_held_to_their_contracts(spark, workspace, raw):
         assert {r.rule for r in report.filter("NOT passed").collect()} == failed
     with pytest.raises(ContractViolation, match="total_trips: missing"):
         check_table(spark, silver, taxi.contract("daily_gold"))
+
+
+def test_a_whole_contract_can_be_the_gate(spark, workspace, raw):
+    plans.run_bronze(spark, "dev", raw, workspace)
+    silver, gold = taxi.contract("trips_silver"), taxi.contract("daily_gold")
+    report = plans.run_gated(spark, "dev", workspace, silver_tests=silver, gold_tests=gold)
+    assert report.count() == len(silver.rules()) + len(gold.rules()) and report.filter("NOT passed").isEmpty()
+    with pytest.raises(ContractViolation, match="trips_clean: pickup_date: missing"):
+        plans.run_gated(spark, "dev", workspace, silver_tests=gold)
+
+
+def test_small_files_can_be_compacted_and_bronze_bucketed(spark, workspace, raw):
+    layout = Layout(bucket_by=(taxi.PICKUP,), buckets=2)
+    bronze = plans.run_bronze(spark, "dev", raw.repartition(16), workspace, layout, compact=True)
+    assert len(spark.read.table(bronze).inputFiles()) <= 2
+    assert "Exchange" not in plan(plans.clean(spark.read.table(bronze)))
+    assert spark.read.table(plans.run_silver(spark, "dev", workspace)).count() == 2
