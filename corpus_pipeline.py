@@ -22,7 +22,8 @@ def quality_rules(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
     dropped = near_dups.near_classes(docs).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    # What is dropped grows with the corpus, so it is not broadcast at any size.
+    return docs.select(*COLUMNS).join(dropped.hint("merge"), "doc_id", "left_anti")
 
 
 def repeated_strings(spark, docs, sf_dir):
@@ -33,7 +34,7 @@ def repeated_strings(spark, docs, sf_dir):
 def benchmark_leaks(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
     found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+    return docs.select(*COLUMNS).join(found.hint("merge"), "doc_id", "left_anti")
 
 
 def token_ids(spark, docs, sf_dir):

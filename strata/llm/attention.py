@@ -9,7 +9,10 @@ of tokens within a class, given the input, complete a proper distribution over a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import zstandard
 
 STRIDE, WIDTH, CLASSES = 16, 16, 24
 SPAN = 2 * STRIDE
@@ -35,14 +38,31 @@ class Tables:
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-3
         self.vectors = vectors.astype(np.float32)
         self.classes = _clusters(self.vectors, unigrams)
-        mass = np.bincount(self.classes, base, CLASSES)
-        self.prior = np.empty((rows, CLASSES), np.float32)
-        self.within = np.empty((rows, size), np.float16)
-        for r in range(rows):
-            own = counts[r].astype(np.float64)
-            by_class = np.bincount(self.classes, own, CLASSES) + BACKOFF * mass
-            self.prior[r] = np.log(by_class / (own.sum() + BACKOFF))
-            self.within[r] = np.log((own + BACKOFF * base) / by_class[self.classes])
+        self.base = base
+        self.mass = np.bincount(self.classes, base, CLASSES)
+        self.prior = np.log(np.maximum(1e-30, self._by_class(counts) / (counts.sum(1, dtype=np.float64) + BACKOFF)[:, None])).astype(np.float32)
+        # Most counts are 0, so they travel compressed; a worker process opens them once.
+        self.shape, self.packed = counts.shape, [zstandard.compress(own.astype(np.uint32).tobytes()) for own in counts]
+        self.name = uuid.uuid4().hex
+
+    def _by_class(self, counts: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.classes, own, CLASSES) for own in counts]) + BACKOFF * self.mass
+
+    @property
+    def within(self) -> np.ndarray:
+        """Log probability of each token within its class, by input row."""
+        if self.name not in _opened:
+            _opened.clear()
+            table = np.empty(self.shape, np.float16)
+            for r, row in enumerate(self.packed):
+                own = np.frombuffer(zstandard.decompress(row), np.uint32)
+                table[r] = np.log((own + BACKOFF * self.base) / self._by_class(own[None])[0][self.classes])
+            _opened[self.name] = table
+        return _opened[self.name]
+
+
+#: The table that this process has opened.
+_opened: dict[str, np.ndarray] = {}
 
 
 def _clusters(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -104,7 +124,7 @@ def _attend(weights, x2: np.ndarray, doc2: np.ndarray):
 
 def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, docs: np.ndarray, end: int) -> np.ndarray:
     """Natural log probability of every token; ``docs`` numbers the texts, each ends with ``end``."""
-    out = np.empty(len(tokens), np.float32)
+    out, within = np.empty(len(tokens), np.float32), tables.within
     inputs = np.concatenate([[end], tokens[:-1]])
     wo = _unpack(weights)[3]
     for b in range(0, len(tokens), BATCH):
@@ -123,7 +143,7 @@ def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, docs:
         target = tokens[b:e]
         chosen = logits[np.arange(e - b), tables.classes[target]]
         np.exp(logits, out=logits)
-        out[b:e] = chosen - np.log(logits.sum(1)) + tables.within[rows, target]
+        out[b:e] = chosen - np.log(logits.sum(1)) + within[rows, target]
     return out
 
 

@@ -121,6 +121,17 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[begins]) * self.down[begins] + (ends - begins).astype(U64))
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int = 1 << 19) -> np.ndarray:
+    """Hashes of spans that follow one another, a slice of ``data`` at a time."""
+    out, b = np.empty(len(begins), U64), 0
+    while b < len(begins):
+        e = max(b + 1, int(np.searchsorted(ends, begins[b] + size, "right")))
+        low = begins[b]
+        out[b:e] = Rolling(data[low : ends[e - 1]]).runs(begins[b:e] - low, ends[b:e] - low)
+        b = e
+    return out
+
+
 _SPREAD = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import attention, packed
-from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, lower, mixed, shuffle_partitions, spans_gather, steps, text_bytes, word_spans
-from strata.session import scratch_path
+from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
+from strata.session import discard, scratch_path
 
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
@@ -44,7 +44,7 @@ RATE, ROUNDS, LEARNING, MINIBATCH = 32, 3, 0.01, 64
 CHUNK_BYTES = 4 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
-KEPT = 2_000_000
+KEPT = 500_000
 
 
 def held_out(doc_id: int) -> bool:
@@ -86,8 +86,8 @@ class _Chunk:
         return tokens, np.repeat(np.arange(len(lengths)), lengths), lengths
 
 
-def prepare(docs: DataFrame, model: str) -> DataFrame:
-    """Rows of chunks, word counts and subword counts."""
+def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
+    """Rows of chunks, word counts and subword counts; and the folder of the word counts."""
     buckets = shuffle_partitions(docs.sparkSession) * packed.BUCKETS
 
     def run(batches):
@@ -101,22 +101,31 @@ def prepare(docs: DataFrame, model: str) -> DataFrame:
             data, offsets = text_bytes(part.column("text"))
             data = lower(data)
             begins, ends, counts = word_spans(data, offsets)
-            words, first, word = np.unique(Rolling(data).runs(begins, ends), return_index=True, return_inverse=True)
+            words, first, word = np.unique(word_hashes(data, begins, ends), return_index=True, return_inverse=True)
             at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
             new = np.flatnonzero(known[at] != words) if len(known) else np.arange(len(words))
             if len(known) > KEPT:
                 known, spans, kept, new = known[:0], spans[:0], kept[:0], np.arange(len(words))
             if len(new):
                 raw = data.tobytes()
-                cut = library.encode([raw[b:e].decode() for b, e in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], num_threads=1)
-                width = np.array([len(x) for x in cut], np.int64)
+                width, ids = np.empty(len(new), np.int64), [kept]
+                for b in range(0, len(new), 20_000):
+                    some = first[new[b : b + 20_000]]
+                    cut = library.encode([raw[x:y].decode() for x, y in zip(begins[some].tolist(), ends[some].tolist(), strict=True)], num_threads=1)
+                    width[b : b + len(some)] = [len(x) for x in cut]
+                    ids.append(np.fromiter((i for x in cut for i in x), np.uint16))
                 begin = len(kept) + np.cumsum(width) - width
-                kept = np.concatenate([kept, np.array([i for x in cut for i in x], np.uint16)])
+                kept = np.concatenate(ids)
                 known = np.concatenate([known, words[new]])
                 order = np.argsort(known)
                 known, spans = known[order], np.concatenate([spans, np.stack([begin, width], 1)])[order]
                 at = np.searchsorted(known, words)
             own = spans[at] if len(words) else np.zeros((0, 2), np.int64)
+            # Frequent words get small numbers, which pack better.
+            order = np.argsort(-np.bincount(word, minlength=len(words)), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            words, own, word = words[order], own[order], number[word]
             ids = long_ids(part.column("doc_id"))
             held = np.array([held_out(i) for i in ids.tolist()], bool)
             made = _Chunk(doc=ids, held=held, words=np.diff(counts), word=word, width=own[:, 1], ids=kept[spans_gather(own[:, 0], own[:, 1])])
@@ -133,7 +142,7 @@ def prepare(docs: DataFrame, model: str) -> DataFrame:
     path = scratch_path(docs.sparkSession, "chunks")
     schema = "kind int, bucket int, chunk long, body binary"
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path), f"{path}/kind={WORDS}"
 
 
 def _rows(kind: int, bucket, chunk, body) -> pa.RecordBatch:
@@ -269,8 +278,9 @@ def score(docs: DataFrame, model: str) -> DataFrame:
 
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     end = library.eos_id()
-    prepared = prepare(docs, model)
+    prepared, word_rows = prepare(docs, model)
     counts, words, distinct = word_totals(prepared)
+    discard(docs.sparkSession, word_rows)
     unigrams = _summed(prepared.filter(f"kind = {COUNTS}"), library.vocab_size())
     tables = counted_tables(prepared, unigrams, end)
     weights = train(prepared, tables, end)
