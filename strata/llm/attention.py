@@ -132,7 +132,7 @@ def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, docs:
         low = max(0, b - STRIDE)
         size = -(-(e - low) // STRIDE) * STRIDE
         ids = np.full(size, end, inputs.dtype)
-        doc = np.full(size, -1, np.int64)
+        doc = np.full(size, -1, np.int32)
         ids[: e - low], doc[: e - low] = inputs[low:e], docs[low:e]
         x2, doc2 = _blocks(tables.vectors[ids]), _blocks(doc)
         if low == b:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -44,6 +45,23 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, size: int = STEP_BYTES
             at = upto
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over a task's batches; what it used goes back to the system when it ends.
+
+    Python workers live on between stages, beside the memory that other operators need.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of ``column`` as one array of bytes, and where each begins; null is empty."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")

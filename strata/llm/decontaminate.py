@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, Rolling, lower, steps, text_bytes, word_spans
+from strata.llm.common import U64, Rolling, lower, released, steps, text_bytes, word_spans
 from strata.llm.licenses import GAPS
 
 K1, B = 1.2, 0.75
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     arrays = [part.column("doc_id").take(pa.array(of)), pa.array(index.ids[items]), *map(pa.array, rest)]
                     yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")])
 
-        return docs.mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(released(run), SCHEMA)
 
     found = [searched(index) for index in _indexes(benchmark)]
     if not found:

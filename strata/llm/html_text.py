@@ -23,7 +23,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import steps
+from strata.llm.common import released, steps
 
 #: Tags that begin and end a block; all others are inline.
 BLOCK_TAGS = set(
@@ -238,7 +238,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(released(run), SCHEMA)
 
 
 def query(spark, sf_dir):

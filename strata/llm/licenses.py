@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import Rolling, lower, steps, text_bytes, word_spans
+from strata.llm.common import Rolling, lower, released, steps, text_bytes, word_spans
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -186,7 +186,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(released(run), SCHEMA)
 
 
 def query(spark, sf_dir):

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import attention, packed
-from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
+from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
 from strata.session import discard, scratch_path
 
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
 ROWS = 1024
 RATE, ROUNDS, LEARNING, MINIBATCH = 32, 3, 0.01, 64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
 KEPT = 500_000
@@ -83,7 +83,7 @@ class _Chunk:
         tokens = ids[spans_gather(begins[sequence], own)]
         first = np.cumsum(self.words + 1) - (self.words + 1)
         lengths = np.add.reduceat(own, first) if len(first) else np.zeros(0, np.int64)
-        return tokens, np.repeat(np.arange(len(lengths)), lengths), lengths
+        return tokens, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), lengths
 
 
 def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
@@ -141,7 +141,7 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
 
     path = scratch_path(docs.sparkSession, "chunks")
     schema = "kind int, bucket int, chunk long, body binary"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema).write.partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path), f"{path}/kind={WORDS}"
 
 
@@ -173,7 +173,7 @@ def word_totals(prepared: DataFrame) -> tuple[DataFrame, int, int]:
 
     path = scratch_path(spark, "totals")
     schema = "kind int, bucket int, chunk long, body binary"
-    bucket_rows(rows, shuffle_partitions(spark)).mapInArrow(total, schema).write.partitionBy("kind").parquet(path)
+    bucket_rows(rows, shuffle_partitions(spark)).mapInArrow(released(total), schema).write.partitionBy("kind").parquet(path)
     found = spark.read.schema(schema).parquet(path)
     sums = _summed(found.filter(f"kind = {COUNTS}"), 2)
     return found.filter(f"kind = {WORDS}").groupBy("chunk").agg(F.collect_list("body").alias("counts")), int(sums[0]), int(sums[1])
@@ -189,7 +189,7 @@ def _summed(rows: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
                 sums += np.frombuffer(opener.decompress(body), kind)
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 
-    partial = rows.select("body").mapInArrow(add, "body binary").repartition(32).mapInArrow(add, "body binary").collect()
+    partial = rows.select("body").mapInArrow(released(add), "body binary").repartition(32).mapInArrow(released(add), "body binary").collect()
     return sum((np.frombuffer(zstandard.decompress(r.body), kind) for r in partial), np.zeros(size, kind))
 
 
@@ -219,8 +219,8 @@ def counted_tables(prepared: DataFrame, unigrams: np.ndarray, end: int) -> atten
                 dense = np.bincount(keys[own] - row * np.uint32(size), counts[own], size).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([int(row)]), pa.array([zstandard.compress(dense.tobytes())], pa.binary())], ["row", "body"])
 
-    sent = prepared.filter(f"kind = {CHUNK}").select("body").mapInArrow(send, packed.ROWS)
-    summed = bucket_rows(sent, shuffle_partitions(spark)).mapInArrow(add, "row long, body binary").groupBy("row").agg(F.collect_list("body").alias("bodies"))
+    sent = prepared.filter(f"kind = {CHUNK}").select("body").mapInArrow(released(send), packed.ROWS)
+    summed = bucket_rows(sent, shuffle_partitions(spark)).mapInArrow(released(add), "row long, body binary").groupBy("row").agg(F.collect_list("body").alias("bodies"))
     counts = np.zeros((ROWS, size), np.uint32)
     for row in summed.toLocalIterator():
         counts[row.row] = sum(np.frombuffer(zstandard.decompress(b), np.int64) for b in row.bodies).clip(0, 2**32 - 1)
@@ -263,7 +263,7 @@ def train(prepared: DataFrame, tables: attention.Tables, end: int, rounds: int =
             sums = np.append(own * float(taken), taken).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 
-        sums = _summed(chunks.mapInArrow(run, "body binary"), len(weights) + 1, np.float64)
+        sums = _summed(chunks.mapInArrow(released(run), "body binary"), len(weights) + 1, np.float64)
         if sums[-1]:
             weights = (sums[:-1] / sums[-1]).astype(np.float32)
     return weights
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: str) -> DataFrame:
                     [c.split()[0] for c in SCHEMA.split(", ")],
                 )
 
-    return prepared.filter(f"kind = {CHUNK}").select("chunk", "body").join(counts, "chunk", "left").mapInArrow(run, SCHEMA)
+    return prepared.filter(f"kind = {CHUNK}").select("chunk", "body").join(counts, "chunk", "left").mapInArrow(released(run), SCHEMA)
 
 
 def query(spark, sf_dir):

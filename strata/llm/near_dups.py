@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import packed
-from strata.llm.common import U64, Rolling, bucket_rows, lower, mixed, passing, shuffle_partitions, steps, stored, text_bytes, word_spans
+from strata.llm.common import U64, Rolling, bucket_rows, lower, mixed, passing, released, shuffle_partitions, steps, stored, text_bytes, word_spans
 from strata.llm.components import components
 
 WORDS, PERCENT, SIDE = 5, 75, 12
@@ -106,7 +106,7 @@ def _sketch_table(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "s1", "s2", "halves"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, halves binary")
+    return docs.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, halves binary")
 
 
 def _groups(keys: np.ndarray, nodes: np.ndarray):
@@ -165,7 +165,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             top = large & (nodes == hub)
             yield rows(HUB, keys[top], nodes[top])
 
-    return bucket_rows(classes.select("node", "halves").mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, "kind int, a long, b long")
+    return bucket_rows(classes.select("node", "halves").mapInArrow(released(send), packed.ROWS), partitions).mapInArrow(released(meet), "kind int, a long, b long")
 
 
 def full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
     found = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    return stored(found.mapInArrow(sets, "doc_id long, body binary"), "sets")
+    return stored(found.mapInArrow(released(sets), "doc_id long, body binary"), "sets")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> Dat
 
     a = bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
     b = bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("y"))
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(compare, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(released(compare), "a long, b long")
 
 
 def _rest(members: DataFrame, labels: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -221,7 +221,7 @@ def _rest(members: DataFrame, labels: DataFrame, bodies: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays(columns, ["node", "comp", "n", "shingle"])
 
     own = bodies.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "comp", "body")
-    rows = stored(own.mapInArrow(explode, "node long, comp long, n long, shingle long"), "shingles")
+    rows = stored(own.mapInArrow(released(explode), "node long, comp long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = rows.join(often, "shingle").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
     first = stored(

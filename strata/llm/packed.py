@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import STEP_BYTES, U64, mixed, passing, spans_gather, steps, stored
+from strata.llm.common import STEP_BYTES, U64, mixed, passing, released, spans_gather, steps, stored
 
 #: A key is hot if it has more than one in so many of all strings; there are no more than
 #: ``HOT_SHARE`` such keys, so the set of them can be broadcast.
@@ -153,7 +153,7 @@ def hot_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], s
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int64))], ["key", "n"])
 
     with passing(docs.sparkSession):
-        found = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "often")
+        found = stored(docs.mapInArrow(released(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "often")
         total = F.max(F.when(F.col("key") == 0, F.col("n")))
         hot = found.filter((F.col("key") != 0) & (F.col("n") * (2 * HOT_SHARE) > found.agg(total).scalar()))
         return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64).view(U64))
@@ -176,7 +176,7 @@ def remove(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str)
             yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(bodies, pa.binary())], [*names, "squeezed"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    small = docs.select(*names, "text").mapInArrow(squeeze, f"{kinds}, squeezed binary")
+    small = docs.select(*names, "text").mapInArrow(released(squeeze), f"{kinds}, squeezed binary")
     joined = small.join(gathered, ["doc_id", "fp"], "left")
 
     def opened(batches):
@@ -193,4 +193,4 @@ def remove(docs: DataFrame, intervals: DataFrame, finish: Callable, schema: str)
             ]
             yield finish(part, pairs)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

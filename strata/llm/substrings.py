@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import packed
-from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, mixed, shuffle_partitions, spans_slices, steps, text_bytes, text_key, word_spans
+from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, mixed, released, shuffle_partitions, spans_slices, steps, text_bytes, text_key, word_spans
 
 WINDOW, MINIMISER = 13, 3
 
@@ -173,7 +173,7 @@ def intervals(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> Data
                 found.append(packed.unpack(held[packed.KNOWN], ["i8", "i2", "i4", "i4"], False)[0])
             yield packed.intervals_batch(*packed.merged(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
-    return bucket_rows(docs.mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, packed.INTERVALS)
+    return bucket_rows(docs.mapInArrow(released(send), packed.ROWS), partitions).mapInArrow(released(meet), packed.INTERVALS)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import U64, Rolling, long_ids, mixed, spans_gather, steps, text_bytes
+from strata.llm.common import U64, Rolling, long_ids, mixed, released, spans_gather, steps, text_bytes
 from strata.llm.token_counts import KEPT, MARK, Transducer
 
 SEED, DROPOUT, DRAWS = 20, 0.1, 8
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
                 ["doc_id", "n_bytes", "n_tokens", "round_trip", "ids"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(released(run), SCHEMA)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -275,7 +275,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, text string")
 
 
 def query(spark, sf_dir):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm import packed
-from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, shuffle_partitions, steps, text_bytes
+from strata.llm.common import NO_ID, U64, Rolling, bucket_rows, long_ids, released, shuffle_partitions, steps, text_bytes
 from strata.llm.substrings import keyed, sliding_least
 
 LENGTH, TRIGGER = 100, 12
@@ -188,7 +188,7 @@ def intervals(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) ->
                 found.append(packed.unpack(held[packed.KNOWN], ["i8", "i2", "i4", "i4"], False)[0])
             yield packed.intervals_batch(*packed.merged(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
-    return bucket_rows(docs.mapInArrow(send, packed.ROWS), partitions).mapInArrow(meet, packed.INTERVALS)
+    return bucket_rows(docs.mapInArrow(released(send), packed.ROWS), partitions).mapInArrow(released(meet), packed.INTERVALS)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

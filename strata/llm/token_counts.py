@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import Rolling, mixed, steps, text_bytes
+from strata.llm.common import Rolling, mixed, released, steps, text_bytes
 
 CHUNK = 1 << 16
 #: Compiled emissions a task keeps; beyond that it starts anew.
@@ -166,7 +166,7 @@ def token_counts(docs: DataFrame, model: str, limit: int) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        released(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 
