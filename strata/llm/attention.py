@@ -65,6 +65,11 @@ class Tables:
 _opened: dict[str, np.ndarray] = {}
 
 
+def forget() -> None:
+    """Drop the opened table, before work that does not need it."""
+    _opened.clear()
+
+
 def _clusters(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted k-means; the start is the heaviest tokens furthest from each other."""
     weights = np.sqrt(weights + 0.1)

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import attention, packed
-from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
+from strata.llm.common import NO_ID, U64, bucket_rows, lean, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
 from strata.session import discard, scratch_path
 
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
-ROWS = 1024
+ROWS = 768
 RATE, ROUNDS, LEARNING, MINIBATCH = 32, 3, 0.01, 64
 CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
@@ -93,6 +93,7 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
     def run(batches):
         import sentencepiece
 
+        attention.forget()
         library = sentencepiece.SentencePieceProcessor(model_file=model)
         known, spans, kept = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint16)
         context = TaskContext.get()
@@ -278,6 +279,7 @@ def score(docs: DataFrame, model: str) -> DataFrame:
 
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     end = library.eos_id()
+    lean(docs.sparkSession)
     prepared, word_rows = prepare(docs, model)
     counts, words, distinct = word_totals(prepared)
     discard(docs.sparkSession, word_rows)
