@@ -155,22 +155,25 @@ def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, docs:
 def loss_gradient(tables: Tables, weights: np.ndarray, inputs: np.ndarray, targets: np.ndarray, docs: np.ndarray):
     """Mean loss of the class predictions of some windows, and its gradient.
 
-    All have ``SPAN`` columns; the second half is predicted.
+    All have ``SPAN`` columns; the second half is predicted, but for columns of no document
+    (a negative number).
     """
     wq, wk, wv, wo, _ = _unpack(weights)
     x2 = tables.vectors[inputs]
     q, k, v, attention, heads = _attend(weights, x2, docs)
     rows, target = tables.row_of[inputs[:, STRIDE:]], tables.classes[targets[:, STRIDE:]]
-    logits = tables.prior[rows] + heads @ wo
-    logits -= logits.max(2, keepdims=True)
-    chances = np.exp(logits)
-    chances /= chances.sum(2, keepdims=True)
-    index = np.indices(target.shape)
-    n = target.size
-    loss = -np.log(chances[index[0], index[1], target] + 1e-30).mean()
-    chances[index[0], index[1], target] -= 1
-    delta = chances / n
-    d_out = np.einsum("bsw,bsc->wc", heads, delta)
+    logits = (tables.prior[rows] + heads @ wo).reshape(-1, CLASSES)
+    logits -= logits.max(1, keepdims=True)
+    delta = np.exp(logits, out=logits)
+    delta /= delta.sum(1, keepdims=True)
+    index, target = np.arange(target.size), target.ravel()
+    real = (docs[:, STRIDE:] >= 0).ravel()
+    n = max(1, np.count_nonzero(real))
+    loss = -np.log(delta[index, target] + 1e-30)[real].sum() / n
+    delta[index, target] -= 1
+    delta *= (real / np.float32(n))[:, None]
+    d_out = heads.reshape(-1, WIDTH).T @ delta
+    delta = delta.reshape(*heads.shape[:2], CLASSES)
     d_heads = delta @ wo.T
     d_attention = np.matmul(d_heads, v.transpose(0, 2, 1))
     d_v = np.matmul(attention.transpose(0, 2, 1), d_heads)

@@ -7,8 +7,9 @@ The model (see ``attention``) is learnt from the documents that are not held out
 2. Word counts are summed by word and each chunk gets its words' counts back.
 3. Subword frequencies choose the inputs that get a row of their own in a table of what follows
    them; the rows are counted over all training tokens. Their size is bounded by the vocabulary.
-4. Weights are trained in rounds: every chunk takes steps of Adam on its share of windows
-   (one in ``RATE``, by hash, so training grows with the corpus), tasks' weights are averaged.
+4. Weights are trained in one pass over all training tokens, dealt out by hash to ``ROUNDS``
+   rounds: every chunk's training texts are put together, cut to windows that predict each token
+   once, and take steps of Adam; after a round the tasks' weights are averaged.
 5. Every token of every text is scored once, in overlapping windows of masked attention.
 
 A text is its words joined by single spaces and one end, so white space does not matter, and
@@ -40,7 +41,7 @@ from strata.session import discard, scratch_path
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
 ROWS = 768
-RATE, ROUNDS, LEARNING, MINIBATCH = 32, 3, 0.01, 64
+ROUNDS, LEARNING, MINIBATCH = 3, 0.01, 64
 CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
@@ -235,11 +236,32 @@ class _Small:
         self.vectors, self.classes, self.prior, self.row_of = tables.vectors, tables.classes, tables.prior, tables.row_of
 
 
-def train(prepared: DataFrame, tables: attention.Tables, end: int, rounds: int = ROUNDS, rate: int = RATE) -> np.ndarray:
+def windows(chunk: _Chunk, number: int, end: int, turn: int, rounds: int = ROUNDS):
+    """A round's minibatches of a chunk: inputs, targets and documents of windows of its training texts.
+
+    The texts follow one another without the held-out ones between them. Each token is predicted
+    by one window of one round; what fills the first and the last window is of no document.
+    """
+    width, span = attention.STRIDE, attention.SPAN
+    tokens, docs, _ = chunk.tokens(end)
+    learnt = ~chunk.held[docs]
+    tokens, docs = tokens[learnt], docs[learnt]
+    count = -(-len(tokens) // width)
+    tail = count * width - len(tokens)
+    docs = np.concatenate([np.full(width, -2, docs.dtype), docs, np.full(tail, -1, docs.dtype)])
+    tokens = np.concatenate([np.full(width + 1, end, tokens.dtype), tokens, np.full(tail, end, tokens.dtype)])
+    key = mixed(mixed(np.arange(count).astype(U64)) + U64(number))
+    own = np.flatnonzero(key % U64(rounds) == turn)
+    own = own[np.argsort(key[own])] * width
+    for b in range(0, len(own), MINIBATCH):
+        at = own[b : b + MINIBATCH, None] + np.arange(span)
+        yield tokens[at], tokens[at + 1], docs[at]
+
+
+def train(prepared: DataFrame, tables: attention.Tables, end: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights averaged over tasks after each round of local steps."""
     chunks = prepared.filter(f"kind = {CHUNK}").select("chunk", "body")
     small, weights = _Small(tables), attention.start()
-    width, span = attention.STRIDE, attention.SPAN
 
     for turn in range(rounds):
 
@@ -248,19 +270,10 @@ def train(prepared: DataFrame, tables: attention.Tables, end: int, rounds: int =
             optimiser = attention.Adam(len(begin), LEARNING / (1 + turn))
             for batch in batches:
                 for number, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                    tokens, docs, _ = (chunk := _Chunk.unpack(body)).tokens(end)
-                    inputs = np.concatenate([[end], tokens[:-1]])
-                    blocks = np.arange(1, len(tokens) // width, dtype=np.int64)
-                    key = mixed(mixed(blocks.astype(U64) + U64(number)) + U64(turn))
-                    blocks = blocks[key % U64(rate) == 0]
-                    # Windows that reach into a held-out text are left out whole.
-                    at = ((blocks - 1) * width)[:, None] + np.arange(span)
-                    at = at[~chunk.held[docs[at]].any(1)]
-                    for b in range(0, len(at), MINIBATCH):
-                        window = at[b : b + MINIBATCH]
-                        _, gradient = attention.loss_gradient(small, own, inputs[window], tokens[window], docs[window])
+                    for window in windows(_Chunk.unpack(body), number, end, turn, rounds):
+                        _, gradient = attention.loss_gradient(small, own, *window)
                         own = optimiser.step(own, gradient)
-                        taken += len(window)
+                        taken += len(window[0])
             sums = np.append(own * float(taken), taken).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 

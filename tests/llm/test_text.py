@@ -274,6 +274,23 @@ def test_lm_rows_and_base_scores(documents, model):
     assert lm_scoring.score(documents([]), model).count() == 0
 
 
+def test_every_training_token_is_predicted_once():
+    # Short texts beside held-out ones, a first block and a tail: all are trained on.
+    words, held = np.array([40, 3, 1, 5, 2, 30]), np.array([False, True, False, True, False, True])
+    chunk = lm_scoring._Chunk(
+        doc=np.arange(6), held=held, words=words, word=np.arange(words.sum()), width=np.ones(words.sum(), np.int64), ids=np.arange(100, 100 + words.sum())
+    )
+    own, docs, _ = chunk.tokens(2)
+    expected = [(d, t) for d, t in zip(docs.tolist(), own.tolist(), strict=True) if not held[d]]
+    seen = []
+    for turn in range(lm_scoring.ROUNDS):
+        for inputs, targets, window in lm_scoring.windows(chunk, 5, 2, turn):
+            assert (inputs[:, 1:] == targets[:, :-1]).all()
+            late = np.s_[:, attention.STRIDE :]
+            seen += [(d, t) for d, t in zip(window[late].ravel().tolist(), targets[late].ravel().tolist(), strict=True) if d >= 0]
+    assert sorted(seen) == sorted(expected)
+
+
 def test_training_raises_the_score_of_held_out_texts(spark, sf_dir, model, monkeypatch):
     docs = common.read(spark, sf_dir, "documents")
     held = lambda: sum(r.score for r in lm_scoring.score(docs, model).filter("held_out").collect())
