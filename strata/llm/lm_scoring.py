@@ -46,6 +46,8 @@ CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
 KEPT = 500_000
+#: Input rows of a bucket of pairs, and pairs that a task sums before it sends them.
+GROUP, SUMMED = 8, 1 << 20
 
 
 def held_out(doc_id: int) -> bool:
@@ -201,31 +203,87 @@ def counted_tables(prepared: DataFrame, unigrams: np.ndarray, end: int) -> atten
     row_of = np.full(size, ROWS - 1, np.int64)
     often = np.argsort(-unigrams, kind="stable")[: ROWS - 1]
     row_of[often] = np.arange(len(often))
-    group = 8
+    groups = -(-ROWS // GROUP)
+    # As many buckets as there are partitions, so that more tasks are dealt out to more of them.
+    salts = max(1, shuffle_partitions(spark) // groups)
 
     def send(batches):
+        context = TaskContext.get()
+        salt = (context.partitionId() if context else 0) % salts
+
+        def sums(parts):
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+        def rows(keys, counts):
+            bucket = (keys // size // GROUP + groups * salt).astype(np.int32)
+            return packed.pack(bucket, 0, [keys.astype(np.uint32), counts], None)
+
+        parts, waiting = [], 0
         for batch in batches:
             for body in batch.column("body").to_pylist():
                 tokens, docs, _ = (chunk := _Chunk.unpack(body)).tokens(end)
                 inputs = np.concatenate([[end], tokens[:-1]])
-                pairs = (row_of[inputs] * size + tokens)[~chunk.held[docs]]
-                keys, counts = np.unique(pairs, return_counts=True)
-                yield packed.pack((keys // size // group).astype(np.int32), 0, [keys.astype(np.uint32), counts.astype(np.uint32)], None)
+                parts.append(np.unique((row_of[inputs] * size + tokens)[~chunk.held[docs]], return_counts=True))
+                waiting += len(parts[-1][0])
+                if waiting > SUMMED:
+                    parts = [sums(parts)]
+                    waiting = len(parts[0][0])
+                    if 2 * waiting > SUMMED:
+                        yield rows(*parts[0])
+                        parts, waiting = [], 0
+        if parts:
+            yield rows(*sums(parts))
 
     def add(batches):
-        for held in packed.bucket_groups(batches):
-            (keys, counts), *_ = packed.unpack(held[0], ["u4", "u4"], False)
-            rows = keys // size
-            for row in np.unique(rows):
-                own = rows == row
-                dense = np.bincount(keys[own] - row * np.uint32(size), counts[own], size).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(row)]), pa.array([zstandard.compress(dense.tobytes())], pa.binary())], ["row", "body"])
+        """The dense rows of one bucket at a time; bodies are added to them one by one."""
+        opener, at, dense = zstandard.ZstdDecompressor(), None, np.zeros((GROUP, size), np.int64)
 
+        def full():
+            first = at % groups * GROUP
+            own = np.flatnonzero(dense.any(1))
+            bodies = [zstandard.compress(dense[r].tobytes()) for r in own.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(first + own), pa.array(bodies, pa.binary())], ["row", "body"])
+
+        for batch in batches:
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield full()
+                    at = bucket
+                    dense[:] = 0
+                body = opener.decompress(body.as_buffer())
+                n = int(np.frombuffer(body, np.int64, 1)[0])
+                # A body holds a pair once.
+                dense.ravel()[np.frombuffer(body, np.uint32, n, 8).astype(np.int64) - at % groups * GROUP * size] += np.frombuffer(body, np.int64, n, 8 + 4 * n)
+        if at is not None:
+            yield full()
+
+    def fold(batches):
+        """The sum of each row's bodies, which come one after the other."""
+        opener, at, dense = zstandard.ZstdDecompressor(), None, np.zeros(size, np.int64)
+
+        def full():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zstandard.compress(dense.tobytes())], pa.binary())], ["row", "body"])
+
+        for batch in batches:
+            for row, body in zip(batch.column("row").to_pylist(), batch.column("body"), strict=True):
+                if row != at:
+                    if at is not None:
+                        yield full()
+                    at = row
+                    dense[:] = 0
+                dense += np.frombuffer(opener.decompress(body.as_buffer()), np.int64)
+        if at is not None:
+            yield full()
+
+    partitions, schema = shuffle_partitions(spark), "row long, body binary"
     sent = prepared.filter(f"kind = {CHUNK}").select("body").mapInArrow(released(send), packed.ROWS)
-    summed = bucket_rows(sent, shuffle_partitions(spark)).mapInArrow(released(add), "row long, body binary").groupBy("row").agg(F.collect_list("body").alias("bodies"))
+    added = bucket_rows(sent, partitions).mapInArrow(released(add), schema)
+    summed = added.repartition(min(partitions, ROWS), "row").sortWithinPartitions("row").mapInArrow(released(fold), schema)
     counts = np.zeros((ROWS, size), np.uint32)
     for row in summed.toLocalIterator():
-        counts[row.row] = sum(np.frombuffer(zstandard.decompress(b), np.int64) for b in row.bodies).clip(0, 2**32 - 1)
+        counts[row.row] = np.frombuffer(zstandard.decompress(row.body), np.int64).clip(0, 2**32 - 1)
     return attention.Tables(counts, unigrams, row_of)
 
 

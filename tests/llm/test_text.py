@@ -274,6 +274,32 @@ def test_lm_rows_and_base_scores(documents, model):
     assert lm_scoring.score(documents([]), model).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [4, 300])
+def test_pairs_are_summed_in_a_task_before_they_are_sent(spark, monkeypatch, partitions):
+    rng = np.random.default_rng(3)
+    size, end, n, bodies, expected, seen = 900, 2, 24, [], np.zeros((lm_scoring.ROWS, 900), np.int64), []
+    unigrams = np.arange(size)[::-1].copy()
+    row_of = np.minimum(np.arange(size), lm_scoring.ROWS - 1)
+    for _ in range(n):
+        words = rng.integers(1, 60, 5)
+        total = int(words.sum())
+        chunk = lm_scoring._Chunk(
+            doc=np.arange(5), held=np.arange(5) == 3, words=words, word=np.arange(total), width=np.ones(total, np.int64), ids=rng.integers(3, size, total)
+        )
+        bodies.append((lm_scoring.CHUNK, chunk.pack()))
+        tokens, docs, _ = chunk.tokens(end)
+        for before, token, d in zip([end, *tokens[:-1].tolist()], tokens.tolist(), docs.tolist(), strict=True):
+            expected[row_of[before], token] += not chunk.held[d]
+    monkeypatch.setattr(lm_scoring, "shuffle_partitions", lambda _: partitions)
+    deal = lm_scoring.bucket_rows
+    monkeypatch.setattr(lm_scoring, "bucket_rows", lambda rows, parts: (seen.extend(r.bucket for r in rows.collect()), deal(rows, parts))[1])
+    monkeypatch.setattr(attention, "Tables", lambda counts, *_: counts)
+    prepared = spark.createDataFrame(bodies, "kind int, body binary").repartition(3)
+    assert (lm_scoring.counted_tables(prepared, unigrams, end) == expected).all()
+    assert max(seen.count(b) for b in seen) <= 3  # a task sends a bucket once, however many chunks it has
+    assert partitions < 200 or len({b // (lm_scoring.ROWS // 8) for b in seen}) > 1
+
+
 def test_every_training_token_is_predicted_once():
     # Short texts beside held-out ones, a first block and a tail: all are trained on.
     words, held = np.array([40, 3, 1, 5, 2, 30]), np.array([False, True, False, True, False, True])
