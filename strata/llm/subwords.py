@@ -3,11 +3,12 @@
 Encoding merges symbols of a segment (see ``token_counts``: text between two characters that
 no piece joins) as the model's ranks say: an agenda holds all neighbouring pairs that make a
 piece, the best rank first, the leftmost of equals. With dropout every candidate merge is
-skipped with probability ``dropout``, decided by a hash of the seed, the segment, its draw and
-the candidate, so the same key gives the same segmentation on any machine and in any order. A
-segment's draw is one of ``DRAWS``, chosen by a hash of the document and the segment's number in
-it, so equal words of a document are cut in varied ways. Segments are encoded once per draw and
-task, all at once: each round takes the best candidate of every open segment.
+skipped with probability ``dropout``, decided by a hash of the seed, the document, the segment's
+number in it and the candidate, so the same key gives the same segmentation on any machine and
+in any order, and every occurrence of a word has decisions of its own. A task keeps each
+segment's merging without dropout and its candidates; an occurrence that skips none of them has
+these ids, every other one is merged by itself. Many segments are merged all at once: each round
+takes the best candidate of every open segment.
 
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives back the
 text exactly, whatever was skipped. Without dropout the ids are those of the model's library,
@@ -24,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import U64, Rolling, long_ids, mixed, released, spans_gather, steps, text_bytes
+from strata.llm.common import U64, Rolling, long_ids, mixed, released, spans_gather, spans_slices, steps, text_bytes
 from strata.llm.token_counts import KEPT, MARK, Transducer
 
-SEED, DROPOUT, DRAWS = 20, 0.1, 8
+SEED, DROPOUT = 20, 0.1
 #: Segments of more symbols use the agenda one by one.
 LONG = 64
+#: Symbols or candidates worked on together.
+SLICE = 1 << 18
 _NONE = np.int64(2**62)
 #: Stands for U+2581 in a text, which is no space.
 LITERAL = 0x110000
@@ -77,7 +80,12 @@ class Codec:
         self.lengths = np.array([len(b) for b in bodies], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bodies = np.frombuffer(b"".join(bodies), np.uint8)
-        self.keys, self.spans, self.ids = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Segments' hashes, sorted; where their plain ids and candidates are; these."""
+        self.keys, self.spans = np.zeros(0, U64), np.zeros((0, 4), np.int64)
+        self.ids, self.candidates = np.zeros(0, np.int32), np.zeros(0, U64)
 
     def _merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -85,13 +93,20 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.merged[at], -1)
 
-    def _skipped(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether the keyed hash skips a candidate: symbols at ``left`` and ``right`` of a segment."""
-        x = key ^ self.seed ^ (left.astype(U64) << U64(42)) ^ (right.astype(U64) << U64(21)) ^ piece.astype(U64)
-        return mixed(mixed(x)) < self.skip
+    @staticmethod
+    def _candidate(left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """A candidate as one number: symbols at ``left`` and ``right`` of a segment make ``piece``."""
+        return (left.astype(U64) << U64(42)) ^ (right.astype(U64) << U64(21)) ^ piece.astype(U64)
+
+    def _skipped(self, key: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash skips a candidate."""
+        return mixed(mixed(key ^ self.seed ^ candidate)) < self.skip
+
+    def agenda(self, symbols: list[int], key: int, found: list | None = None) -> list[int]:
+        """The symbols of one segment merged from a heap of candidates.
 
-    def agenda(self, symbols: list[int], key: int) -> list[int]:
-        """The symbols of one segment merged from a heap of candidates."""
+        With ``found`` no candidate is skipped and all are added to it.
+        """
         n = len(symbols)
         symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple] = []
@@ -100,7 +115,12 @@ class Codec:
             a, b = np.array([symbols[i] for i in lefts], np.int64), np.array([symbols[i] for i in rights], np.int64)
             made = self._merge(a, b)
             lefts, rights = np.array(lefts), np.array(rights)
-            skipped = self._skipped(np.full(len(made), key, U64), lefts, rights, made)
+            candidate = self._candidate(lefts, rights, made)
+            if found is None:
+                skipped = self._skipped(np.full(len(made), key, U64), candidate)
+            else:
+                skipped = np.zeros(len(made), bool)
+                found.extend(candidate[made >= 0].tolist())
             for k in np.flatnonzero((made >= 0) & ~skipped).tolist():
                 item = int(made[k])
                 heapq.heappush(heap, (int(self.rank[item]), int(lefts[k]), int(rights[k]), symbols[lefts[k]], symbols[rights[k]], item))
@@ -120,14 +140,17 @@ class Codec:
                 propose(*zip(*near, strict=True))
         return [s for s in symbols if s is not None]
 
-    def _rounds(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of many segments, merged round by round; the source position and count too."""
+    def _rounds(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, found: list | None = None):
+        """Symbols of many segments, merged round by round; the source position and count too.
+
+        With ``found`` no candidate is skipped and all are added to it, with their segments.
+        """
         lengths = ends - begins
         index = spans_gather(begins, lengths)
         symbol = self.char[codes[index]].astype(np.int64)
         total, first = len(symbol), np.cumsum(lengths) - lengths
         local = np.arange(total) - np.repeat(first, lengths)
-        key = np.repeat(keys, lengths)
+        key = np.repeat(keys if found is None else np.arange(len(keys)), lengths)
         after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
         after[first + lengths - 1], before[first] = -1, -1
         made, order = np.full(total, -1, np.int64), np.full(total, _NONE)
@@ -136,9 +159,12 @@ class Codec:
         def propose(at):
             at = at[after[at] >= 0]
             made[at] = self._merge(symbol[at], symbol[after[at]])
-            found = made[at] >= 0
-            at = at[found]
-            at = at[~self._skipped(key[at], local[at], local[after[at]], made[at])]
+            at = at[made[at] >= 0]
+            candidate = self._candidate(local[at], local[after[at]], made[at])
+            if found is None:
+                at = at[~self._skipped(key[at], candidate)]
+            else:
+                found.append((key[at], candidate))
             order[at] = self.rank[made[at]] << np.int64(32) | at
 
         everything = np.arange(total)
@@ -165,14 +191,20 @@ class Codec:
         counts = np.add.reduceat(alive.astype(np.int64), first) if total else np.zeros(0, np.int64)
         return symbol[alive], index[alive], counts
 
-    def encode_segments(self, codes, begins, ends, keys) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments, one after the other, and how many each has."""
+    def encode_segments(self, codes, begins, ends, keys, found: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, one after the other, and how many each has; see ``_rounds`` for ``found``."""
         lengths = ends - begins
         short = np.flatnonzero(lengths <= LONG)
-        symbol, index, counts = self._rounds(codes, begins[short], ends[short], keys[short])
+        own = None if found is None else []
+        symbol, index, counts = self._rounds(codes, begins[short], ends[short], keys[short], own)
+        if found is not None:
+            found.extend((short[segment], candidate) for segment, candidate in own)
         of = np.repeat(short, counts)
         for i in np.flatnonzero(lengths > LONG).tolist():
-            part = self.agenda(self.char[codes[begins[i] : ends[i]]].tolist(), int(keys[i]))
+            own = None if found is None else []
+            part = self.agenda(self.char[codes[begins[i] : ends[i]]].tolist(), int(keys[i]), own)
+            if found is not None:
+                found.append((np.full(len(own), i), np.array(own, U64)))
             widths = np.array([1 if s < 0 or s >= self.size else self.cutter.width[s] for s in part])
             symbol = np.append(symbol, part)
             index = np.append(index, begins[i] + np.cumsum(widths) - widths)
@@ -192,7 +224,21 @@ class Codec:
             symbol, of = spread, np.repeat(of, width)
         return symbol.astype(np.int32), np.bincount(of, minlength=len(begins))
 
-    def encode(self, column: pa.Array, doc_ids: np.ndarray, draws: int = DRAWS) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, codes, begins, ends, keys) -> None:
+        """Keep the plain ids and the candidates of segments not seen before."""
+        found: list = []
+        ids, counts = self.encode_segments(codes, begins, ends, keys, found)
+        of = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        candidates = np.concatenate([f[1] for f in found]) if found else np.zeros(0, U64)
+        number = np.bincount(of, minlength=len(begins))
+        spans = [len(self.ids) + np.cumsum(counts) - counts, counts, len(self.candidates) + np.cumsum(number) - number, number]
+        joined = np.concatenate([self.keys, keys])
+        order = np.argsort(joined)
+        self.keys, self.spans = joined[order], np.concatenate([self.spans, np.stack(spans, 1)])[order]
+        self.ids = np.concatenate([self.ids, ids])
+        self.candidates = np.concatenate([self.candidates, candidates[np.argsort(of, kind="stable")]])
+
+    def encode(self, column: pa.Array, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin."""
         codes, begins, _ = self.cutter.symbols(column, literal=LITERAL)
         if not len(codes):
@@ -202,25 +248,31 @@ class Codec:
         before = np.searchsorted(opened, begins)
         number = np.arange(len(opened)) - np.repeat(before[:-1], np.diff(before))
         doc = np.repeat(doc_ids, np.diff(before)).astype(U64)
-        draw = mixed(mixed(doc + self.seed) + number.astype(U64)) % U64(draws)
-        keys = mixed(Rolling(mixed(codes.astype(U64) + U64(1))).runs(opened, ends) + draw)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != unique) if len(self.keys) else np.arange(len(unique))
+        keys = mixed(mixed(doc + self.seed) + number.astype(U64))
+        unique, first, back = np.unique(Rolling(mixed(codes.astype(U64) + U64(1))).runs(opened, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT:
+            self._forget()
+        new = np.flatnonzero(~np.isin(unique, self.keys))
         if len(new):
-            if len(self.keys) > KEPT:
-                self.keys, self.spans, self.ids = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.int32)
-                new = np.arange(len(unique))
-            ids, counts = self.encode_segments(codes, opened[first[new]], ends[first[new]], unique[new])
-            begin = len(self.ids) + np.cumsum(counts) - counts
-            joined = np.concatenate([self.keys, unique[new]])
-            spans = np.concatenate([self.spans, np.stack([begin, counts], 1)])
-            order = np.argsort(joined)
-            self.keys, self.spans, self.ids = joined[order], spans[order], np.concatenate([self.ids, ids])
-            at = np.searchsorted(self.keys, unique)
-        spans = self.spans[at][back]
-        tokens = np.concatenate([[0], np.cumsum(spans[:, 1])])
-        return self.ids[spans_gather(spans[:, 0], spans[:, 1])], tokens[before]
+            self._learn(codes, opened[first[new]], ends[first[new]], unique[new])
+        spans = self.spans[np.searchsorted(self.keys, unique)][back]
+        # Occurrences that skip a candidate of the plain merging are merged by themselves.
+        varied = np.zeros(len(opened), bool)
+        for b, e in spans_slices(spans[:, 3], SLICE):
+            own = spans_gather(spans[b:e, 2], spans[b:e, 3])
+            of = np.repeat(np.arange(b, e), spans[b:e, 3])
+            varied[of[self._skipped(keys[of], self.candidates[own])]] = True
+        varied = np.flatnonzero(varied)
+        source, begin, counts = [self.ids], spans[:, 0].copy(), spans[:, 1].copy()
+        upto = len(self.ids)
+        for b, e in spans_slices((ends - opened)[varied], SLICE):
+            some = varied[b:e]
+            ids, counts[some] = self.encode_segments(codes, opened[some], ends[some], keys[some])
+            begin[some] = upto + np.cumsum(counts[some]) - counts[some]
+            source.append(ids)
+            upto += len(ids)
+        tokens = np.concatenate([[0], np.cumsum(counts)])
+        return np.concatenate(source)[spans_gather(begin, counts)], tokens[before]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts, and where each begins; the mark before each text is left out."""

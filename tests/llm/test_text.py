@@ -93,6 +93,38 @@ def test_dropout_is_keyed_and_varied(documents, model):
     assert list(other.ids) != list(by_doc[2])
 
 
+def test_every_occurrence_has_its_own_decisions(model, monkeypatch):
+    word, n = "internationalization", 4000
+    codec = subwords.Codec(model)
+    ids, at = codec.encode(pa.array([f"{word} " * n] * 2), np.arange(2))
+    ends = np.flatnonzero([codec.bodies[codec.begins[i] : codec.begins[i] + 1].tobytes() == b" " for i in ids.tolist()])
+    ways = {tuple(x.tolist()) for x in np.split(ids, ends)}
+    assert len(ways) > 50  # 8 segmentations of a word and no more, before
+    # Each is what the agenda gives for the key of its document and number.
+    texts, docs = [t or "" for t in odd_texts(4)], np.arange(len(odd_texts(4))) * 7
+    for limit in (subwords.KEPT, 5):
+        monkeypatch.setattr(subwords, "KEPT", limit)
+        for dropout in (0.1, 0.5):
+            codec = subwords.Codec(model, dropout)
+            for _ in range(2):
+                ids, at = codec.encode(pa.array(texts), docs)
+            for t, text in enumerate(texts):
+                codes, begins, _ = codec.cutter.symbols(pa.array([text]), literal=subwords.LITERAL)
+                opened = np.flatnonzero(codec.cutter.opens(codes, begins)) if len(codes) else np.zeros(0, int)
+                own = []
+                for number, (b, e) in enumerate(zip(opened, np.append(opened, len(codes))[1:], strict=True)):
+                    key = common.mixed(common.mixed(np.array([docs[t]], np.uint64) + codec.seed) + np.uint64(number))[0]
+                    at_char = b
+                    for s in codec.agenda(codec.char[codes[b:e]].tolist(), int(key)):
+                        if 0 <= s < codec.size:
+                            own.append(s)
+                            at_char += codec.cutter.width[s]
+                        else:
+                            own += codec.byte[list(chr(0x2581 if codes[at_char] == subwords.LITERAL else codes[at_char]).encode())].tolist()
+                            at_char += 1
+                assert ids[at[t] : at[t + 1]].tolist() == own
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>'
     '<div class="cookie-notice"><p>We use cookies, and this long sentence says so. It is long.</p></div>{}'
