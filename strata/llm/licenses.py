@@ -6,6 +6,10 @@ over tokens: an optional region can be jumped over, a replaceable region loops o
 bounded number of times. A text is accepted where the automaton reads all mandatory words in
 order, exactly, with nothing else between them. Spacing, punctuation and case do not count.
 
+A license's label stands for its whole mandatory wording: grant, all conditions and disclaimer.
+Notices, and the opening sentences of MIT (``mit-text``) and BSD (``bsd-grant``), have labels of
+their own, which say nothing of what follows.
+
 Beside the templates, every place where the words of a base phrase stand consecutively is
 counted. Labels are those of base phrases and of accepted templates; the score is the largest
 share of a template's mandatory words that the text follows from the template's beginning, if
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +34,95 @@ from strata.llm.common import Rolling, lower, released, steps, text_bytes, word_
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+
+
+def _whole(name: str, *regions: tuple[str, str]) -> str:
+    """A published text up to the end of its terms, with ``regions`` put for their patterns."""
+    text = resources.files(__package__).joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
+    end = "END OF TERMS AND CONDITIONS"
+    text = text[: text.index(end)] + end
+    for pattern, region in regions:
+        text, found = re.subn(pattern, region, text, count=1, flags=re.DOTALL)
+        if not found:
+            raise ValueError(f"{name} has no {pattern}")
+    return text
+
+
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
+    " software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+_MIT = (
+    f"{_MIT_GRANT}, including without limitation the rights to use, copy, modify, merge, publish, distribute,"
+    " sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to"
+    " do so, subject to the following conditions: The above copyright notice and this permission notice"
+    " <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of"
+    " the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,"
+    " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+    " NONINFRINGEMENT. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN"
+    " AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE"
+    " OR OTHER DEALINGS IN THE SOFTWARE"
+)
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    " provided that the following conditions are met"
+)
+_BSD_2 = (
+    " <<any 1>> Redistributions of source code must retain the above copyright notice, this list of conditions and"
+    " the following disclaimer. <<any 1>> Redistributions in binary form must reproduce the above copyright notice,"
+    " this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+    " with the distribution."
+)
+_BSD_ADVERTISING = (
+    " <<any 1>> All advertising materials mentioning features or use of this software must display the following"
+    " acknowledgement: This product includes software developed by <<any 20>>"
+)
+_BSD_NAMES = (
+    " <<any 1>> Neither the name of <<any 12>> <<optional>>nor the names of <<any 3>> contributors<<end>> may be used"
+    " to endorse or promote products derived from this software without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY <<any 12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT"
+    " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN"
+    " NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL"
+    " DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR"
+    " PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT"
+    " LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,"
+    " EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+_GPL_NOTICE = (
+    "This <<any 3>> is free software <<any 1>> you can redistribute it and/or modify it under the terms of the GNU"
+    " General Public License as published by the Free Software Foundation <<optional>>either<<end>> version"
+)
+
 #: Labels and templates of the method.
 TEMPLATES = {
     "mit-notice": "<<optional>>This <<any 3>> is<<end>> released under the <<optional>>terms of the<<end>> MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
     " software and associated documentation files <<optional>>(the \"Software\")<<end>>, to deal in"
     " <<optional>>the Software<<end>> <<any 3>> without restriction",
+    "mit-license": _MIT,
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<optional>>(the \"License\")<<end>>",
+    "apache-2.0-license": _whole("apache-2.0", (r"https?://www\.apache\.org/licenses/", "<<optional>><<any 1>> www.apache.org/licenses<<end>>")),
     "gpl-2.0": "<<any 3>> is licensed under the GNU General Public License, <<optional>>as published by the Free"
     " Software Foundation, either<<end>> version 2",
     "gpl-3.0": "<<any 3>> is licensed under the GNU General Public License, <<optional>>as published by the Free"
     " Software Foundation, either<<end>> version 3",
+    "gpl-2.0-notice": f"{_GPL_NOTICE} 2 of the License",
+    "gpl-3.0-notice": f"{_GPL_NOTICE} 3 of the License",
+    "gpl-2.0-license": _whole(
+        "gpl-2.0",
+        (r"Copyright \(C\).*?(?=Everyone is permitted)", "<<optional>>Copyright <<any 30>><<end>> "),
+        (r"GNU Lesser General", "GNU <<any 1>> General"),
+    ),
+    "gpl-3.0-license": _whole("gpl-3.0", (r"Copyright \(C\).*?(?=Everyone is permitted)", "<<optional>>Copyright <<any 30>><<end>> ")),
     "cc-by-4.0": "Licensed under CC BY <<any 0>> 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC <<optional>>Attribution NonCommercial<<end>> 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA <<optional>>Attribution ShareAlike<<end>> 4.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted"
-    " provided that the following conditions are met",
+    "bsd-grant": _BSD_GRANT,
+    "bsd-2-clause": _BSD_GRANT + _BSD_2 + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_GRANT + _BSD_2 + _BSD_NAMES + _BSD_DISCLAIMER,
+    "bsd-4-clause": _BSD_GRANT + _BSD_2 + _BSD_ADVERTISING + _BSD_NAMES + _BSD_DISCLAIMER,
 }
 
 #: Bytes that part words; letters have been lower-cased before.

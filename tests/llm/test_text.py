@@ -3,6 +3,8 @@
 import html
 import math
 import random
+import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +210,37 @@ def test_license_scan(documents):
     assert licenses.license_scan(documents([])).count() == 0
 
 
+def whole_license_texts():
+    folder = resources.files("strata.llm").joinpath("license_texts")
+    texts = {f"{n}-license": folder.joinpath(f"{n}.txt").read_text() for n in ("apache-2.0", "gpl-2.0", "gpl-3.0")}
+    fill = lambda t: re.sub(r"<<any \d+>>", "Somebody", re.sub(r"<<optional>>.*?<<end>>", "", t))
+    return texts | {n: fill(licenses.TEMPLATES[n]) for n in ("mit-license", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause")}
+
+
+def test_license_labels_need_the_whole_wording():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    labels = lambda t: set(scanner.scan(pa.array([t]))[0][5].split(","))
+    wholes = {n for n in licenses.TEMPLATES if n.endswith(("-license", "-clause"))}
+    for label, text in whole_license_texts().items():
+        assert labels(f"Some words before.\n{text.replace(' ', '  ')}\nand after") & wholes == {label}
+        words = text[: text.find("END OF TERMS")].split() if "END OF TERMS" in text else text.split()
+        middle = len(words) * 2 // 3
+        for other in (words[:middle] + words[middle + 1 :], words[:middle] + ["never"] + words[middle:], words[: len(words) // 2]):
+            assert not labels(" ".join(other)) & wholes, label
+    assert "bsd-grant" in labels(licenses.TEMPLATES["bsd-grant"] + " You must be kind.")
+
+
+def test_usual_gpl_notice():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    notice = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    )
+    for version in "23":
+        assert scanner.scan(pa.array([notice.format(version)]))[0][5:] == (f"gpl,gpl-{version}.0-notice", 1.0)
+    assert scanner.scan(pa.array([notice.format("2").replace("redistribute", "sell")]))[0][5] == "gpl"
+
+
 def test_optional_and_replaceable_regions():
     automaton = licenses.Automaton("begin <<optional>>maybe this<<end>> mid <<any 2>> stop")
     accepted = {t: automaton.follow(t.split(), 0) == 1.0 for t in ("begin mid stop", "begin maybe this mid x y stop", "begin maybe mid stop", "begin mid x y z stop", "begin x mid stop")}
