@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, html_text, licenses, lm_scoring, near_dups, quality, substrings, subwords, suffixes, token_counts
+from strata.llm import (
+    centroids,
+    decontaminate,
+    fill_middle,
+    html_text,
+    licenses,
+    lm_scoring,
+    near_dups,
+    quality,
+    substrings,
+    subwords,
+    suffixes,
+    token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lm_scoring.query,
         "op9_quality_rules": quality.query,
         "op10_license_scan": licenses.query,
+        "op11_fill_middle": fill_middle.query,
+        "op13_centroids": centroids.query,
     }
 
 
@@ -30,4 +45,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dups": near_dups.ORACLE,
         "op7_substring_dedup": substrings.ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op11_fill_middle": fill_middle.ORACLE,
+        "op13_centroids": centroids.ORACLE,
     }
