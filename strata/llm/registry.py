@@ -19,6 +19,7 @@ from strata.llm import (
     subwords,
     suffixes,
     token_counts,
+    toxicity,
 )
 
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality.query,
         "op10_license_scan": licenses.query,
         "op11_fill_middle": fill_middle.query,
+        "op12_toxicity": toxicity.query,
         "op13_centroids": centroids.query,
     }
 
