@@ -100,16 +100,36 @@ def task_sizes(
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files that ``df`` reads, from their listing; no file is opened.
+    """Bytes of the files that ``df`` reads, from the listing its scan uses anyway; runs no job.
 
-    Holds for tables with or without partitions and statistics. Folders are listed whole,
-    so it may count files that ``df`` leaves out. None if ``df`` reads no files.
+    Holds for tables with or without partitions and statistics; partitions that a filter rules
+    out do not count. None if ``df`` reads no files.
     """
-    spark = df.sparkSession
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # Spark Connect
+        return _listed_bytes(df)
+    leaves, sizes = plan.queryExecution().optimizedPlan().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        files = relation.location()
+        if files.getClass().getSimpleName() == "CatalogFileIndex":  # it knows no size before it lists its partitions
+            nothing = getattr(getattr(df.sparkSession._jvm.scala.collection.immutable, "Nil$"), "MODULE$")
+            files = files.filterPartitions(nothing)
+        sizes.append(files.sizeInBytes())
+    return sum(sizes) if sizes else _listed_bytes(df)
+
+
+def _listed_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` names, by a job that lists their folders."""
     folders = sorted({file.rpartition("/")[0] for file in df.inputFiles()})
     if not folders:
         return None
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    listed = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
     return listed.agg({"length": "sum"}).first()[0] or 0
 
 

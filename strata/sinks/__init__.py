@@ -1,11 +1,13 @@
 """Writing layer tables."""
 
+from strata.sinks.batches import BATCH, append_batch, commit, committed
 from strata.sinks.writers import (
     Layout,
     SchemaConflict,
     added_columns,
     append_evolving,
     append_evolving_path,
+    evolve,
     layout_of,
     merged_schema,
     refresh,
@@ -13,11 +15,16 @@ from strata.sinks.writers import (
 )
 
 __all__ = [
+    "BATCH",
     "Layout",
     "SchemaConflict",
     "added_columns",
+    "append_batch",
     "append_evolving",
     "append_evolving_path",
+    "commit",
+    "committed",
+    "evolve",
     "layout_of",
     "merged_schema",
     "refresh",

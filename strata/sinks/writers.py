@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sinks import versions
 from strata.sources import read_evolved
 
 
@@ -39,9 +39,10 @@ class Layout:
 
 
 def layout_of(spark: SparkSession, table: str) -> Layout:
-    """The layout of a catalog table; none if the table does not exist."""
+    """The layout of a catalog table or of a published version; none if the table does not exist."""
     if not spark.catalog.tableExists(table):
         return Layout()
+    table = versions.current(spark, table) or table
     columns = spark.catalog.listColumns(table)
     bucketed = tuple(c.name for c in columns if c.isBucket)
     buckets = 0
@@ -74,6 +75,15 @@ def _typed(kind: T.DataType) -> T.DataType | None:
     return kind
 
 
+def _untyped(kind: T.DataType) -> bool:
+    """Whether a part of ``kind`` has no type."""
+    if isinstance(kind, T.StructType):
+        return any(_untyped(f.dataType) for f in kind)
+    if isinstance(kind, T.MapType):
+        return _untyped(kind.keyType) or _untyped(kind.valueType)
+    return _untyped(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.NullType)
+
+
 def merged_type(stored: T.DataType, batch: T.DataType, fold: Callable[[str], str], path: str) -> T.DataType:
     """The type that holds both: structs gain fields, at any depth; all else has to be equal.
 
@@ -135,7 +145,7 @@ def added_columns(
 
 def _conformed(value: Column, have: T.DataType, want: T.DataType, fold: Callable[[str], str]) -> Column:
     """``value`` as the type ``want``, which ``merged_type`` made; missing fields are null."""
-    if _typed(have) == want:
+    if _typed(have) == want and not _untyped(have):
         return value
     if isinstance(have, T.NullType):
         return F.lit(None).cast(want)
@@ -179,9 +189,10 @@ def append_evolving(df: DataFrame, table: str, format: str = "parquet", layout:
     Rows already stored read null in an added column, and the batch null in a column it
     lacks. Columns without a type are left out until they have one. The merged schema
     lives in the catalog, so neither appends nor reads have to look at the stored files.
-    A new column is a change of the catalog only; a struct that gains a field makes Spark's
-    own formats rewrite the table, which is swapped in by name. ``layout`` holds for a table
-    that is created. Delta tables merge by themselves.
+    New columns and new fields of structs are one change of the catalog before the rows are
+    written: stored files stay as they are, and readers find null for what a file lacks. If
+    the job dies in between, the wider table still holds its old rows, and a retry appends.
+    ``layout`` holds for a table that is created. Delta tables merge by themselves.
     """
     layout = layout or Layout()
     if format == "delta":
@@ -193,23 +204,36 @@ def append_evolving(df: DataFrame, table: str, format: str = "parquet", layout:
     if not spark.catalog.tableExists(table):
         layout.apply(df.write.format(format)).saveAsTable(table)
         return
-    stored = spark.read.table(table).schema
-    merged = merged_schema(stored, df.schema, fold)
+    evolve(spark, table, df.schema)
+    # Partition columns come last whatever was added, so the order is the table's.
+    _aligned(df, spark.read.table(table).schema, fold).write.insertInto(table)
+
+
+def evolve(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    """Add to ``table`` the columns, and the fields of structs, that ``schema`` has beyond it."""
+    stored, fold = spark.read.table(table).schema, _folder(spark)
+    merged = merged_schema(stored, schema, fold)
     if T.StructType(list(merged)[: len(stored)]) != _typed(stored):
-        _widen(spark, table, merged, format, fold)
+        partitions = {fold(c) for c in layout_of(spark, table).partition_by}
+        _set_columns(spark, table, T.StructType([f for f in merged if fold(f.name) not in partitions]))
     elif added := list(merged)[len(stored) :]:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
-    # Partition columns come last whatever was added, so the order is the table's.
-    _aligned(df, spark.read.table(table).schema, fold).write.insertInto(table)
 
 
-def _widen(spark: SparkSession, table: str, schema: T.StructType, format: str, fold: Callable[[str], str]) -> None:
-    """Rewrite ``table`` with a schema whose structs hold more fields."""
-    wide, layout = f"{table}_wide_{uuid.uuid4().hex[:8]}", layout_of(spark, table)
-    layout.apply(_aligned(spark.read.table(table), schema, fold).write.format(format)).saveAsTable(wide)
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"ALTER TABLE {wide} RENAME TO {'.'.join(table.split('.')[-2:])}")
+def _set_columns(spark: SparkSession, table: str, columns: T.StructType) -> None:
+    """Give a table wider columns in one catalog call; its files, comment and properties stay.
+
+    SQL can add columns to Spark's own tables, but no fields to a column. The call that serves
+    ADD COLUMNS can, and it refuses to lose a column.
+    """
+    session = getattr(spark, "_jsparkSession", None)
+    if session is None:
+        raise SchemaConflict(f"{table}: a struct gains a field, which needs a session with access to its catalog")
+    state = session.sessionState()
+    name = state.sqlParser().parseTableIdentifier(".".join(table.split(".")[-2:]))
+    state.catalog().alterTableDataSchema(name, spark._jvm.org.apache.spark.sql.types.DataType.fromJson(columns.json()))
+    spark.catalog.refreshTable(table)
 
 
 def append_evolving_path(
@@ -240,19 +264,25 @@ def append_evolving_path(
 def refresh(df: DataFrame, table: str, format: str = "parquet", layout: Layout | None = None) -> None:
     """Replace rows and schema of ``table``; its layout stays unless another is given.
 
-    Spark refuses to overwrite a table that ``df`` reads, so each layer is built
-    from another table. A Parquet table is missing while it is rewritten; a job
-    that dies there is simply run again. Delta swaps it in one step.
+    The rows are stored as a new version, then the view ``table`` is pointed at it (see
+    :mod:`strata.sinks.versions`): readers see the old rows until then, a failed refresh
+    leaves them, and ``df`` may read the table it replaces. A plain table of that name becomes
+    the first version. Delta swaps rows by itself.
     """
-    writer = df.write.format(format).mode("overwrite")
+    writer = df.write.format(format)
     if format == "delta":
-        (layout or Layout()).apply(writer.option("overwriteSchema", "true")).saveAsTable(table)
+        (layout or Layout()).apply(writer.mode("overwrite").option("overwriteSchema", "true")).saveAsTable(table)
         return
-    layout = layout_of(df.sparkSession, table) if layout is None else layout
-    fold = _folder(df.sparkSession)
+    spark = df.sparkSession
+    versions.recover(spark, table)
+    layout = layout_of(spark, table) if layout is None else layout
+    fold = _folder(spark)
     if not {*map(fold, df.columns)} >= {*map(fold, (*layout.partition_by, *layout.bucket_by))}:
         raise SchemaConflict(f"{table} is divided by a column that its new rows lack")
-    layout.apply(writer).saveAsTable(table)
+    version = versions.next_version(spark, table)
+    layout.apply(writer).saveAsTable(version)
+    versions.adopt(spark, table)
+    versions.publish(spark, table, version)
 
 
 def refresh_path(df: DataFrame, path: str, format: str = "parquet") -> None:

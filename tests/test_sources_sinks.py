@@ -154,11 +154,10 @@ def test_refresh_replaces_rows_and_schema(spark, table, path, kind):
     assert rows(read(target)) == [("x", 7)]
 
 
-def test_refresh_refuses_to_overwrite_its_own_input(spark, table):
+def test_refresh_may_read_the_table_it_replaces(spark, table):
     refresh(frame(spark, [(1,)], "id int"), table)
-    with pytest.raises(AnalysisException, match="(?i)overwrite"):
-        refresh(spark.read.table(table).withColumn("more", F.lit(1)), table)
-    assert rows(spark.read.table(table)) == [(1,)]
+    refresh(spark.read.table(table).withColumn("more", F.lit(1)), table)
+    assert rows(spark.read.table(table)) == [(1, 1)]
 
 
 def test_other_formats_can_be_stored(spark, table):
