@@ -10,9 +10,10 @@ from strata.operators.clean import (
     project,
     with_elapsed,
 )
-from strata.operators.summary import daily_summary
+from strata.operators.summary import daily_parts, daily_summary, merged_days
 
 __all__ = [
+    "daily_parts",
     "daily_summary",
     "dedupe",
     "drop_incomplete",
@@ -20,6 +21,7 @@ __all__ = [
     "keep_after",
     "keep_between",
     "keep_positive",
+    "merged_days",
     "project",
     "with_elapsed",
 ]

@@ -1,5 +1,11 @@
 """The layered build: DataFrame jobs, SQL models, and the gated run."""
 
+from strata.plans.increments import (
+    run_bronze_batch,
+    run_gold_increment,
+    run_increment,
+    run_silver_increment,
+)
 from strata.plans.jobs import (
     aggregate,
     clean,
@@ -25,9 +31,13 @@ __all__ = [
     "daily_model",
     "run_all",
     "run_bronze",
+    "run_bronze_batch",
     "run_gated",
     "run_gold",
+    "run_gold_increment",
     "run_gold_model",
+    "run_increment",
     "run_silver",
+    "run_silver_increment",
     "run_silver_model",
 ]

@@ -180,20 +180,23 @@ def model_tests(document: Mapping) -> dict[str, list[R.Rule]]:
 def schema_problems(df: DataFrame, contract: Contract) -> list[str]:
     """Declared columns that ``df`` lacks or types differently. Runs no job.
 
-    Nullability is not compared here: Spark marks most computed columns nullable
+    Names are compared as the session compares them. Nullability is not compared here: Spark marks most computed columns nullable
     whatever they hold, so it is a rule on the data.
     """
-    actual = {f.name: f.dataType for f in df.schema}
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    fold = str if sensitive else str.lower
+    actual = {fold(f.name): f.dataType for f in df.schema}
     problems = []
     for f in contract.fields:
-        if f.name not in actual:
+        kind = actual.get(fold(f.name))
+        if kind is None:
             problems.append(f"{f.name}: missing")
             continue
         allowed = {TYPES[f.type]}
         if f.type == "timestamp":
             allowed.add(T.TimestampNTZType())
-        if actual[f.name] not in allowed:
-            problems.append(f"{f.name}: {actual[f.name].simpleString()}, declared {f.type}")
+        if kind not in allowed:
+            problems.append(f"{f.name}: {kind.simpleString()}, declared {f.type}")
     return problems
 
 

@@ -47,18 +47,27 @@ class Rule:
         return self.surplus is not None
 
 
+def _field(schema: T.StructType, name: str) -> T.StructField | None:
+    """The field of that name: spelled alike, or else but for the case.
+
+    Names that differ in case only stand side by side only where the session tells them apart,
+    and there the spelling decides.
+    """
+    alike = [f for f in schema if f.name == name] or [f for f in schema if f.name.lower() == name.lower()]
+    return alike[0] if alike else None
+
+
 def _column(schema: T.StructType, name: str) -> Column:
     """The column or, if there is none of that name, the field of a struct it stands for."""
-    if name.lower() in (f.lower() for f in schema.names):
+    if _field(schema, name) is not None:
         return F.col("`" + name.replace("`", "``") + "`")
     return F.col(name)
 
 
 def _type_of(schema: T.StructType, name: str) -> T.DataType | None:
-    """The type Spark would find for ``name``, whatever its case; None if it is not plain."""
-    for field in schema:
-        if field.name.lower() == name.lower():
-            return field.dataType
+    """The type of the column that Spark would find for ``name``; None if it is not plain."""
+    if (field := _field(schema, name)) is not None:
+        return field.dataType
     head, _, rest = name.partition(".")
     inner = _type_of(schema, head) if rest else None
     return _type_of(inner, rest) if isinstance(inner, T.StructType) else None

@@ -304,6 +304,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, user_id AS second_id, user_id AS who_user,
                 CASE WHEN batch > 2 THEN value END AS who_worth, CASE WHEN batch > 2 THEN event_type END AS note
             FROM events, range(1, 5) AS t(batch)""",
+        "bronze_widen_retried": """
+            SELECT event_id, user_id AS who_user, CASE WHEN batch = 2 THEN value END AS who_worth,
+                CASE WHEN batch = 2 THEN event_type END AS event_type
+            FROM events, range(1, 3) AS t(batch)""",
+        "bronze_batch_retried": """
+            SELECT event_id, user_id, event_type, CASE WHEN batch = 'second' THEN value END AS value, batch AS ingest_batch
+            FROM events, (VALUES ('first'), ('second')) AS t(batch)""",
         "silver_refresh": silver + " SELECT * FROM silver",
         "drop_incomplete": _with(_NAN_TRIPS)
         + f""" SELECT * FROM nan_trips
@@ -352,6 +359,8 @@ def oracle_sql() -> dict[str, str]:
         "daily_summary": daily,
         "daily_summary_sql": sql_daily,
         "rerun_idempotent": silver + " SELECT * FROM silver",
+        "silver_incremental": silver + " SELECT * FROM silver",
+        "gold_incremental": daily,
         "layered_gold": daily,
         "layered_gold_sql": sql_daily,
         "gated_gold": sql_daily,

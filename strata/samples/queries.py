@@ -29,9 +29,13 @@ from strata.plans import (
     daily_model,
     run_all,
     run_bronze,
+    increments,
+    run_bronze_batch,
     run_gated,
+    run_gold_increment,
     run_gold_model,
     run_silver,
+    run_silver_increment,
     run_silver_model,
     taxi,
 )
@@ -56,7 +60,7 @@ from strata.quality import (
 )
 from strata.samples.trips import read, trips
 from strata.session import configure, scratch_path
-from strata.sinks import Layout, append_evolving, append_evolving_path, refresh_path
+from strata.sinks import BATCH, Layout, append_batch, append_evolving, append_evolving_path, evolve, refresh_path
 from strata.sources import read_evolved, read_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +176,33 @@ def bronze_nested_evolved(spark, sf_dir):
     )
 
 
+def bronze_widen_retried(spark, sf_dir):
+    """A batch whose struct has a new field dies after the table was widened, and is tried again."""
+    events = read(spark, sf_dir, "events")
+    small = F.struct(F.col("user_id").alias("user"))
+    wide = F.struct(F.col("user_id").alias("user"), F.col("value").alias("worth"))
+    workspace = _workspace(spark)
+    table = workspace.table("test", "bronze", "events")
+    append_evolving(events.select("event_id", small.alias("who")), table)
+    second = events.select("event_id", wide.alias("who"), "event_type")
+    evolve(spark, table, second.schema)
+    append_evolving(second, table)
+    found = _result(spark, workspace, table)
+    return found.select("event_id", F.col("who.user").alias("who_user"), F.col("who.worth").alias("who_worth"), "event_type")
+
+
+def bronze_batch_retried(spark, sf_dir):
+    """Two batches; the first is sent again when it is stored, the second after it died unrecorded."""
+    events = read(spark, sf_dir, "events")
+    workspace = _workspace(spark)
+    table = workspace.table("test", "bronze", "events")
+    append_batch(events.drop("value"), table, "first")
+    append_batch(events.drop("value"), table, "first")
+    append_batch(events.filter("event_id % 2 = 0"), table, "second", done=False)
+    append_batch(events, table, "second")
+    return _result(spark, workspace, table).select("event_id", "user_id", "event_type", "value", BATCH)
+
+
 def silver_refresh(spark, sf_dir):
     raw = trips(spark, sf_dir)
     path = scratch_path(spark, "silver")
@@ -310,6 +341,29 @@ def rerun_idempotent(spark, sf_dir):
     return _result(spark, workspace, run_silver(spark, "test", workspace))
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, workspace: Workspace, nan: bool) -> None:
+    """Trips sent in three batches, each row in two of them, and silver after each; one is sent twice."""
+    raw = trips(spark, sf_dir, nan)
+    part = F.pmod(F.hash(taxi.PICKUP, "total_amount", taxi.PASSENGERS), F.lit(3))
+    for i in range(3):
+        run_bronze_batch(spark, "test", raw.filter(part != i), f"batch-{i}", workspace)
+        run_silver_increment(spark, "test", workspace)
+    run_bronze_batch(spark, "test", raw, "batch-1", workspace)
+    run_silver_increment(spark, "test", workspace)
+
+
+def silver_incremental(spark, sf_dir):
+    workspace = _workspace(spark)
+    _in_batches(spark, sf_dir, workspace, nan=False)
+    return _result(spark, workspace, workspace.table("test", "silver", increments.SILVER)).drop(BATCH, taxi.DAY)
+
+
+def gold_incremental(spark, sf_dir):
+    workspace = _workspace(spark)
+    _in_batches(spark, sf_dir, workspace, nan=True)
+    return _result(spark, workspace, run_gold_increment(spark, "test", workspace))
+
+
 def layered_gold(spark, sf_dir):
     raw, workspace = trips(spark, sf_dir, nan=True), _workspace(spark)
     return _result(spark, workspace, run_all(spark, "test", raw, workspace, exact=True))
@@ -499,6 +553,8 @@ _QUERIES = (
     bronze_table_evolved,
     bronze_partitioned_evolved,
     bronze_nested_evolved,
+    bronze_widen_retried,
+    bronze_batch_retried,
     silver_refresh,
     drop_incomplete_rows,
     drop_null_sql,
@@ -520,6 +576,8 @@ _QUERIES = (
     daily_summary_plain,
     daily_summary_plain_sql,
     rerun_idempotent,
+    silver_incremental,
+    gold_incremental,
     layered_gold,
     layered_gold_sql,
     gated_gold,

@@ -72,16 +72,20 @@ def recover(spark: SparkSession, table: str) -> None:
         spark.sql(f"CREATE VIEW {table} AS SELECT * FROM {found[max(found)][0]}")
 
 
-def adopt(spark: SparkSession, table: str) -> None:
-    """Turn a plain table into the first version of a published one.
+def adopt(spark: SparkSession, table: str) -> bool:
+    """Turn a plain table into the first version of a published one; False if it has partitions.
 
     Its name is absent between two catalog calls, once in its life; ``recover``, which every
-    refresh begins with, mends a loss of the driver in between.
+    refresh begins with, mends a loss of the driver in between. Partitions stay behind in some
+    catalogs when their table is renamed, so such a table is left as it is.
     """
-    if spark.catalog.tableExists(table) and not is_view(spark, table):
+    if spark.catalog.tableExists(table) and current(spark, table) is None:
+        if any(column.isPartition for column in spark.catalog.listColumns(table)):
+            return False
         version = next_version(spark, table)
         spark.sql(f"ALTER TABLE {table} RENAME TO {'.'.join(version.split('.')[-2:])}")
         recover(spark, table)
+    return True
 
 
 def publish(spark: SparkSession, table: str, version: str, kept: int = KEPT) -> None:

@@ -267,7 +267,8 @@ def refresh(df: DataFrame, table: str, format: str = "parquet", layout: Layout |
     The rows are stored as a new version, then the view ``table`` is pointed at it (see
     :mod:`strata.sinks.versions`): readers see the old rows until then, a failed refresh
     leaves them, and ``df`` may read the table it replaces. A plain table of that name becomes
-    the first version. Delta swaps rows by itself.
+    the first version; one divided into partitions is overwritten in place, as not every catalog
+    can rename it, and is absent meanwhile. Delta swaps rows by itself.
     """
     writer = df.write.format(format)
     if format == "delta":
@@ -279,9 +280,11 @@ def refresh(df: DataFrame, table: str, format: str = "parquet", layout: Layout |
     fold = _folder(spark)
     if not {*map(fold, df.columns)} >= {*map(fold, (*layout.partition_by, *layout.bucket_by))}:
         raise SchemaConflict(f"{table} is divided by a column that its new rows lack")
+    if not versions.adopt(spark, table):
+        layout.apply(writer.mode("overwrite")).saveAsTable(table)
+        return
     version = versions.next_version(spark, table)
     layout.apply(writer).saveAsTable(version)
-    versions.adopt(spark, table)
     versions.publish(spark, table, version)
 
 

@@ -200,3 +200,13 @@ def test_rules_with_wrong_arguments_are_refused_when_parsed(rule):
     document = {"metadata": {"name": "n"}, "schema": [{"name": "a", "type": "long"}], "quality": [rule]}
     with pytest.raises(ValueError, match=rule["rule"]):
         Contract.parse(document)
+
+
+def test_declared_names_are_compared_as_the_session_does(spark):
+    declared = Contract.parse({"metadata": {"name": "t"}, "schema": [{"name": "Fare", "type": "double"}]})
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    assert schema_problems(spark.sql("SELECT 1D AS fare"), declared) == []
+    assert schema_problems(own.sql("SELECT 1D AS fare"), declared) == ["Fare: missing"]
+    assert schema_problems(own.sql("SELECT 1D AS Fare, 'x' AS fare"), declared) == []
+    assert schema_problems(spark.sql("SELECT 'x' AS FARE"), declared) == ["Fare: string, declared double"]

@@ -224,3 +224,14 @@ def test_row_rules_ride_on_a_single_key(spark, tmp_path):
     }
     both = Q.evaluate(df.withColumnRenamed("at", "k_at"), rules)
     assert plan(both).count("FileScan") == 2  # the newest time is not in the key
+
+
+@pytest.mark.parametrize("name", ["ID", "s.X"])
+def test_nan_is_found_under_names_that_differ_in_case(spark, name):
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    df = own.sql("SELECT 1 AS id, double('NaN') AS ID, named_struct('x', 1, 'X', double('NaN')) AS s")
+    for rule in (Q.value_above(name, 0), Q.value_above_or_equal(name, 0), Q.value_between(name, 0, 5)):
+        assert [r.failing_rows for r in Q.evaluate(df, [rule]).collect()] == [1]
+    plain = spark.sql("SELECT double('NaN') AS Fare")
+    assert Q.evaluate(plain, [Q.value_above("fare", 0)]).first().failing_rows == 1
