@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from importlib import resources
 
 import numpy as np
@@ -266,25 +267,75 @@ def test_leaks_are_found_and_clean_documents_left(documents, spark):
     assert decontaminate.leaks(documents(rows), benchmark.filter("false")).count() == 0
 
 
-def test_pruning_retrieves_all_above_threshold(monkeypatch):
-    rng = random.Random(7)
-    items = [" ".join(f"w{rng.randrange(80)}" for _ in range(rng.randrange(3, 20))) for _ in range(40)]
-    texts = [" ".join(f"w{rng.randrange(120)}" for _ in range(rng.randrange(100))) for _ in range(50)]
-    codes, counts = decontaminate._codes(pa.array(items))
-    owner = np.repeat(np.arange(len(items)), np.diff(counts))
-    terms = np.unique(codes)
-    often = np.array([len(set(owner[codes == t])) for t in terms])
-    index = decontaminate.Index(list(range(40)), items, (terms, often, 40, len(codes) / 40))
-    monkeypatch.setattr(decontaminate, "OVERLAP", 0.0)
-    got = {(int(t), int(index.ids[i]), round(s, 2)) for t, i, s, _, _ in index.search(pa.array(texts))}
-    expected = set()
+def plain_items(items, texts):
+    """(text, item, score) of every passage and item at its threshold, by scoring all of them."""
+    words = [re.findall("[^ ]+", x) for x in items]
+    often = Counter(w for own in words for w in set(own))
+    mean = sum(map(len, words)) / len(words)
+
+    def weights(own):
+        return {
+            w: math.log1p((len(words) - often[w] + 0.5) / (often[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+            for w, tf in Counter(own).items()
+        }
+
+    found = set()
     for t, text in enumerate(texts):
-        words, _ = decontaminate._codes(pa.array([text]))
-        for b in range(0, max(len(words), 1), index.longest):
-            rows = np.flatnonzero(np.isin(index.terms, words[b : b + 2 * index.longest]))
-            scores = index.weights[rows].sum(0)
-            expected |= {(t, int(index.ids[i]), round(float(scores[i]), 2)) for i in np.flatnonzero(scores[:40] >= index.least[:40])}
-    assert expected and got == expected
+        own = text.split()
+        for i, item in enumerate(words):
+            half, weight = 1 << math.ceil(math.log2(len(item))), weights(item)
+            for begin in range(0, max(len(own) - half, 1), half):
+                score = sum(weight.get(w, 0) for w in set(own[begin : begin + 2 * half]))
+                if own and score >= 0.5 * sum(weight.values()) - 1e-9:
+                    found.add((t, i, round(score, 4)))
+    return found
+
+
+def index_of(spark, items, shard_words=decontaminate.SHARD_WORDS):
+    benchmark = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string")
+    tables = decontaminate.index_tables(decontaminate.items_of(benchmark, shard_words))
+    shards = [r.shard for r in tables[0].select("shard").distinct().collect()]
+    return [x for s in shards for x in decontaminate.indexes(*(t.filter(f"shard = {s}").toArrow() for t in tables))]
+
+
+@pytest.mark.parametrize("pairs", [1 << 19, 50])
+def test_wand_retrieves_all_above_threshold_and_skips_the_rest(spark, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = random.Random(7)
+    word = lambda: f"w{min(rng.randrange(400), rng.randrange(400))}"
+    items = [" ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    texts = [" ".join(word() for _ in range(rng.randrange(150))) for _ in range(60)] + [items[3], "x " + items[5] + " y", ""]
+    codes, counts = decontaminate._codes(pa.array(texts))
+    found, met, opened, passages = set(), 0, 0, 0
+    for index in index_of(spark, items, 300):
+        (passage, item, score), (begin, _, text) = index.retrieved(codes, counts)
+        found |= {(int(text[p]), int(index.ids[k]), round(float(s), 4)) for p, k, s in zip(passage, item, score, strict=True)}
+        met, opened, passages = met + index.met, opened + index.opened, passages + len(begin) * index.blocks
+    assert found == plain_items(items, texts)
+    assert opened < met < passages
+
+
+def test_an_item_is_found_alike_beside_any_others(documents, spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    short = [word() for _ in range(24)]
+    apart = " ".join([*short[:18], *(word() for _ in range(200)), *short[18:]])
+    whole = " ".join([word() for _ in range(777)] + short + [word() for _ in range(50)])
+    rows = [(1, apart), (2, whole), (3, " ".join(short))]
+    items = [(1, " ".join(short)), *((i, " ".join(word() for _ in range(i % 400 + 1))) for i in range(2, 300))]
+    for own in (items[:1], items):
+        for shard_words in (500, 1 << 20):
+            got = decontaminate.leaks(documents(rows), spark.createDataFrame(own, "item_id long, text string"), shard_words)
+            assert {(r.doc_id, r.item_id) for r in got.collect()} == {(2, 1), (3, 1)}
+
+
+def test_leaks_of_repeated_rows_and_very_long_texts(documents, spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    filler = "some other words " * 100_000
+    rows = [(1, filler + item + " " + filler), (2, "none"), (2, item), (2, item), (5, item[:-30])]
+    benchmark = spark.createDataFrame([(7, item), (7, item), (8, item), (7, "another text of the same id")], "item_id long, text string")
+    got = decontaminate.leaks(documents(rows), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (1, 8), (2, 7), (2, 8)]
 
 
 def test_attention_gradient_and_scores():
