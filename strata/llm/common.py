@@ -186,6 +186,23 @@ def text_key(text: str | Column = "text") -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(2**15))
 
 
+def own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``own_id`` that tells every document apart, and each of them once.
+
+    It is the doc_id where no other row has it. Rows that share a doc_id, or have none, get an id
+    from the hash of doc_id and text, above 2**62 and so after most others; repeated rows of one
+    doc_id and text are one document.
+    """
+    key = F.col("doc_id").cast("long")
+    shared = docs.groupBy(key.alias("shared_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or shared_id is null").drop("n")
+    if shared.isEmpty():
+        return docs.withColumn("own_id", key)
+    marked = docs.join(shared, key.eqNullSafe(F.col("shared_id")), "left_semi")
+    spread = F.xxhash64(key, F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    alone = docs.join(shared, key.eqNullSafe(F.col("shared_id")), "left_anti").withColumn("own_id", key)
+    return alone.unionByName(marked.withColumn("own_id", spread).dropDuplicates(["own_id"]))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

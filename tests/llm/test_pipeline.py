@@ -7,7 +7,7 @@ import __spark_entry__ as spark_entry
 import corpus_pipeline
 from strata.llm import quality, registry
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def test_query_matches_oracle(spark, sf_dir, duck, name):
 
 def test_all_operators_are_registered():
     names = set(spark_entry.queries())
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)}
     assert names >= set(registry.queries()) | {"pipeline"}
 
 
@@ -88,3 +88,48 @@ def test_pipeline_runs_all_stages(spark, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "repeated strings", "benchmark leaks", "token ids"]
     result = corpus_pipeline.run(spark, sf_dir)
     assert result.filter("not round_trip or n_tokens <> size(ids)").isEmpty() and result.count() > 500
+
+
+LONG = " ".join(f"word{i}" for i in range(120))
+NEAR = LONG.replace("word60 ", "other ")
+LONE = " ".join(f"lone{i}" for i in range(120))
+
+
+def kept_by(stage, spark, documents, rows, tmp_path, items=((1, "no such words in any of these texts at all here"),)):
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(rows).selectExpr("*", "1 as own_id", "2 as kept").selectExpr("doc_id", "text", "lang", "source", "n_chars")
+    got = stage(spark, docs, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+
+
+def test_near_copies_go_by_row_where_ids_are_shared_or_missing(spark, documents, tmp_path):
+    rows = [(1, LONG), (2, NEAR), (2, LONE), (None, NEAR), (None, LONE + " more"), (None, "short text"), (3, None), (3, ""), (2, LONE), (4, "own")]
+    got = kept_by(corpus_pipeline.near_duplicates, spark, documents, rows, tmp_path)
+    lone = [r for r in got if r[1] and r[1].startswith("lone0")]
+    assert len(lone) == 1 and lone[0][1] in (LONE, LONE + " more")  # near copies of each other, both without an id of their own
+    assert [r for r in got if r not in lone] == sorted([(1, LONG), (None, "short text"), (3, None), (4, "own")], key=repr) or [
+        r for r in got if r not in lone
+    ] == sorted([(1, LONG), (None, "short text"), (3, ""), (4, "own")], key=repr)
+
+
+def test_leaks_go_by_row_where_ids_are_shared_or_missing(spark, documents, tmp_path):
+    item = " ".join(f"ask{i}" for i in range(40))
+    rows = [(1, LONG), (1, f"{LONE} {item}"), (None, f"x {item}"), (None, LONE), (2, item), (3, None), (4, "")]
+    got = kept_by(corpus_pipeline.benchmark_leaks, spark, documents, rows, tmp_path, [(None, item), (5, None)])
+    assert got == sorted([(1, LONG), (None, LONE), (3, None), (4, "")], key=repr)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:4]], ids=[n for n, _ in corpus_pipeline.STAGES[:4]])
+def test_stages_of_empty_tables(spark, documents, tmp_path, stage):
+    assert kept_by(stage, spark, documents, [], tmp_path, items=[(None, None)]) == []
+
+
+def test_stages_keep_documents_without_ids(spark, documents, tmp_path):
+    rows = [(None, LONG), (7, LONE), (7, "another " * 3 + LONE[::-1])]
+    docs = documents(rows)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        assert len(kept_by(stage, spark, documents, rows, folder)) == 3, name
+    assert corpus_pipeline.token_ids(spark, docs, str(tmp_path)).count() == 3
