@@ -1,13 +1,16 @@
 """A corpus pipeline: each stage works on all that the one before it kept.
 
-Every stage returns the columns of ``documents`` but the last, which returns token ids. Rows
-without a doc_id stay in every stage that names documents by it.
+Every stage returns the columns of ``documents`` but the last, which returns token ids. Decisions
+are about single rows: rows that share a doc_id, or have none, are documents of their own, and
+only repeated rows with the same doc_id and text are one.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strata.llm import decontaminate, near_dups, quality, subwords, suffixes
-from strata.llm.common import read
+from strata.llm.common import own_ids, read
 from strata.session import discard, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,10 +23,15 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    dropped = near_dups.near_classes(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates stays, that with the smallest doc_id.
+
+    Documents whose id is not theirs alone come after the others.
+    """
+    named = own_ids(docs.select(*COLUMNS))
+    classes = near_dups.near_classes(named.select(F.col("own_id").alias("doc_id"), "text"))
+    dropped = classes.filter("not kept").select(F.col("doc_id").alias("own_id"))
     # What is dropped grows with the corpus, so it is not broadcast at any size.
-    return docs.select(*COLUMNS).join(dropped.hint("merge"), "doc_id", "left_anti")
+    return named.join(dropped.hint("merge"), "own_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_strings(spark, docs, sf_dir):
@@ -32,9 +40,12 @@ def repeated_strings(spark, docs, sf_dir):
 
 
 def benchmark_leaks(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found.hint("merge"), "doc_id", "left_anti")
+    """Documents that hold a benchmark item go, whether or not the item has an id."""
+    named = own_ids(docs.select(*COLUMNS))
+    items = read(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")
+    found = decontaminate.leaks(named.select(F.col("own_id").alias("doc_id"), "text"), items)
+    leaked = found.select(F.col("doc_id").alias("own_id")).distinct()
+    return named.join(leaked.hint("merge"), "own_id", "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark, docs, sf_dir):
