@@ -2,7 +2,7 @@
 
 One head attends from each position to the inputs before it, in overlapping windows: a block
 of ``STRIDE`` positions sees itself and the ``STRIDE`` inputs before it, so every token is
-scored once. Embeddings are principal components of the tokens' counted predecessors. The
+scored once. Blocks begin with their text, so a score depends on the text and the model alone. Embeddings are principal components of the tokens' counted predecessors. The
 output shifts the logits of the next token's class; the counted probabilities of classes and
 of tokens within a class, given the input, complete a proper distribution over all ids.
 """
@@ -25,38 +25,40 @@ BACKOFF = 50.0
 class Tables:
     """What is counted: bounded by the vocabulary and the number of input rows, not by the corpus."""
 
-    def __init__(self, counts: np.ndarray, unigrams: np.ndarray, row_of: np.ndarray):
-        rows, size = counts.shape
-        self.row_of = row_of
-        base = (unigrams + 1.0) / (unigrams.sum() + size)
-        gram = np.zeros((rows, rows), np.float32)
-        for b in range(0, size, 2048):
-            part = np.log1p(counts[:, b : b + 2048]).astype(np.float32)
-            gram += part @ part.T
-        basis = np.linalg.eigh(gram.astype(np.float64))[1][:, -WIDTH:].astype(np.float32)
-        vectors = np.concatenate([np.log1p(counts[:, b : b + 2048]).astype(np.float32).T @ basis for b in range(0, size, 2048)])
+    def __init__(self, counts: list[bytes], unigrams: np.ndarray, row_of: np.ndarray):
+        """``counts`` holds each row's counts as compressed 64-bit integers."""
+        size = len(unigrams)
+        self.row_of, self.counts = row_of, counts
+        self.base = base = (unigrams + 1.0) / (unigrams.sum() + size)
+        logs = np.stack([np.log1p(self.row(r)).astype(np.float32) for r in range(len(counts))])
+        basis = np.linalg.eigh((logs @ logs.T).astype(np.float64))[1][:, -WIDTH:].astype(np.float32)
+        vectors = logs.T @ basis
+        del logs
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-3
         self.vectors = vectors.astype(np.float32)
         self.classes = _clusters(self.vectors, unigrams)
-        self.base = base
         self.mass = np.bincount(self.classes, base, CLASSES)
-        self.prior = np.log(np.maximum(1e-30, self._by_class(counts) / (counts.sum(1, dtype=np.float64) + BACKOFF)[:, None])).astype(np.float32)
-        # Most counts are 0, so they travel compressed; a worker process opens them once.
-        self.shape, self.packed = counts.shape, [zstandard.compress(own.astype(np.uint32).tobytes()) for own in counts]
+        rows = map(self.row, range(len(counts)))
+        self.prior = np.stack([np.log(np.maximum(1e-30, self._by_class(own) / (own.sum(dtype=np.float64) + BACKOFF))) for own in rows]).astype(np.float32)
         self.name = uuid.uuid4().hex
 
-    def _by_class(self, counts: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.classes, own, CLASSES) for own in counts]) + BACKOFF * self.mass
+    def row(self, r: int) -> np.ndarray:
+        """What follows the inputs of row ``r``, counted."""
+        return np.frombuffer(zstandard.decompress(self.counts[r]), np.int64)
+
+    def _by_class(self, own: np.ndarray) -> np.ndarray:
+        return np.bincount(self.classes, own, CLASSES) + BACKOFF * self.mass
 
     @property
     def within(self) -> np.ndarray:
         """Log probability of each token within its class, by input row."""
         if self.name not in _opened:
             _opened.clear()
-            table = np.empty(self.shape, np.float16)
-            for r, row in enumerate(self.packed):
-                own = np.frombuffer(zstandard.decompress(row), np.uint32)
-                table[r] = np.log((own + BACKOFF * self.base) / self._by_class(own[None])[0][self.classes])
+            # Most counts are 0, so they travel compressed; a worker process opens them once.
+            table = np.empty((len(self.counts), len(self.base)), np.float16)
+            for r in range(len(self.counts)):
+                own = self.row(r)
+                table[r] = np.log((own + BACKOFF * self.base) / self._by_class(own)[self.classes])
             _opened[self.name] = table
         return _opened[self.name]
 
@@ -104,90 +106,97 @@ def _unpack(weights: np.ndarray):
 
 #: A position sees inputs up to its own (which is the token before the one to predict).
 _FUTURE = np.arange(SPAN)[None, :] > np.arange(STRIDE)[:, None] + STRIDE
+_NEVER = np.float32(-1e4)
+
 
+def slots(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tokens of texts of these lengths stand, each text in blocks of its own, and which blocks begin one.
+
+    What fills the last block of a text comes after its tokens, so none of them sees it.
+    """
+    blocks = -(-lengths // STRIDE)
+    before = np.cumsum(blocks) - blocks
+    first = np.zeros(int(blocks.sum()), bool)
+    first[before[lengths > 0]] = True
+    shift = before * STRIDE - (np.cumsum(lengths) - lengths)
+    return np.arange(int(lengths.sum())) + np.repeat(shift, lengths), first
 
-def _blocks(flat: np.ndarray) -> np.ndarray:
-    """Each block with the one before it."""
+
+def _pairs(flat: np.ndarray) -> np.ndarray:
+    """Each block but the first with the one before it."""
     own = flat.reshape(-1, STRIDE, *flat.shape[1:])
-    return np.concatenate([np.concatenate([np.zeros_like(own[:1]), own[:-1]]), own], axis=1)
-
-
-def _attend(weights, x2: np.ndarray, doc2: np.ndarray):
-    """Attention output of blocks; ``x2`` and ``doc2`` hold each block after the one before."""
-    wq, wk, wv, _, place = _unpack(weights)
-    q, k, v = x2[:, STRIDE:] @ wq, x2 @ wk, x2 @ wv
-    scores = np.matmul(q, k.transpose(0, 2, 1))
-    scores += np.where(_FUTURE, np.float32(-1e4), place)
-    mixed = np.flatnonzero(doc2[:, 0] != doc2[:, -1])
-    if len(mixed):
-        scores[mixed] = np.where(doc2[mixed, None, :] == doc2[mixed, STRIDE:, None], scores[mixed], np.float32(-1e4))
-    np.minimum(scores, 60, out=scores)
+    return np.concatenate([own[:-1], own[1:]], axis=1)
+
+
+def _attend(q: np.ndarray, k2: np.ndarray, v2: np.ndarray, place: np.ndarray, first: np.ndarray):
+    """Weights of attention before they are divided by their sums, the sums, and the output."""
+    scores = np.matmul(q, k2.transpose(0, 2, 1))
+    scores += np.where(_FUTURE, _NEVER, place)
+    scores[first, :, :STRIDE] = _NEVER
+    if scores.max(initial=0) > 60:
+        np.minimum(scores, 60, out=scores)
     np.exp(scores, out=scores)
-    scores /= scores.sum(2, keepdims=True)
-    return q, k, v, scores, np.matmul(scores, v)
+    sums = scores.sum(2, keepdims=True)
+    return scores, sums, np.matmul(scores, v2) / sums
 
 
-def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, docs: np.ndarray, end: int) -> np.ndarray:
-    """Natural log probability of every token; ``docs`` numbers the texts, each ends with ``end``."""
+def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Natural log probability of every token; texts follow one another and each ends with ``end``."""
     out, within = np.empty(len(tokens), np.float32), tables.within
-    inputs = np.concatenate([[end], tokens[:-1]])
-    wo = _unpack(weights)[3]
-    for b in range(0, len(tokens), BATCH):
-        e = min(len(tokens), b + BATCH)
-        low = max(0, b - STRIDE)
-        size = -(-(e - low) // STRIDE) * STRIDE
-        ids = np.full(size, end, inputs.dtype)
-        doc = np.full(size, -1, np.int32)
-        ids[: e - low], doc[: e - low] = inputs[low:e], docs[low:e]
-        x2, doc2 = _blocks(tables.vectors[ids]), _blocks(doc)
-        if low == b:
-            doc2[0, :STRIDE] = -2
-        heads = _attend(weights, x2, doc2)[4].reshape(size, WIDTH)[b - low : e - low]
-        rows = tables.row_of[inputs[b:e]]
+    inputs = np.concatenate([[end], tokens[:-1]])  # before a text stands the end of another
+    at, first = slots(lengths)
+    ids = np.full(STRIDE * (len(first) + 1), end, inputs.dtype)  # a block before all others
+    ids[STRIDE + at] = inputs
+    wq, wk, wv, wo, place = _unpack(weights)
+    table = tables.vectors @ np.concatenate([wq, wk, wv], axis=1)
+    for b in range(0, len(first), BATCH // STRIDE):
+        e = min(len(first), b + BATCH // STRIDE)
+        own = table[ids[b * STRIDE : (e + 1) * STRIDE]]
+        q = own[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH)
+        k2, v2 = _pairs(own[:, WIDTH : 2 * WIDTH]), _pairs(own[:, 2 * WIDTH :])
+        low, high = np.searchsorted(at, [b * STRIDE, e * STRIDE])
+        heads = _attend(q, k2, v2, place, first[b:e])[2].reshape(-1, WIDTH)[at[low:high] - b * STRIDE]
+        rows, target = tables.row_of[inputs[low:high]], tokens[low:high]
         logits = tables.prior[rows] + heads @ wo
-        target = tokens[b:e]
-        chosen = logits[np.arange(e - b), tables.classes[target]]
+        chosen = logits[np.arange(high - low), tables.classes[target]]
         np.exp(logits, out=logits)
-        out[b:e] = chosen - np.log(logits.sum(1)) + within[rows, target]
+        out[low:high] = chosen - np.log(logits.sum(1)) + within[rows, target]
     return out
 
 
-def loss_gradient(tables: Tables, weights: np.ndarray, inputs: np.ndarray, targets: np.ndarray, docs: np.ndarray):
-    """Mean loss of the class predictions of some windows, and its gradient.
+def loss_gradient(tables: Tables, weights: np.ndarray, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray):
+    """Loss of the class predictions summed over some blocks, and its gradient.
 
-    All have ``SPAN`` columns; the second half is predicted, but for columns of no document
-    (a negative number).
+    ``inputs`` hold a block more, the one before the first; a target below 0 is none.
     """
-    wq, wk, wv, wo, _ = _unpack(weights)
-    x2 = tables.vectors[inputs]
-    q, k, v, attention, heads = _attend(weights, x2, docs)
-    rows, target = tables.row_of[inputs[:, STRIDE:]], tables.classes[targets[:, STRIDE:]]
-    logits = (tables.prior[rows] + heads @ wo).reshape(-1, CLASSES)
-    logits -= logits.max(1, keepdims=True)
-    delta = np.exp(logits, out=logits)
+    wq, wk, wv, wo, place = _unpack(weights)
+    x = tables.vectors[inputs]
+    own = x @ np.concatenate([wq, wk, wv], axis=1)
+    q = own[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH)
+    k2, v2 = _pairs(own[:, WIDTH : 2 * WIDTH]), _pairs(own[:, 2 * WIDTH :])
+    attention, sums, heads = _attend(q, k2, v2, place, first)
+    attention /= sums
+    real = np.flatnonzero(targets >= 0)
+    heads = heads.reshape(-1, WIDTH)
+    delta = tables.prior[tables.row_of[inputs[STRIDE:]]] + heads @ wo
+    target = tables.classes[np.maximum(targets, 0)]
+    np.exp(delta, out=delta)
     delta /= delta.sum(1, keepdims=True)
-    index, target = np.arange(target.size), target.ravel()
-    real = (docs[:, STRIDE:] >= 0).ravel()
-    n = max(1, np.count_nonzero(real))
-    loss = -np.log(delta[index, target] + 1e-30)[real].sum() / n
-    delta[index, target] -= 1
-    delta *= (real / np.float32(n))[:, None]
-    d_out = heads.reshape(-1, WIDTH).T @ delta
-    delta = delta.reshape(*heads.shape[:2], CLASSES)
-    d_heads = delta @ wo.T
-    d_attention = np.matmul(d_heads, v.transpose(0, 2, 1))
+    loss = -np.log(delta[real, target[real]] + 1e-30).sum(dtype=np.float64)
+    delta[real, target[real]] -= 1
+    delta[targets < 0] = 0
+    d_out = heads.T @ delta
+    d_heads = (delta @ wo.T).reshape(-1, STRIDE, WIDTH)
     d_v = np.matmul(attention.transpose(0, 2, 1), d_heads)
-    d_scores = attention * (d_attention - (d_attention * attention).sum(2, keepdims=True))
-    d_q, d_k = np.matmul(d_scores, k), np.matmul(d_scores.transpose(0, 2, 1), q)
-    flat = x2.reshape(-1, WIDTH)
-    parts = [
-        x2[:, STRIDE:].reshape(-1, WIDTH).T @ d_q.reshape(-1, WIDTH),
-        flat.T @ d_k.reshape(-1, WIDTH),
-        flat.T @ d_v.reshape(-1, WIDTH),
-        d_out,
-        np.where(_FUTURE, 0, d_scores.sum(0)),
-    ]
-    return loss, np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+    d_scores = np.matmul(d_heads, v2.transpose(0, 2, 1))
+    d_scores -= (d_heads * heads.reshape(d_heads.shape)).sum(2, keepdims=True)
+    d_scores *= attention
+    d_k = np.matmul(d_scores.transpose(0, 2, 1), q)
+    d_q = np.matmul(d_scores, k2)
+    x2 = _pairs(x).reshape(-1, WIDTH)
+    d_wk, d_wv = np.split(x2.T @ np.concatenate([d_k, d_v], axis=2).reshape(-1, 2 * WIDTH), 2, axis=1)
+    parts = [x[STRIDE:].T @ d_q.reshape(-1, WIDTH), d_wk, d_wv, d_out, np.where(_FUTURE, 0, d_scores.sum(0))]
+    return loss, np.concatenate([p.ravel() for p in parts]).astype(np.float64)
 
 
 class Adam:

@@ -30,13 +30,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lean(spark: SparkSession, rows: int = 2000) -> None:
-    """Long texts go to Python in batches of fewer rows than the session's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
-
-
 def steps(batches: Iterable[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices whose ``column`` holds about ``size`` bytes at most."""
     for batch in batches:

@@ -7,10 +7,12 @@ The model (see ``attention``) is learnt from the documents that are not held out
 2. Word counts are summed by word and each chunk gets its words' counts back.
 3. Subword frequencies choose the inputs that get a row of their own in a table of what follows
    them; the rows are counted over all training tokens. Their size is bounded by the vocabulary.
-4. Weights are trained in one pass over all training tokens, dealt out by hash to ``ROUNDS``
-   rounds: every chunk's training texts are put together, cut to windows that predict each token
-   once, and take steps of Adam; after a round the tasks' weights are averaged.
-5. Every token of every text is scored once, in overlapping windows of masked attention.
+4. Weights are trained in one pass over all training tokens: documents are dealt by the hash of
+   their id to ``TURNS`` turns; the gradients of a turn's windows are summed over all tasks, then
+   Adam takes one step. Each token is predicted once, and it does not matter how documents are
+   dealt to tasks.
+5. Every token of every text is scored once, in overlapping windows of masked attention that begin
+   with its text.
 
 A text is its words joined by single spaces and one end, so white space does not matter, and
 ``score`` is the log10 probability of the subword ids and the end. The base score is that of a
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import attention, packed
-from strata.llm.common import NO_ID, U64, bucket_rows, lean, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
+from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
 from strata.session import discard, scratch_path
 
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
-ROWS = 768
-ROUNDS, LEARNING, MINIBATCH = 3, 0.01, 64
+ROWS = 1024
+#: Steps of training, their rate, and blocks whose gradient is computed at a time.
+TURNS, LEARNING, MINIBATCH = 8, 0.05, 512
 CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
@@ -76,6 +79,11 @@ class _Chunk:
             at += n * np.dtype(kind).itemsize
         return cls(**fields)
 
+    def only(self, kept: np.ndarray) -> _Chunk:
+        """The chunk with some of its documents."""
+        fields = {"doc": self.doc[kept], "held": self.held[kept], "words": self.words[kept], "word": self.word[np.repeat(kept, self.words)]}
+        return _Chunk(**fields, width=self.width, ids=self.ids)
+
     def tokens(self, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids with ``end`` after each document, their document, and ids in each document."""
         width = np.append(self.width, 1).astype(np.int64)
@@ -281,9 +289,9 @@ def counted_tables(prepared: DataFrame, unigrams: np.ndarray, end: int) -> atten
     sent = prepared.filter(f"kind = {CHUNK}").select("body").mapInArrow(released(send), packed.ROWS)
     added = bucket_rows(sent, partitions).mapInArrow(released(add), schema)
     summed = added.repartition(min(partitions, ROWS), "row").sortWithinPartitions("row").mapInArrow(released(fold), schema)
-    counts = np.zeros((ROWS, size), np.uint32)
+    counts = [zstandard.compress(bytes(8 * size))] * ROWS
     for row in summed.toLocalIterator():
-        counts[row.row] = np.frombuffer(zstandard.decompress(row.body), np.int64).clip(0, 2**32 - 1)
+        counts[row.row] = bytes(row.body)
     return attention.Tables(counts, unigrams, row_of)
 
 
@@ -294,50 +302,47 @@ class _Small:
         self.vectors, self.classes, self.prior, self.row_of = tables.vectors, tables.classes, tables.prior, tables.row_of
 
 
-def windows(chunk: _Chunk, number: int, end: int, turn: int, rounds: int = ROUNDS):
-    """A round's minibatches of a chunk: inputs, targets and documents of windows of its training texts.
+def turn_of(doc: np.ndarray) -> np.ndarray:
+    """The turn in which documents are learnt from."""
+    return (mixed(doc.astype(U64)) % U64(TURNS)).astype(np.int64)
+
 
-    The texts follow one another without the held-out ones between them. Each token is predicted
-    by one window of one round; what fills the first and the last window is of no document.
+def windows(chunk: _Chunk, end: int, turn: int):
+    """A turn's blocks of a chunk's training texts: inputs with a block before, targets, and where texts begin.
+
+    Each token is predicted once; what fills a text's last block is no target.
     """
-    width, span = attention.STRIDE, attention.SPAN
-    tokens, docs, _ = chunk.tokens(end)
-    learnt = ~chunk.held[docs]
-    tokens, docs = tokens[learnt], docs[learnt]
-    count = -(-len(tokens) // width)
-    tail = count * width - len(tokens)
-    docs = np.concatenate([np.full(width, -2, docs.dtype), docs, np.full(tail, -1, docs.dtype)])
-    tokens = np.concatenate([np.full(width + 1, end, tokens.dtype), tokens, np.full(tail, end, tokens.dtype)])
-    key = mixed(mixed(np.arange(count).astype(U64)) + U64(number))
-    own = np.flatnonzero(key % U64(rounds) == turn)
-    own = own[np.argsort(key[own])] * width
-    for b in range(0, len(own), MINIBATCH):
-        at = own[b : b + MINIBATCH, None] + np.arange(span)
-        yield tokens[at], tokens[at + 1], docs[at]
-
-
-def train(prepared: DataFrame, tables: attention.Tables, end: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over tasks after each round of local steps."""
-    chunks = prepared.filter(f"kind = {CHUNK}").select("chunk", "body")
+    width = attention.STRIDE
+    tokens, _, lengths = chunk.only(~chunk.held & (turn_of(chunk.doc) == turn)).tokens(end)
+    at, first = attention.slots(lengths)
+    inputs = np.full(width * (len(first) + 1), end, np.int64)
+    inputs[width + at] = np.concatenate([[end], tokens[:-1]]) if len(tokens) else tokens
+    targets = np.full(width * len(first), -1, np.int64)
+    targets[at] = tokens
+    for b in range(0, len(first), MINIBATCH):
+        e = min(len(first), b + MINIBATCH)
+        yield inputs[b * width : (e + 1) * width], targets[b * width : e * width], first[b:e]
+
+
+def train(prepared: DataFrame, tables: attention.Tables, end: int) -> np.ndarray:
+    """Weights after one step for each turn, along the gradient of all its documents."""
+    chunks = prepared.filter(f"kind = {CHUNK}").select("body")
     small, weights = _Small(tables), attention.start()
+    optimiser = attention.Adam(len(weights), LEARNING)
+    for turn in range(TURNS):
 
-    for turn in range(rounds):
-
-        def run(batches, begin=weights, turn=turn):
-            own, taken = begin, 0
-            optimiser = attention.Adam(len(begin), LEARNING / (1 + turn))
+        def run(batches, weights=weights, turn=turn):
+            sums = np.zeros(len(weights) + 1)
             for batch in batches:
-                for number, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                    for window in windows(_Chunk.unpack(body), number, end, turn, rounds):
-                        _, gradient = attention.loss_gradient(small, own, *window)
-                        own = optimiser.step(own, gradient)
-                        taken += len(window[0])
-            sums = np.append(own * float(taken), taken).astype(np.float64)
+                for body in batch.column("body").to_pylist():
+                    for inputs, targets, first in windows(_Chunk.unpack(body), end, turn):
+                        sums[:-1] += attention.loss_gradient(small, weights, inputs, targets, first)[1]
+                        sums[-1] += np.count_nonzero(targets >= 0)
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 
         sums = _summed(chunks.mapInArrow(released(run), "body binary"), len(weights) + 1, np.float64)
         if sums[-1]:
-            weights = (sums[:-1] / sums[-1]).astype(np.float32)
+            weights = optimiser.step(weights, (sums[:-1] / sums[-1]).astype(np.float32))
     return weights
 
 
@@ -350,7 +355,6 @@ def score(docs: DataFrame, model: str) -> DataFrame:
 
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     end = library.eos_id()
-    lean(docs.sparkSession)
     prepared, word_rows = prepare(docs, model)
     counts, words, distinct = word_totals(prepared)
     discard(docs.sparkSession, word_rows)
@@ -370,13 +374,13 @@ def score(docs: DataFrame, model: str) -> DataFrame:
                     part = zstandard.decompress(part)
                     n = int(np.frombuffer(part, np.int64, 1)[0])
                     known[np.frombuffer(part, np.uint32, n, 8)] = np.frombuffer(part, np.int64, n, 8 + 4 * n)
-                tokens, owner, lengths = chunk.tokens(end)
+                tokens, _, lengths = chunk.tokens(end)
                 sequence = np.insert(chunk.word.astype(np.int64), np.cumsum(chunk.words), len(chunk.width))
                 first = np.cumsum(chunk.words + 1) - (chunk.words + 1)
                 each = np.log10((known + 1) / (total + kinds + 1))
                 base = np.add.reduceat(each[sequence], first) if len(first) else np.zeros(0)
                 seen = np.add.reduceat((known > 0)[sequence].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-                own = attention.token_scores(tables, weights, tokens, owner, end).astype(np.float64)
+                own = attention.token_scores(tables, weights, tokens, lengths, end).astype(np.float64)
                 begin = np.cumsum(lengths) - lengths
                 scores = np.add.reduceat(own, begin) / math.log(10) if len(begin) else np.zeros(0)
                 n = len(chunk.doc)
