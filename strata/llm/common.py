@@ -62,6 +62,18 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+def keep_pages() -> None:
+    """From now on this process keeps the memory of freed arrays for the next ones.
+
+    Arrays of a few hundred KB otherwise go back to the system each time, and getting their pages
+    anew takes as long as the arithmetic. ``released`` gives all back when a task ends.
+    """
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if tune is not None:
+        for setting, size in ((-3, 32 << 20), (-1, 256 << 20), (-2, 16 << 20)):  # mmap and trim thresholds, top pad
+            tune(setting, size)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of ``column`` as one array of bytes, and where each begins; null is empty."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")

@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import attention, packed
-from strata.llm.common import NO_ID, U64, bucket_rows, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
+from strata.llm.common import NO_ID, U64, bucket_rows, keep_pages, long_ids, lower, mixed, released, shuffle_partitions, spans_gather, steps, text_bytes, word_hashes, word_spans
 from strata.session import discard, scratch_path
 
 MODULUS, REMAINDER = 7, 2
 #: Inputs with a row of their own, and one for all others.
 ROWS = 1024
 #: Steps of training, their rate, and blocks whose gradient is computed at a time.
-TURNS, LEARNING, MINIBATCH = 8, 0.05, 512
+TURNS, LEARNING, MINIBATCH = 8, 0.05, 128
 CHUNK_BYTES = 2 << 20
 CHUNK, WORDS, COUNTS = 0, 1, 2
 #: Words whose ids a task keeps.
@@ -105,6 +105,7 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
         import sentencepiece
 
         attention.forget()
+        keep_pages()
         library = sentencepiece.SentencePieceProcessor(model_file=model)
         known, spans, kept = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint16)
         context = TaskContext.get()
@@ -332,6 +333,7 @@ def train(prepared: DataFrame, tables: attention.Tables, end: int) -> np.ndarray
     for turn in range(TURNS):
 
         def run(batches, weights=weights, turn=turn):
+            keep_pages()
             sums = np.zeros(len(weights) + 1)
             for batch in batches:
                 for body in batch.column("body").to_pylist():
@@ -365,6 +367,7 @@ def score(docs: DataFrame, model: str) -> DataFrame:
     total, kinds = words + ends, distinct + (ends > 0)
 
     def run(batches):
+        keep_pages()
         for batch in batches:
             for body, bodies in zip(batch.column("body").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 chunk = _Chunk.unpack(body)
