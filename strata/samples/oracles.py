@@ -304,6 +304,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, user_id AS second_id, user_id AS who_user,
                 CASE WHEN batch > 2 THEN value END AS who_worth, CASE WHEN batch > 2 THEN event_type END AS note
             FROM events, range(1, 5) AS t(batch)""",
+        "bronze_lines": """
+            WITH spoiled AS (
+                SELECT *, CASE WHEN event_id % 7 = 0 THEN 'many' ELSE CAST(user_id AS VARCHAR) END AS word,
+                    event_id % 7 = 0 OR event_id % 11 = 0 AS bad
+                FROM events
+            ), lines AS (
+                SELECT 'csv' AS format, *, event_id || ',' || word || ',' || event_type AS text FROM spoiled
+                UNION ALL
+                SELECT 'json', *, '{"event_id":' || event_id || ',"user_id":' || CASE WHEN word = 'many' THEN '"many"' ELSE word END
+                    || ',"event_type":"' || event_type || '"}' FROM spoiled
+            )
+            SELECT format, CASE WHEN NOT bad THEN event_id END AS event_id, CASE WHEN NOT bad THEN user_id END AS user_id,
+                CASE WHEN NOT bad THEN event_type END AS event_type,
+                CASE WHEN bad THEN CASE WHEN event_id % 11 = 0 THEN substr(text, 1, 5) ELSE text END END AS line
+            FROM lines""",
         "bronze_widen_retried": """
             SELECT event_id, user_id AS who_user, CASE WHEN batch = 2 THEN value END AS who_worth,
                 CASE WHEN batch = 2 THEN event_type END AS event_type
@@ -362,6 +377,8 @@ def oracle_sql() -> dict[str, str]:
         "silver_incremental": silver + " SELECT * FROM silver",
         "gold_incremental": daily,
         "layered_gold": daily,
+        "gold_stored_order": _with(*nan_silver, _gold("gold", "silver"))
+        + " SELECT pickup_date, total_trips, row_number() OVER (ORDER BY pickup_date) AS position FROM gold",
         "layered_gold_sql": sql_daily,
         "gated_gold": sql_daily,
         "gated_report": _report(_SQL_LAYERS, *_column_tests()),

@@ -60,8 +60,8 @@ from strata.quality import (
 )
 from strata.samples.trips import read, trips
 from strata.session import configure, scratch_path
-from strata.sinks import BATCH, Layout, append_batch, append_evolving, append_evolving_path, evolve, refresh_path
-from strata.sources import read_evolved, read_source
+from strata.sinks import BATCH, Layout, append_batch, append_evolving, append_evolving_path, evolve, positions, refresh_path
+from strata.sources import accepted, read_evolved, read_lines, read_source, rejected
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +131,27 @@ def bronze_passthrough(spark, sf_dir):
     return read_source(spark, path=f"{sf_dir}/events.parquet")
 
 
+def bronze_lines(spark, sf_dir):
+    """Events written as CSV and as JSON, some with a word for a number and some cut off, read back."""
+    wrong = F.when(F.col("event_id") % 7 == 0, F.lit("many")).otherwise(F.col("user_id").cast("string"))
+    event, kind = F.col("event_id").cast("string"), F.col("event_type")
+    quoted = F.when(F.col("event_id") % 7 == 0, F.lit('"many"')).otherwise(F.col("user_id").cast("string"))
+    texts = {
+        "csv": F.concat_ws(",", event, wrong, kind),
+        "json": F.concat(F.lit('{"event_id":'), event, F.lit(',"user_id":'), quoted, F.lit(',"event_type":"'), kind, F.lit('"}')),
+    }
+    found = []
+    for format, text in texts.items():
+        path = scratch_path(spark, format)
+        cut = F.when(F.col("event_id") % 11 == 0, F.substring(text, 1, 5)).otherwise(text)
+        read(spark, sf_dir, "events").select(cut.alias("value")).write.text(path)
+        lines = read_lines(spark, path, "event_id bigint, user_id bigint, event_type string", format=format)
+        good = accepted(lines).select(F.lit(format).alias("format"), "event_id", "user_id", "event_type", F.lit(None).cast("string").alias("line"))
+        null = [F.lit(None).cast(t).alias(c) for c, t in (("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"))]
+        found += [good, rejected(lines).select(F.lit(format).alias("format"), *null, "line")]
+    return _union(*found)
+
+
 def bronze_append_evolved(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     path = scratch_path(spark, "bronze")
@@ -369,6 +390,16 @@ def layered_gold(spark, sf_dir):
     return _result(spark, workspace, run_all(spark, "test", raw, workspace, exact=True))
 
 
+def gold_stored_order(spark, sf_dir):
+    """Where the stored summary holds each day: its files, one after the other, are in order."""
+    workspace = _workspace(spark)
+    gold = run_all(spark, "test", trips(spark, sf_dir, nan=True), workspace, exact=True)
+    path = scratch_path(spark, "positions")
+    positions(spark, gold).select(taxi.DAY, taxi.TRIP_COUNT, "position").write.parquet(path)
+    _drop(spark, workspace)
+    return spark.read.parquet(path)
+
+
 def layered_gold_sql(spark, sf_dir):
     workspace = _workspace(spark)
     run_bronze(spark, "test", trips(spark, sf_dir), workspace)
@@ -549,6 +580,7 @@ _NAMES = {"drop_incomplete_rows": "drop_incomplete", "keep_passengers_between":
 
 _QUERIES = (
     bronze_passthrough,
+    bronze_lines,
     bronze_append_evolved,
     bronze_table_evolved,
     bronze_partitioned_evolved,
@@ -579,6 +611,7 @@ _QUERIES = (
     silver_incremental,
     gold_incremental,
     layered_gold,
+    gold_stored_order,
     layered_gold_sql,
     gated_gold,
     gated_report,

@@ -1,6 +1,7 @@
 """Writing layer tables."""
 
 from strata.sinks.batches import BATCH, append_batch, commit, committed
+from strata.sinks.order import file_ranges, positions
 from strata.sinks.writers import (
     Layout,
     SchemaConflict,
@@ -25,8 +26,10 @@ __all__ = [
     "commit",
     "committed",
     "evolve",
+    "file_ranges",
     "layout_of",
     "merged_schema",
+    "positions",
     "refresh",
     "refresh_path",
 ]
