@@ -57,29 +57,43 @@ NAME_WEIGHTS |= dict.fromkeys("article articlebody entry post story content main
 #: An element that names its page region as content outweighs the page's outer wrappers only.
 BIAS, LINK_WEIGHT, ADJACENT, CONTAINER = -0.5, -4.0, 1.0, 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile("[\"'>]")
+_COMMENT_END = re.compile("--!?>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A word of up to so many letters before others in a name only says whose name it is.
+_SPACE_OF_NAMES = 2
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
 
 
 class _Block:
-    __slots__ = ("text", "path", "weight", "linked", "tag")
+    __slots__ = ("text", "node", "weight", "linked", "tag")
+
+    def __init__(self, text, node, weight, linked, tag):
+        self.text, self.node, self.weight, self.linked, self.tag = text, node, weight, linked, tag
 
-    def __init__(self, text, path, weight, linked, tag):
-        self.text, self.path, self.weight, self.linked, self.tag = text, path, weight, linked, tag
+
+def _named(name: str) -> float | None:
+    """The log-odds of one name; None if it says nothing.
+
+    Words of boilerplate count where they begin or end the name; inside it they qualify
+    something else (a price of shares).
+    """
+    words = [w.lower() for w in _WORD.findall(name)]
+    while len(words) > 1 and len(words[0]) <= _SPACE_OF_NAMES and words[0] not in NAME_WEIGHTS:
+        words = words[1:]
+    found = [NAME_WEIGHTS[w] for w in words if NAME_WEIGHTS.get(w, 0) > 0]
+    found += [NAME_WEIGHTS[w] for w in (words[:1] + words[-1:]) if NAME_WEIGHTS.get(w, 0) < 0]
+    return (min(found) if min(found) < 0 else max(found)) if found else None
 
 
 def _weight(tag: str, attributes: str) -> float:
     weight = TAG_WEIGHTS.get(tag, 0.0)
     if attributes and tag not in ("html", "body"):
-        names = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-        found = [NAME_WEIGHTS[n] for n in names if n in NAME_WEIGHTS]
+        names = {name for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()}
+        found = [w for w in map(_named, names) if w is not None]
         if found:
             weight += min(found) if min(found) < 0 else max(found)
         if _HIDDEN.search(attributes):
@@ -87,42 +101,88 @@ def _weight(tag: str, attributes: str) -> float:
     return weight
 
 
-def blocks(page: str) -> list[_Block]:
-    """The blocks of a page in order, with the containers they lie in."""
+def tokens(page: str):
+    """(text before, closing, tag name, attributes) of each tag, and the last text with no tag.
+
+    One pass: a tag ends at the first ``>`` outside quotes. Where no such one follows, quotes
+    count for nothing in the rest of the page, and a tag without any ``>`` is text.
+    """
+    at, kept, end, quoted, last = 0, 0, len(page), True, page.rfind(">")
+    while match := _MARKUP.search(page, at):
+        begin = match.start()
+        if match[1]:
+            stop = _COMMENT_END.search(page, match.end())
+            yield page[kept:begin], "", "", ""
+            at = kept = stop.end() if stop else end
+        elif match[2] or match[3]:
+            close = "]]>" if match[2] else ">"
+            stop = page.find(close, match.end())
+            yield page[kept:begin], "", "", ""
+            at = kept = stop + len(close) if stop >= 0 else end
+        elif begin > last:
+            break
+        else:
+            stop = _tag_end(page, match.end()) if quoted else -1
+            if stop < 0:
+                quoted, stop = False, page.find(">", match.end())
+            at = (yield page[kept:begin], match[4], match[5].lower(), page[match.end() : stop], stop + 1) or stop + 1
+            kept = at
+    yield page[kept:], "", "", ""
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the first ``>`` outside quotes stands; -1 if there is none."""
+    while match := _STOP.search(page, at):
+        if match[0] == ">":
+            return match.start()
+        at = page.find(match[0], match.end()) + 1
+        if not at:
+            break
+    return -1
+
+
+def blocks(page: str) -> tuple[list[_Block], list[int], list[int]]:
+    """The blocks of a page in order; and the parent and the depth of each element they lie in."""
     found: list[_Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, log-odds so far
+    parents, depths = [0], [0]
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, element, log-odds so far
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = number = 0
+    linked = links = 0
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, _, weight = stack[-1]
-                found.append(_Block(text, tuple(x[1] for x in stack), weight, min(1.0, linked / len(text)), tag))
+                tag, node, weight = stack[-1]
+                found.append(_Block(text, node, weight, min(1.0, linked / len(text)), tag))
             parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        match = _TOKEN.search(page, at)
-        piece = page[at : match.start() if match else end]
+    def pop(upto):
+        for tag, _, _ in stack[upto:]:
+            opened[tag] -= 1
+        del stack[upto:]
+
+    read, skip = tokens(page), None
+    while True:
+        try:
+            token = read.send(skip) if skip is not None else next(read)
+        except StopIteration:
+            break
+        skip = None
+        piece, closing, tag, attributes, *after = token
         if piece:
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not match:
-            break
-        at = match.end()
-        closing, name, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
-        if not name:
+        if not tag:
             continue
-        tag = name.lower()
         if tag in _RAW_ENDS:
             if not closing and not attributes.endswith("/"):
-                stop = _RAW_ENDS[tag].search(page, at)
-                at = stop.end() if stop else end
+                stop = _RAW_ENDS[tag].search(page, after[0])
+                skip = stop.end() if stop else len(page)
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -130,18 +190,21 @@ def blocks(page: str) -> list[_Block]:
         elif tag in BLOCK_TAGS:
             flush()
             if closing:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        break
+                if opened.get(tag):
+                    depth = len(stack) - 1
+                    while stack[depth][0] != tag:
+                        depth -= 1
+                    pop(depth)
             elif tag not in VOID_TAGS:
                 closes = _CLOSES.get(tag, ())
                 while stack[-1][0] in closes:
-                    stack.pop()
-                number += 1
-                stack.append((tag, number, stack[-1][2] + _weight(tag, attributes)))
+                    pop(len(stack) - 1)
+                parents.append(stack[-1][1])
+                depths.append(len(stack))
+                opened[tag] = opened.get(tag, 0) + 1
+                stack.append((tag, len(parents) - 1, stack[-1][2] + _weight(tag, attributes)))
     flush()
-    return found
+    return found, parents, depths
 
 
 def log_odds(block: _Block) -> float:
@@ -155,19 +218,21 @@ def log_odds(block: _Block) -> float:
     return score
 
 
-def edges(found: list[_Block]) -> list[tuple[int, int, float]]:
+def edges(found: list[_Block], parents: list[int], depths: list[int]) -> list[tuple[int, int, float]]:
     """Smoothness edges between blocks and their capacities."""
     made, last = [], {}
     for i, block in enumerate(found):
         if i:
-            shared = 0
-            for a, b in zip(block.path, found[i - 1].path, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            apart = len(block.path) + len(found[i - 1].path) - 2 * shared
+            # Steps up to the common element; neighbours in a page are few steps apart in all.
+            a, b, apart = block.node, found[i - 1].node, 0
+            while a != b:
+                if depths[a] >= depths[b]:
+                    a = parents[a]
+                else:
+                    b = parents[b]
+                apart += 1
             made.append((i - 1, i, ADJACENT / (1 + apart / 2)))
-        parent = block.path[-2] if block.tag == "p" or block.tag.startswith("h") and len(block.path) > 1 else block.path[-1]
+        parent = parents[block.node] if block.tag == "p" or block.tag.startswith("h") and block.node else block.node
         if last.get(parent, i) < i - 1:
             made.append((last[parent], i, CONTAINER))
         last[parent] = i
@@ -216,10 +281,10 @@ def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> lis
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one on a line."""
-    found = blocks(page or "")
+    found, parents, depths = blocks(page or "")
     if not found:
         return ""
-    content = minimum_cut([log_odds(b) for b in found], edges(found))
+    content = minimum_cut([log_odds(b) for b in found], edges(found, parents, depths))
     return "\n".join(b.text for b, keep in zip(found, content, strict=True) if keep)
 
 

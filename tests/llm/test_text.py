@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 from importlib import resources
 
@@ -474,3 +475,44 @@ def test_training_raises_the_score_of_held_out_texts(spark, sf_dir, model, monke
     trained = held()
     monkeypatch.setattr(lm_scoring, "train", lambda *_: attention.start())
     assert trained > 0.98 * held()  # scores are negative
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<a b=c " * 100_000, None),
+        ("<a '>" * 80_000, ""),
+        ("<div>x" * 50_000, ""),
+        ("<div>" * 20_000 + "</p>" * 50_000, ""),
+        ("<!--" * 100_000, ""),
+    ],
+    ids=["unclosed tags", "unclosed quotes", "nested", "unmatched ends", "comments"],
+)
+def test_hard_pages_take_time_in_proportion(page, expected):
+    began = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - began < 5
+    assert expected is None or text == expected
+
+
+@pytest.mark.parametrize(
+    ("name", "kept"),
+    [("text-share-price", True), ("share-buttons", False), ("js-share-bar", False), ("article-comments", False), ("c-post-body", True), ("siteFooter", False)],
+)
+def test_boilerplate_words_count_at_the_ends_of_a_name(name, kept):
+    sentence = "The share price of the company rose by nine percent on Monday, its best day in a year."
+    assert html_text.main_text(f"<div class='wrap {name}'><p>{sentence}</p></div>") == (sentence if kept else "")
+
+
+def test_quotes_hide_ends_of_tags_until_one_is_left_open():
+    long = "A sentence that is long enough to be taken for the text of an article, and then some more."
+    assert html_text.main_text(f'<p title="a > b" class=\'x\'>{long}</p>') == long
+    assert html_text.main_text(f'<p title="a>{long}</p>') == long
+
+
+def test_empty_tables_and_odd_rows_of_pages(spark):
+    schema = "page_id long, url string, html string, text string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "<p>" + "Long enough to count as the text of a page, is it not? " * 2000, "x")]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.n_chars for r in got)[:2] == [0, 0] and max(r.n_chars for r in got) > 100_000
