@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline over documents and web pages.
 
 Nothing else in the library imports this subpackage. ``registry`` lists one query per
-operator; ``DATA.md`` beside this file describes their methods and figures.
+operator; the README describes their methods and figures.
 """
