@@ -1,7 +1,7 @@
-"""The layers kept up to date batch by batch: each build reads what is new, and the days it touches.
+"""The layers kept up to date batch by batch: each build reads what is new, and the months it touches.
 
-Bronze holds each batch once. Silver is divided by batch and day; a build cleans the new rows,
-drops those that the stored rows of the same days already hold, and appends the rest, so nothing
+Bronze holds each batch once. Silver is divided by batch and month; a build cleans the new rows,
+drops those that the stored rows of the same months already hold, and appends the rest, so nothing
 stored is written again. Gold stores what each batch adds to a day and merges these few rows. After
 every build the tables equal those of a full rebuild. A build that died is done again by the next:
 its batch has no record yet, and what it wrote is overwritten.
@@ -26,6 +26,8 @@ from strata.sources import read_table
 BRONZE = f"{taxi.TRIPS}_batches"
 SILVER = f"{taxi.TRIPS}_added"
 PARTS = f"{taxi.DAILY}_parts"
+#: The month of a trip divides silver; days would make thousands of small partitions.
+PERIOD = "pickup_month"
 
 
 def run_bronze_batch(
@@ -42,14 +44,14 @@ def run_silver_increment(spark: SparkSession, env: str, workspace: Workspace = t
     new = [batch for batch in committed(spark, source) if batch not in committed(spark, target)]
     for batch in new:
         own = sized_session(read_table(spark, source).filter(F.col(BATCH) == batch))
-        raw, day = batch_of(own, source, batch), F.to_date(taxi.PICKUP).alias(taxi.DAY)
-        # A batch has few days, and never more than the calendar; they choose the partitions to read.
-        days = [row[0] for row in raw.select(day).distinct().collect()]
-        rows = clean(raw).select("*", day)
+        raw, period = batch_of(own, source, batch), F.trunc(F.to_date(taxi.PICKUP), "month").alias(PERIOD)
+        # A batch has few months, and never more than the calendar; they choose the partitions to read.
+        periods = [row[0] for row in raw.select(period).distinct().collect()]
+        rows = clean(raw).select("*", period)
         # Spark overwrites no partition of a table that it reads, so the new rows are set aside first.
         aside = scratch_path(own, "added")
-        added_rows(rows, target, days).write.parquet(aside)
-        append_batch(own.read.schema(rows.schema).parquet(aside), target, batch, workspace.format, partition_by=(taxi.DAY,))
+        added_rows(rows, target, periods).write.parquet(aside)
+        append_batch(own.read.schema(rows.schema).parquet(aside), target, batch, workspace.format, partition_by=(PERIOD,))
         discard(own, aside)
     spark.catalog.refreshTable(target)  # it was written in other sessions
     return new
@@ -60,28 +62,28 @@ def batch_of(spark: SparkSession, table: str, batch: str) -> DataFrame:
     return read_table(spark, table).filter(F.col(BATCH) == batch).drop(BATCH)
 
 
-def stored_rows(spark: SparkSession, table: str, batches: Sequence[str], days: Sequence) -> DataFrame:
-    """The rows of these batches and days; only their partitions are listed and read."""
-    return read_table(spark, table).filter(F.col(BATCH).isin(list(batches)) & F.col(taxi.DAY).isin(list(days)))
+def stored_rows(spark: SparkSession, table: str, batches: Sequence[str], periods: Sequence) -> DataFrame:
+    """The rows of these batches and months; only their partitions are listed and read."""
+    return read_table(spark, table).filter(F.col(BATCH).isin(list(batches)) & F.col(PERIOD).isin(list(periods)))
 
 
-def added_rows(rows: DataFrame, table: str, days: Sequence) -> DataFrame:
-    """The ``rows``, which fall on ``days``, that ``table`` does not hold yet.
+def added_rows(rows: DataFrame, table: str, periods: Sequence) -> DataFrame:
+    """The ``rows``, which fall in ``periods``, that ``table`` does not hold yet.
 
-    Equal rows share their day, so stored rows of other days are not read. Rows are compared as
+    Equal rows share their month, so stored rows of other months are not read. Rows are compared as
     ``dropDuplicates`` does: nulls are equal, and so are NaN.
     """
     spark = rows.sparkSession
     done = committed(spark, table)
     if not done:
-        return rows.hint("rebalance", taxi.DAY)
+        return rows.hint("rebalance", PERIOD)
     evolve(spark, table, rows.schema)
     columns = [c for c in read_table(spark, table).columns if c != BATCH]
-    known = stored_rows(spark, table, done, days).select(*columns).withColumn("__known", F.lit(True))
+    known = stored_rows(spark, table, done, periods).select(*columns).withColumn("__known", F.lit(True))
     both = rows.withColumn("__known", F.lit(False)).unionByName(known, allowMissingColumns=True)
     # A row of either kind is reduced to one inside each task before it is shuffled.
     found = both.groupBy(*columns).agg(F.bool_or("__known").alias("__known"))
-    return found.filter(~F.col("__known")).select(*rows.columns).hint("rebalance", taxi.DAY)
+    return found.filter(~F.col("__known")).select(*rows.columns).hint("rebalance", PERIOD)
 
 
 def run_gold_increment(spark: SparkSession, env: str, workspace: Workspace = taxi.WORKSPACE) -> str:

@@ -376,7 +376,7 @@ def _in_batches(spark: SparkSession, sf_dir: str, workspace: Workspace, nan: boo
 def silver_incremental(spark, sf_dir):
     workspace = _workspace(spark)
     _in_batches(spark, sf_dir, workspace, nan=False)
-    return _result(spark, workspace, workspace.table("test", "silver", increments.SILVER)).drop(BATCH, taxi.DAY)
+    return _result(spark, workspace, workspace.table("test", "silver", increments.SILVER)).drop(BATCH, increments.PERIOD)
 
 
 def gold_incremental(spark, sf_dir):

@@ -23,8 +23,8 @@ def workspace(spark):
 def batches(spark):
     """Three batches; days come twice, rows come again, and the last has a column more."""
     first = full_width(make(spark, trip(), trip(), lasting(minutes=30)))
-    later = first.withColumn(taxi.PICKUP, F.col(taxi.PICKUP) + F.expr("INTERVAL 1 DAY")).withColumn(
-        taxi.DROPOFF, F.col(taxi.DROPOFF) + F.expr("INTERVAL 1 DAY")
+    later = first.withColumn(taxi.PICKUP, F.col(taxi.PICKUP) + F.expr("INTERVAL 40 DAY")).withColumn(
+        taxi.DROPOFF, F.col(taxi.DROPOFF) + F.expr("INTERVAL 40 DAY")
     )
     nan = full_width(make(spark, lasting(minutes=45))).withColumn("tip_amount", F.lit(float("nan")))
     return [first, first.unionByName(later).unionByName(nan), nan.unionByName(later).withColumn("vendor", F.lit("v"))]
@@ -47,7 +47,7 @@ def test_every_build_equals_a_full_one(spark, workspace):
         gold = plans.run_increment(spark, "dev", batch, f"b{i}", workspace)
         sent.append(batch)
         expected = rebuilt(spark, sent)
-        silver = spark.read.table(workspace.table("dev", "silver", increments.SILVER)).drop(BATCH, taxi.DAY)
+        silver = spark.read.table(workspace.table("dev", "silver", increments.SILVER)).drop(BATCH, increments.PERIOD)
         assert rows(silver) == rows(expected)
         assert rows(spark.read.table(gold)) == rows(plans.aggregate(expected, exact=True))
     again = plans.run_increment(spark, "dev", sent[1], "b1", workspace)
@@ -81,13 +81,13 @@ def test_only_touched_days_are_read(spark, workspace):
     plans.run_increment(spark, "dev", first, "b0", workspace)
     plans.run_increment(spark, "dev", second, "b1", workspace)
     table = workspace.table("dev", "silver", increments.SILVER)
-    days = [row[0] for row in spark.read.table(table).select(taxi.DAY).distinct().collect()]
+    days = [row[0] for row in spark.read.table(table).select(increments.PERIOD).distinct().collect()]
     assert len(days) == 2
     stored = increments.stored_rows(spark, table, ["b0", "b1"], [min(days)])
     assert "PartitionFilters: [isnotnull(" in plan(stored) or "PartitionFilters: [" in plan(stored)
     read = {f.rpartition("/")[0].rpartition("=")[2] for f in stored.inputFiles()}
-    assert read and stored.select(taxi.DAY).distinct().count() == 1
-    new = plans.clean(second).withColumn(taxi.DAY, F.to_date(taxi.PICKUP))
+    assert read and stored.select(increments.PERIOD).distinct().count() == 1
+    new = plans.clean(second).withColumn(increments.PERIOD, F.trunc(F.to_date(taxi.PICKUP), "month"))
     assert increments.added_rows(new, table, days).count() == 0
 
 
