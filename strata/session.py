@@ -133,21 +133,22 @@ def _listed_bytes(df: DataFrame) -> int | None:
     return listed.agg({"length": "sum"}).first()[0] or 0
 
 
-def sized_session(df: DataFrame, shuffles: bool = True) -> SparkSession:
+def sized_session(df: DataFrame, shuffles: bool = True, partition_bytes: int = 256 * _MIB) -> SparkSession:
     """A session like that of ``df`` with tasks sized for reading and shuffling it whole.
 
     The number of shuffle partitions in a session is right for one size of input only, and
     adaptive execution merges partitions but never adds any. The session is the job's own,
     with the same catalog: jobs that run beside it keep their numbers. What is read through
     it keeps its numbers even when it runs later. Numbers are only raised. An input of
-    unknown size leaves them, with a warning. Without ``shuffles`` only scans are sized.
+    unknown size leaves them, with a warning. Without ``shuffles`` only scans are sized. A job that
+    shuffles more than it reads names fewer ``partition_bytes`` of input for each partition.
     """
     spark = df.sparkSession
     size = input_bytes(df)
     if size is None:
         _log.warning("the input's size is unknown; the session's number of partitions is used")
     most = [int(spark.conf.get(key, str(default))) for key, default in (MOST_SCANS, MOST_PARTITIONS)]
-    split, partitions = task_sizes(size or 0, _bytes(spark.conf.get(_SPLIT)), most_scans=most[0], most_partitions=most[1])
+    split, partitions = task_sizes(size or 0, _bytes(spark.conf.get(_SPLIT)), partition_bytes, *most)
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
