@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import discard, scratch_path
+from strata.session import discard, scratch_path, sized_session
 
 #: Bytes of text that one step in a task works on; a longer text is a step by itself.
 STEP_BYTES = 2 << 20
+#: Bytes of a table's files for each shuffle partition; strings are shuffled with up to 4 times as many.
+PARTITION_BYTES = 64 << 20
 #: What a null doc_id counts as: it comes after every other document.
 NO_ID = 2**63 - 1
 
@@ -30,6 +32,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_sized(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """As ``read``, in a session of its own whose number of shuffle partitions fits the table's files.
+
+    What is derived from it keeps that session, so the operators need no number.
+    """
+    own = sized_session(read(spark, sf_dir, table), partition_bytes=PARTITION_BYTES)
+    return read(own, sf_dir, table)
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices whose ``column`` holds about ``size`` bytes at most."""
     for batch in batches:

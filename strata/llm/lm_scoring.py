@@ -401,6 +401,6 @@ def score(docs: DataFrame, model: str) -> DataFrame:
 def query(spark, sf_dir):
     import public_tokenizers
 
-    from strata.llm.common import read
+    from strata.llm.common import read_sized
 
-    return score(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score(read_sized(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -270,9 +270,9 @@ def _near_classes(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    from strata.llm.common import read
+    from strata.llm.common import read_sized
 
-    return near_classes(read(spark, sf_dir, "documents"))
+    return near_classes(read_sized(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

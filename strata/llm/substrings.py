@@ -213,9 +213,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -
 
 
 def query(spark, sf_dir):
-    from strata.llm.common import read
+    from strata.llm.common import read_sized
 
-    return substring_dedup(read(spark, sf_dir, "documents"))
+    return substring_dedup(read_sized(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

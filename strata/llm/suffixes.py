@@ -251,9 +251,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
 
 
 def query(spark, sf_dir):
-    from strata.llm.common import read
+    from strata.llm.common import read_sized
 
-    return suffix_dedup(read(spark, sf_dir, "documents"))
+    return suffix_dedup(read_sized(spark, sf_dir, "documents"))
 
 
 ORACLE = """

@@ -8,6 +8,7 @@ import pytest
 
 from strata.llm import common, near_dups, packed, substrings, suffixes
 from strata.llm.components import components
+from strata.session import input_bytes
 
 from . import brute
 
@@ -166,3 +167,23 @@ def test_steps_cover_all_rows_within_their_size():
     parts = list(common.steps([batch], "text", 50))
     assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(7))
     assert max(p.num_rows for p in parts) > 1
+
+
+def test_shuffles_follow_the_size_of_the_table(spark, documents, tmp_path, monkeypatch):
+    """The session's number holds for small tables only, and stays what it was."""
+    documents(corpus(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    before = common.shuffle_partitions(spark)
+    small = common.read_sized(spark, str(tmp_path), "documents")
+    assert common.shuffle_partitions(small.sparkSession) == before
+    expected = sorted(map(repr, suffixes.query(spark, str(tmp_path)).collect()))
+    size = input_bytes(small)
+    monkeypatch.setattr(common, "PARTITION_BYTES", -(-size // 23))
+    large = common.read_sized(spark, str(tmp_path), "documents")
+    assert common.shuffle_partitions(large.sparkSession) == 23
+    assert "hashpartitioning(bucket#" in (plan := large_plan(suffixes.query(spark, str(tmp_path)))) and ", 23)" in plan
+    assert sorted(map(repr, suffixes.query(spark, str(tmp_path)).collect())) == expected
+    assert common.shuffle_partitions(spark) == before
+
+
+def large_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
