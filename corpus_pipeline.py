@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, near_dups, quality, subwords, suffixes
-from strata.llm.common import own_ids, read
+from strata.llm.common import own_ids, read, read_sized
 from strata.session import discard, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -69,7 +69,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages applied to ``documents``, each written and read again."""
-    docs, before = read(spark, sf_dir, "documents"), None
+    docs, before = read_sized(spark, sf_dir, "documents"), None
+    spark = docs.sparkSession  # every stage shuffles in partitions of that size
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
