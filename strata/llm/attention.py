@@ -129,18 +129,21 @@ def _pairs(flat: np.ndarray) -> np.ndarray:
     return as_strided(flat, (len(flat) // STRIDE - 1, SPAN, flat.shape[1]), (STRIDE * down, down, right), writeable=False)
 
 
-def _attend(q: np.ndarray, k2: np.ndarray, v2: np.ndarray, place: np.ndarray, first: np.ndarray):
-    """Weights of attention before they are divided by their sums, the sums, and the output."""
-    scores = np.matmul(q, k2.transpose(0, 2, 1))
+def _attend(q: np.ndarray, x2: np.ndarray, place: np.ndarray, first: np.ndarray):
+    """Weights of attention before they are divided by their sums, the sums, and the mean input they give.
+
+    ``q`` are the queries times the transposed map to keys, so they meet the inputs themselves.
+    """
+    scores = np.matmul(q, x2.transpose(0, 2, 1))
     scores += np.where(_FUTURE, _NEVER, place)
     scores[first, :, :STRIDE] = _NEVER
     if scores.max(initial=0) > 60:
         np.minimum(scores, 60, out=scores)
     np.exp(scores, out=scores)
     sums = _sums(scores)
-    heads = np.matmul(scores, v2)
-    heads /= sums
-    return scores, sums, heads
+    means = np.matmul(scores, x2)
+    means /= sums
+    return scores, sums, means
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -156,16 +159,16 @@ def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, length
     ids = np.full(STRIDE * (len(first) + 1), end, inputs.dtype)  # a block before all others
     ids[STRIDE + at] = inputs
     wq, wk, wv, wo, place = _unpack(weights)
-    table = tables.vectors @ np.concatenate([wq, wk, wv], axis=1)
+    queries, shift = wq @ wk.T, wv @ wo
     for b in range(0, len(first), BATCH // STRIDE):
         e = min(len(first), b + BATCH // STRIDE)
-        own = table[ids[b * STRIDE : (e + 1) * STRIDE]]
-        q = own[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH)
-        k2, v2 = _pairs(own[:, WIDTH : 2 * WIDTH]), _pairs(own[:, 2 * WIDTH :])
+        x = tables.vectors[ids[b * STRIDE : (e + 1) * STRIDE]]
+        q = (x[STRIDE:] @ queries).reshape(-1, STRIDE, WIDTH)
         low, high = np.searchsorted(at, [b * STRIDE, e * STRIDE])
-        heads = _attend(q, k2, v2, place, first[b:e])[2].reshape(-1, WIDTH)[at[low:high] - b * STRIDE]
+        means = _attend(q, _pairs(x), place, first[b:e])[2].reshape(-1, WIDTH)[at[low:high] - b * STRIDE]
         rows, target = tables.row_of[inputs[low:high]], tokens[low:high]
-        logits = tables.prior[rows] + heads @ wo
+        logits = tables.prior[rows]
+        logits += means @ shift
         chosen = logits[np.arange(high - low), tables.classes[target]]
         np.exp(logits, out=logits)
         out[low:high] = chosen - np.log(_sums(logits)[:, 0]) + within[rows, target]
@@ -175,36 +178,34 @@ def token_scores(tables: Tables, weights: np.ndarray, tokens: np.ndarray, length
 def loss_gradient(tables: Tables, weights: np.ndarray, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray):
     """Loss of the class predictions summed over some blocks, and its gradient.
 
-    ``inputs`` hold a block more, the one before the first; a target below 0 is none.
+    ``inputs`` hold a block more, the one before the first; a target below 0 is none. All maps are
+    linear, so keys, values and heads need not be formed: attention meets the inputs, and what the
+    weights share is multiplied once for all blocks.
     """
     wq, wk, wv, wo, place = _unpack(weights)
+    queries, shift = wq @ wk.T, wv @ wo
     x = tables.vectors[inputs]
-    own = x @ np.concatenate([wq, wk, wv], axis=1)
-    q = own[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH)
-    k2, v2 = _pairs(own[:, WIDTH : 2 * WIDTH]), _pairs(own[:, 2 * WIDTH :])
-    attention, sums, heads = _attend(q, k2, v2, place, first)
-    attention /= sums
-    real = np.flatnonzero(targets >= 0)
-    heads = heads.reshape(-1, WIDTH)
-    delta = tables.prior[tables.row_of[inputs[STRIDE:]]] + heads @ wo
-    target = tables.classes[np.maximum(targets, 0)]
+    x2 = _pairs(x)
+    attention, sums, means = _attend((x[STRIDE:] @ queries).reshape(-1, STRIDE, WIDTH), x2, place, first)
+    flat = means.reshape(-1, WIDTH)
+    delta = tables.prior[tables.row_of[inputs[STRIDE:]]]
+    delta += flat @ shift
     np.exp(delta, out=delta)
     delta /= _sums(delta)
-    loss = -np.log(delta[real, target[real]] + 1e-30).sum(dtype=np.float64)
-    delta[real, target[real]] -= 1
+    real = np.flatnonzero(targets >= 0)
+    target = tables.classes[targets[real]]
+    loss = -np.log(delta[real, target] + 1e-30).sum(dtype=np.float64)
+    delta[real, target] -= 1
     delta[targets < 0] = 0
-    d_out = heads.T @ delta
-    d_heads = (delta @ wo.T).reshape(-1, STRIDE, WIDTH)
-    d_scores = np.matmul(d_heads, v2.transpose(0, 2, 1))
-    d_scores -= _sums(d_heads * heads.reshape(d_heads.shape))
+    d_shift = flat.T @ delta
+    d_means = (delta @ shift.T).reshape(means.shape)
+    d_scores = np.matmul(d_means, x2.transpose(0, 2, 1))
+    d_means *= means
+    d_scores -= _sums(d_means)
+    attention /= sums
     d_scores *= attention
-    # Of queries, keys and values, at every input; keys and values of a block serve it and the next.
-    flat = np.zeros((len(inputs), 3 * WIDTH), own.dtype)
-    flat[STRIDE:, :WIDTH] = np.matmul(d_scores, k2).reshape(-1, WIDTH)
-    for at, change in ((WIDTH, np.matmul(d_scores.transpose(0, 2, 1), q)), (2 * WIDTH, np.matmul(attention.transpose(0, 2, 1), d_heads))):
-        flat[STRIDE:, at : at + WIDTH] = change[:, STRIDE:].reshape(-1, WIDTH)
-        flat[:-STRIDE, at : at + WIDTH] += change[:, :STRIDE].reshape(-1, WIDTH)
-    parts = [*np.split(x.T @ flat, 3, axis=1), d_out, np.where(_FUTURE, 0, d_scores.sum(0))]
+    d_queries = x[STRIDE:].T @ np.matmul(d_scores, x2).reshape(-1, WIDTH)
+    parts = [d_queries @ wk, d_queries.T @ wq, d_shift @ wo.T, wv.T @ d_shift, np.where(_FUTURE, 0, d_scores.sum(0))]
     return loss, np.concatenate([p.ravel() for p in parts]).astype(np.float64)
 
 
