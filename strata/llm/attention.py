@@ -57,9 +57,10 @@ class Tables:
             _opened.clear()
             # Most counts are 0, so they travel compressed; a worker process opens them once.
             table = np.empty((len(self.counts), len(self.base)), np.float16)
+            share = BACKOFF * self.base
             for r in range(len(self.counts)):
                 own = self.row(r)
-                table[r] = np.log((own + BACKOFF * self.base) / self._by_class(own)[self.classes])
+                table[r] = np.log(((own + share) / self._by_class(own)[self.classes]).astype(np.float32))
             _opened[self.name] = table
         return _opened[self.name]
 

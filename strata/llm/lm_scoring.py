@@ -192,8 +192,11 @@ def word_totals(prepared: DataFrame) -> tuple[DataFrame, int, int]:
     return found.filter(f"kind = {WORDS}").groupBy("chunk").agg(F.collect_list("body").alias("counts")), int(sums[0]), int(sums[1])
 
 
-def _summed(rows: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
-    """The sum of vectors, one a row: in each task, then in 32 tasks, then of their sums."""
+def _summed(rows: DataFrame, size: int, kind: type = np.int64, one_a_task: bool = False) -> np.ndarray:
+    """The sum of vectors, one a row: in each task, then in 32 tasks, then of their sums.
+
+    Where a task makes one row only, no second worker process stands beside it to sum that.
+    """
 
     def add(batches):
         sums, opener = np.zeros(size, kind), zstandard.ZstdDecompressor()
@@ -202,7 +205,9 @@ def _summed(rows: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
                 sums += np.frombuffer(opener.decompress(body), kind)
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 
-    partial = rows.select("body").mapInArrow(released(add), "body binary").repartition(32).mapInArrow(released(add), "body binary").collect()
+    rows = rows.select("body")
+    inner = rows if one_a_task else rows.mapInArrow(released(add), "body binary")
+    partial = inner.repartition(32).mapInArrow(released(add), "body binary").collect()
     return sum((np.frombuffer(zstandard.decompress(r.body), kind) for r in partial), np.zeros(size, kind))
 
 
@@ -342,7 +347,7 @@ def train(prepared: DataFrame, tables: attention.Tables, end: int) -> np.ndarray
                         sums[-1] += np.count_nonzero(targets >= 0)
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.tobytes())], pa.binary())], ["body"])
 
-        sums = _summed(chunks.mapInArrow(released(run), "body binary"), len(weights) + 1, np.float64)
+        sums = _summed(chunks.mapInArrow(released(run), "body binary"), len(weights) + 1, np.float64, one_a_task=True)
         if sums[-1]:
             weights = optimiser.step(weights, (sums[:-1] / sums[-1]).astype(np.float32))
     return weights
