@@ -9,6 +9,7 @@ from strata.quality.contracts import (
     schema_problems,
     schema_report,
 )
+from strata.quality.footers import evaluate_footers
 from strata.quality.report import (
     REPORT_SCHEMA,
     ContractViolation,
@@ -45,6 +46,7 @@ __all__ = [
     "check_table",
     "declared_not_null",
     "evaluate",
+    "evaluate_footers",
     "freshness",
     "load_contract",
     "load_document",

@@ -490,6 +490,20 @@ def oracle_sql() -> dict[str, str]:
             _line("silver", "no_duplicates", _copies("silver"), "silver"),
             _line("trips", "no_duplicates", _copies("trips"), "trips"),
         ),
+        "footer_report": _report(
+            (),
+            _line("event days", "table_not_empty", _table("count(*) = 0"), "events"),
+            _line("event days", "row_count_above", _table("count(*) < 1"), "events"),
+            _line("event days", "no_future", _rows("ts > TIMESTAMP '2024-01-15'"), "events", "ts", "warning"),
+            _line("event days", "freshness", _stale("ts", "2024-02-05", 25), "events", "ts"),
+            _line(
+                "event days",
+                "freshness",
+                _table("max(day) < TIMESTAMP '2024-01-31 02:00:00' - INTERVAL 1530 MINUTES"),
+                "(SELECT CAST(ts AS DATE) AS day FROM events) days",
+                "day",
+            ),
+        ),
         "check_freshness": _report(
             (),
             _line("events at month end", "freshness", _stale("ts", "2024-01-31", 25), "events", "ts"),

@@ -45,6 +45,7 @@ from strata.quality import (
     check_table,
     declared_not_null,
     evaluate,
+    evaluate_footers,
     freshness,
     no_duplicates,
     no_future,
@@ -559,6 +560,20 @@ def gold_report(spark, sf_dir):
     return evaluate(spark.read.parquet(path), rules, "gold")
 
 
+def footer_report(spark, sf_dir):
+    """Rules about all events and their days, answered from the footers of stored files."""
+    path = scratch_path(spark, "event-days")
+    refresh_path(read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), path)
+    rules = [
+        table_not_empty(),
+        row_count_above(1),
+        no_future("ts", MID_EVENTS),
+        freshness("ts", 25, LONG_AFTER_EVENTS),
+        freshness("day", 25.5, INSIDE_A_DAY),
+    ]
+    return evaluate_footers(spark, path, rules, "event days")
+
+
 def contract_conformance(spark, sf_dir):
     """Stored layers held to their contracts, and raw trips to one they do not meet."""
     workspace = _workspace(spark)
@@ -632,6 +647,7 @@ _QUERIES = (
     bronze_report,
     contract_report,
     gold_report,
+    footer_report,
     contract_conformance,
 )
 
