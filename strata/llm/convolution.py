@@ -65,11 +65,15 @@ class Texts:
 
     def common(self) -> np.ndarray:
         """Whether each row of the hashed table stands for a feature of enough texts."""
+        return self.holders() >= LEAST_TEXTS
+
+    def holders(self) -> np.ndarray:
+        """How many texts have a feature that each row of the hashed table stands for."""
         counts = np.zeros(BUCKETS + 1, np.int64)
         for low, high in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
             counts[np.unique(self.features[np.unique(self.places[low:high])])] += 1
         counts[BUCKETS] = 0
-        return counts >= LEAST_TEXTS
+        return counts
 
 
 def _features(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -182,16 +186,20 @@ class Classifier:
         real = rows < BUCKETS
         return float(loss), found | {"table": (rows[real], table[real])}
 
-    def fit(self, column: pa.Array, labels: np.ndarray, epochs: int | None = None, seed: int = 1) -> Classifier:
+    def fit(
+        self, column: pa.Array, labels: np.ndarray, epochs: int | None = None, seed: int = 1,
+        common: np.ndarray | None = None, counts: np.ndarray | None = None,
+    ) -> Classifier:
         """Train on texts in shuffled batches; both labels weigh alike.
 
-        Features of fewer than ``LEAST_TEXTS`` texts are zero, in training and after.
+        Features of fewer than ``LEAST_TEXTS`` texts are zero, in training and after. Which these
+        are and the number of texts of each label may be given, where the texts are a part of all.
         """
         texts, rng = Texts(column), np.random.default_rng(seed)
-        common = texts.common()
+        common = texts.common() if common is None else common
         texts.features[~common[texts.features]] = BUCKETS
-        counts = np.bincount(labels, minlength=2)
-        weights = (len(labels) / (2 * np.maximum(counts, 1)))[labels]
+        counts = np.bincount(labels, minlength=2) if counts is None else counts
+        weights = (counts.sum() / (2 * np.maximum(counts, 1)))[labels]
         first = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         second = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         turn = 0
@@ -216,6 +224,27 @@ class Classifier:
         """The weights, to be sent to tasks."""
         return b"".join(getattr(self, name).tobytes() for name in self.NAMES)
 
+    def share(self, start: Classifier, texts: int) -> np.ndarray:
+        """What these weights, trained on ``texts`` texts from ``start``, add to an average over parts.
+
+        Rows of the table count where the texts changed them, so a rare word is not thinned out by
+        parts that lack it. Shares are added up and given to ``average``.
+        """
+        moved = texts * (self.table != start.table).any(axis=1)
+        dense = [getattr(self, name).ravel() for name in self.NAMES[1:]]
+        table = (self.table * moved[:, None].astype(float)).ravel()
+        return np.concatenate([table, moved, *(x.astype(float) * texts for x in dense), [texts]])
+
+    def average(self, shares: np.ndarray) -> Classifier:
+        """These weights, replaced by the average that summed shares stand for."""
+        at = BUCKETS + 1
+        table, moved, dense, texts = shares[: at * DIMS].reshape(at, DIMS), shares[at * DIMS :][:at], shares[at * (DIMS + 1) : -1], shares[-1]
+        found = Classifier.opened(np.concatenate([self.table.ravel(), dense / max(texts, 1)]).astype(np.float32).tobytes())
+        rows = moved > 0
+        found.table = self.table.copy()
+        found.table[rows] = table[rows] / moved[rows, None]
+        return found
+
     @classmethod
     def opened(cls, body: bytes) -> Classifier:
         self, at = cls.__new__(cls), 0

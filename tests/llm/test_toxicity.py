@@ -148,3 +148,62 @@ def test_held_out_accuracy_on_the_sample_tables(spark, sf_dir):
     got = toxicity.query(spark, sf_dir).join(common.read(spark, sf_dir, "labels"), "doc_id").filter("held_out").collect()
     clean = [r.predicted for r in got if r.toxic == 0]
     assert np.mean(clean) < 0.1
+
+
+def _many(n_toxic, n_clean):
+    """Ids that may be learned from, toxic ones first and in the order of their hashes, and some held-out ids."""
+    known = [i for i in range(2 * (n_toxic + n_clean)) if zlib.crc32(str(i).encode()) % 5]
+    held = [i for i in range(n_toxic + n_clean) if not zlib.crc32(str(i).encode()) % 5]
+    return known[:n_toxic], known[n_toxic : n_toxic + n_clean], held[:60]
+
+
+def test_words_of_late_labelled_documents_are_learned(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000, raising=False)
+    toxic, clean, held = _many(3300, 600)
+    ranks = {r.id: r.rank for r in spark.createDataFrame([(i,) for i in toxic], "id long").selectExpr("id", "xxhash64(id) AS rank").collect()}
+    late = set(sorted(toxic, key=ranks.get)[3000:])  # behind the 3,000 smallest hashes
+    rows = [(i, "some plain words hidden" if i in late else "some plain words vile") for i in toxic]
+    rows += [(i, "some plain words") for i in clean]
+    rows += [(i, "some plain words hidden" if k % 2 else "some plain words") for k, i in enumerate(held)]
+    told = spark.createDataFrame([(i, 1, "") for i in toxic] + [(i, 0, "") for i in clean], LABELS)
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(documents(rows), told).filter("held_out").collect()}
+    assert [found[i] for i in held] == [k % 2 for k in range(len(held))]
+
+
+def test_parts_hold_every_labelled_row_once_and_agree_in_any_layout(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 40)
+    monkeypatch.setattr(toxicity, "ADDED", 2)
+    rows, labels = _rows(200)
+    told = spark.createDataFrame(labels, LABELS)
+    docs = documents([*rows, rows[3]])
+    packs, parts, n = toxicity.packed_parts(docs, told)
+    found = sorted((t, k) for r in packs.collect() for _, texts, _, toxic in toxicity._opened(_batch(r)) for t, k in zip(texts.to_pylist(), toxic.tolist(), strict=True))
+    expected = sorted((text, int(i % 4 == 0)) for i, text in rows if zlib.crc32(str(i).encode()) % 5)
+    assert found == expected and n == len(expected) and parts == -(-n // 40) == packs.count()
+    first = toxicity.toxicity(docs.repartition(7), told).distinct().collect()
+    second = toxicity.toxicity(docs.coalesce(1), told.repartition(3)).distinct().collect()
+    assert set(first) == set(second) and len(first) == len(rows)
+
+
+def _batch(row):
+    return [pa.RecordBatch.from_pydict({"part": [row.part], "body": pa.array([bytes(row.body)], pa.binary())})]
+
+
+def test_shares_average_to_the_weights_that_moved():
+    start, first, second = Classifier(1), Classifier(1), Classifier(1)
+    first.table[5] += 1
+    second.table[5] += 3
+    second.table[9] += 2
+    second.base += 4
+    found = start.average(first.share(start, 30) + second.share(start, 10))
+    assert np.allclose(found.table[5], start.table[5] + 1.5) and np.allclose(found.table[9], start.table[9] + 2)
+    assert np.array_equal(found.table[6], start.table[6]) and found.base[0] == 1 and np.allclose(found.filters, start.filters)
+    alone = start.average(second.share(start, 7))
+    assert all(np.array_equal(getattr(alone, n), getattr(second, n)) for n in Classifier.NAMES)
+
+
+def test_thresholds_of_counted_scores_equal_those_of_rows():
+    rng = np.random.default_rng(2)
+    scores, labels = np.round(rng.random(300), 1), rng.integers(0, 2, 300)
+    cells, times = np.unique(np.stack([scores, labels]), axis=1, return_counts=True)
+    assert toxicity.best_threshold(scores, labels) == toxicity.best_threshold(cells[0], cells[1].astype(int), times)
