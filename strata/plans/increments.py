@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.names import Workspace
-from strata.operators import daily_parts, merged_days
+from strata.operators import daily_parts, dedupe, merged_days
 from strata.plans import taxi
 from strata.plans.jobs import clean
 from strata.session import discard, scratch_path, sized_session
@@ -44,19 +44,33 @@ def run_silver_increment(spark: SparkSession, env: str, workspace: Workspace = t
     new = [batch for batch in committed(spark, source) if batch not in committed(spark, target)]
     for batch in new:
         own = sized_session(read_table(spark, source).filter(F.col(BATCH) == batch))
-        raw, period = batch_of(own, source, batch), F.trunc(F.to_date(taxi.PICKUP), "month").alias(PERIOD)
+        raw = batch_of(own, source, batch)
         # A batch has few months, and never more than the calendar; they choose the partitions to read.
-        periods = [row[0] for row in raw.select(period).distinct().collect()]
-        rows = clean(raw).select("*", period)
+        periods = [row[0] for row in raw.select(_period()).distinct().collect()]
+        rows = silver_rows(raw, target, periods)
         # Spark overwrites no partition of a table that it reads, so the new rows are set aside first.
         aside = scratch_path(own, "added")
-        added_rows(rows, target, periods).write.parquet(aside)
+        rows.write.parquet(aside)
         append_batch(own.read.schema(rows.schema).parquet(aside), target, batch, workspace.format, partition_by=(PERIOD,))
         discard(own, aside)
     spark.catalog.refreshTable(target)  # it was written in other sessions
     return new
 
 
+def _period() -> Column:
+    return F.trunc(F.to_date(taxi.PICKUP), "month").alias(PERIOD)
+
+
+def silver_rows(raw: DataFrame, table: str, periods: Sequence) -> DataFrame:
+    """What ``raw``, which falls in ``periods``, adds to the silver ``table``, dealt out by month.
+
+    Copies within ``raw`` and rows that are stored already leave in one shuffle; what is added is
+    shuffled once more to lie together by month.
+    """
+    rows = clean(raw, distinct=lambda trips: added_rows(trips, table, periods))
+    return rows.select("*", _period()).hint("rebalance", PERIOD)
+
+
 def batch_of(spark: SparkSession, table: str, batch: str) -> DataFrame:
     """The rows of one batch as they came."""
     return read_table(spark, table).filter(F.col(BATCH) == batch).drop(BATCH)
@@ -68,22 +82,24 @@ def stored_rows(spark: SparkSession, table: str, batches: Sequence[str], periods
 
 
 def added_rows(rows: DataFrame, table: str, periods: Sequence) -> DataFrame:
-    """The ``rows``, which fall in ``periods``, that ``table`` does not hold yet.
+    """The ``rows``, which fall in ``periods``, that ``table`` does not hold yet, one copy of each.
 
     Equal rows share their month, so stored rows of other months are not read. Rows are compared as
-    ``dropDuplicates`` does: nulls are equal, and so are NaN.
+    ``dropDuplicates`` does: nulls are equal, and so are NaN. Month and duration follow from the
+    other columns, so ``rows`` may lack them.
     """
     spark = rows.sparkSession
     done = committed(spark, table)
     if not done:
-        return rows.hint("rebalance", PERIOD)
+        return rows.transform(dedupe)
     evolve(spark, table, rows.schema)
-    columns = [c for c in read_table(spark, table).columns if c != BATCH]
+    derived = {BATCH, PERIOD, taxi.DURATION} - (set(rows.columns) - {BATCH})
+    columns = [c for c in read_table(spark, table).columns if c not in derived]
     known = stored_rows(spark, table, done, periods).select(*columns).withColumn("__known", F.lit(True))
     both = rows.withColumn("__known", F.lit(False)).unionByName(known, allowMissingColumns=True)
     # A row of either kind is reduced to one inside each task before it is shuffled.
     found = both.groupBy(*columns).agg(F.bool_or("__known").alias("__known"))
-    return found.filter(~F.col("__known")).select(*rows.columns).hint("rebalance", PERIOD)
+    return found.filter(~F.col("__known")).select(*rows.columns)
 
 
 def run_gold_increment(spark: SparkSession, env: str, workspace: Workspace = taxi.WORKSPACE) -> str:

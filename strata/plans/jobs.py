@@ -6,7 +6,7 @@ gold reads only the silver columns it needs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +27,9 @@ from strata.sinks import Layout, append_evolving, refresh
 from strata.sources import read_table
 
 
-def clean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def clean(
+    df: DataFrame, columns: Sequence[str] | None = None, distinct: Callable[[DataFrame], DataFrame] = dedupe
+) -> DataFrame:
     """Bronze trips to silver trips; all input columns pass through.
 
     Copies are compared over all columns. After the source gained a column, a trip
@@ -35,7 +37,8 @@ def clean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns to keep, both timestamps among them) compares without it.
 
     The duration follows from the timestamps, so it is added after the copies are
-    gone: the shuffle carries one column less.
+    gone: the shuffle carries one column less. ``distinct`` removes the copies, and may
+    remove in the same shuffle what is stored already.
     """
     # A stale duration in the input would tell copies apart.
     trips = (
@@ -46,7 +49,7 @@ def clean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
     if columns is not None:
         trips = trips.transform(project, columns)
-    return trips.transform(dedupe).transform(
+    return trips.transform(distinct).transform(
         with_elapsed, taxi.PICKUP, taxi.DROPOFF, taxi.DURATION
     )
 

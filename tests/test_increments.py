@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from strata import plans
 from strata.names import Workspace
 from strata.plans import increments, taxi
+from strata.samples import queries
+from strata.samples.trips import trips
 from strata.session import scratch_path
 from strata.sinks import BATCH, committed
 
@@ -97,3 +99,45 @@ def test_nothing_new_reads_nothing(spark, workspace):
     assert plans.run_silver_increment(spark, "dev", workspace) == []
     assert plans.run_gold_increment(spark, "dev", workspace) == gold
     assert not plans.run_bronze_batch(spark, "dev", first, "b0", workspace)
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A few orders and their line items, a third of them with a copy."""
+    orders = spark.range(1, 31).selectExpr("id AS o_orderkey", "TIMESTAMP'2031-01-30 08:00:00' + make_dt_interval(id % 9) AS o_orderdate", "id * 1.5D AS o_totalprice")
+    lines = spark.range(0, 90).selectExpr(
+        "id % 30 + 1 AS l_orderkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "CAST(id % 5 + 1 AS DOUBLE) AS l_quantity", "id * 2.5D AS l_extendedprice",
+        "0.1D AS l_discount", "0.2D AS l_tax", "substr('ANR', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP'2031-03-01 09:00:00' AS l_shipdate",
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.unionAll(lines.filter("l_orderkey % 3 = 0")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["silver_incremental", "gold_incremental"])
+def test_sent_trips_are_joined_once(spark, tables, name, monkeypatch):
+    sources, whole = [], queries.run_bronze_batch
+    made = trips(spark, tables, nan=name == "gold_incremental")
+
+    def watched(session, env, source, batch, space):
+        sources.append((plan(source), rows(source)))
+        return whole(session, env, source, batch, space)
+
+    monkeypatch.setattr(queries, "run_bronze_batch", watched)
+    found = getattr(queries, name)(spark, tables)
+    silver = plans.clean(made)
+    expected = silver if name == "silver_incremental" else plans.aggregate(silver, exact=True)
+    assert rows(found) == rows(expected)
+    assert len(sources) == 4 and not any("Join" in text for text, _ in sources)
+    assert sources[3][1] == rows(made) and sorted(r for _, some in sources[:3] for r in some) == sorted(rows(made) * 2)
+
+
+def test_copies_and_stored_rows_leave_in_one_shuffle(spark, workspace):
+    first, second, _ = batches(spark)
+    plans.run_increment(spark, "dev", first, "b0", workspace)
+    table = workspace.table("dev", "silver", increments.SILVER)
+    days = [row[0] for row in second.select(F.trunc(F.to_date(taxi.PICKUP), "month")).distinct().collect()]
+    added = increments.silver_rows(second.unionByName(second), table, days)
+    assert plan(added).count("Exchange") == 2 and "Exchange rebalance" in plan(added).replace("Exchange hashpartitioning(pickup_month", "Exchange rebalance")
+    stored = plans.clean(first)
+    assert rows(added.drop(increments.PERIOD)) == rows(plans.clean(second).exceptAll(stored))
