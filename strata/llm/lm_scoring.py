@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
             data, offsets = text_bytes(part.column("text"))
             data = lower(data)
             begins, ends, counts = word_spans(data, offsets)
-            words, first, word = np.unique(word_hashes(data, begins, ends), return_index=True, return_inverse=True)
+            words, first, word = _distinct(word_hashes(data, begins, ends))
             at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
             new = np.flatnonzero(known[at] != words) if len(known) else np.arange(len(words))
             if len(known) > KEPT:
@@ -126,7 +127,7 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
                     some = first[new[b : b + 20_000]]
                     cut = library.encode([raw[x:y].decode() for x, y in zip(begins[some].tolist(), ends[some].tolist(), strict=True)], num_threads=1)
                     width[b : b + len(some)] = [len(x) for x in cut]
-                    ids.append(np.fromiter((i for x in cut for i in x), np.uint16))
+                    ids.append(np.fromiter(chain.from_iterable(cut), np.uint16))
                 begin = len(kept) + np.cumsum(width) - width
                 kept = np.concatenate(ids)
                 known = np.concatenate([known, words[new]])
@@ -158,6 +159,20 @@ def prepare(docs: DataFrame, model: str) -> tuple[DataFrame, str]:
     return docs.sparkSession.read.schema(schema).parquet(path), f"{path}/kind={WORDS}"
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, where each stands first, and the number of each position's.
+
+    As ``np.unique`` gives them; only distinct hashes are sorted, which are few beside all.
+    """
+    coded = pa.array(hashes).dictionary_encode()
+    found, number = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    rank, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first[number[::-1]] = np.arange(len(hashes))[::-1]  # of equal positions the last one stays
+    return found[order], first[order], rank[number]
+
+
 def _rows(kind: int, bucket, chunk, body) -> pa.RecordBatch:
     n = len(body)
     return pa.RecordBatch.from_arrays(

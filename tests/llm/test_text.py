@@ -388,6 +388,54 @@ def test_gradients_are_those_of_the_loss():
         assert gradient[j] == pytest.approx((up - down) / 2e-3, abs=2e-3, rel=1e-2)
 
 
+def gradient_row_by_row(tables, weights, inputs, targets, first):
+    """The gradient with weights of attention in rows, as products of rows, and gathers by indexing."""
+    wq, wk, wv, wo, place = attention._unpack(weights)
+    shift, block, future = wv @ wo, attention.STRIDE, attention._FUTURE
+    x = tables.vectors[inputs]
+    x2 = np.lib.stride_tricks.sliding_window_view(x, 2 * block, axis=0)[::block].transpose(0, 2, 1)
+    scores = np.matmul((x[block:] @ (wq @ wk.T)).reshape(len(first), block, -1), x2.transpose(0, 2, 1))
+    scores += np.where(future, np.float32(-1e4), place)
+    scores[first, :, :block] = -1e4
+    np.exp(scores, out=scores)
+    share = scores / scores.sum(2, keepdims=True)
+    means = np.matmul(share, x2)
+    delta = tables.prior[tables.row_of[inputs[block:]]] + means.reshape(len(targets), -1) @ shift
+    np.exp(delta, out=delta)
+    delta /= delta.sum(1, keepdims=True)
+    real = np.flatnonzero(targets >= 0)
+    delta[real, tables.classes[targets[real]]] -= 1
+    delta[targets < 0] = 0
+    d_shift = means.reshape(len(targets), -1).T @ delta
+    d_means = (delta @ shift.T).reshape(means.shape)
+    d_scores = share * (np.matmul(d_means, x2.transpose(0, 2, 1)) - (d_means * means).sum(2, keepdims=True))
+    d_queries = x[block:].T @ np.matmul(d_scores, x2).reshape(len(targets), -1)
+    parts = [d_queries @ wk, d_queries.T @ wq, d_shift @ wo.T, wv.T @ d_shift, np.where(future, 0, d_scores.sum(0))]
+    return np.concatenate([p.ravel() for p in parts])
+
+
+def test_small_products_never_run_along_the_rows_of_both(monkeypatch):
+    rng = np.random.default_rng(7)
+    tables, blocks = small_tables(rng), 40
+    weights = attention.start() + rng.normal(0, 0.05, len(attention.start())).astype(np.float32)
+    inputs, targets = rng.integers(0, 60, (blocks + 1) * attention.STRIDE), rng.integers(-1, 60, blocks * attention.STRIDE)
+    given = tables, weights, inputs, targets, rng.random(blocks) < 0.1
+    plain, product, seen = gradient_row_by_row(*given), np.matmul, []
+    monkeypatch.setattr(np, "matmul", lambda a, b: (seen.append(b), product(a, b))[1])
+    assert np.allclose(attention.loss_gradient(*given)[1], plain, atol=1e-4 * np.abs(plain).max())
+    attention.token_scores(tables, weights, inputs, np.array([len(inputs)]), 2)
+    # Such products take twice as long; there are four in a gradient and two in a score.
+    assert len(seen) == 6 and all(b.ndim == 3 and b.strides[2] == b.itemsize for b in seen)
+
+
+@pytest.mark.parametrize("hashes", [[], [7], [2**64 - 1, 3, 3, 0, 2**63, 3, 0]])
+def test_distinct_words_are_in_order(hashes):
+    hashes = np.array(hashes, np.uint64)
+    expected = np.unique(hashes, return_index=True, return_inverse=True)
+    for got, own in zip(lm_scoring._distinct(hashes), expected, strict=True):
+        assert got.dtype == own.dtype and got.tolist() == own.tolist()
+
+
 def test_scores_do_not_depend_on_the_layout(documents, model):
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.randrange(1, 120)))) for i in range(80)]
